@@ -1,6 +1,6 @@
 """Registered queries over the given tables."""
 
-from shelfspark.plans import scalar_queries, catalog_queries  # noqa: F401
+from shelfspark.plans import catalog_queries, join_queries, merge_queries, scalar_queries  # noqa: F401
 from shelfspark.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
