@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 from shelfspark.functions.numbers import number_text, positive
@@ -12,23 +14,25 @@ PRICE_KEYS = ["COST", "PRICE", "RETAIL_PRICE", "BASE_PRICE", "PRICE_RUB"]
 NESTED_PRICE_KEYS = ["COST", "PRICE", "RETAIL", "BASE"]
 TYPED_PRICE_KEYS = ["PRICE", "COST", "VALUE", "SUM"]
 
+# Variant schema names by the kinds the readers tell apart; all others are numbers.
+KINDS = {"OBJECT": "OBJECT", "ARRAY": "ARRAY", "STRING": "TEXT", "BOOLEAN": "BOOLEAN", "VOID": "VOID"}
+
 
 def parse(c: Column | str) -> Column:
     """Text to VARIANT; malformed text gives null."""
     return F.try_parse_json(F.col(c) if isinstance(c, str) else c)
 
 
+def let(v: Column, body: Callable[[Column], Column]) -> Column:
+    """body(v) with `v` computed once: the plan names the value and does not repeat its expression."""
+    return F.get(F.transform(F.array(v), body), F.lit(0))
+
+
 def kind(v: Column) -> Column:
     """OBJECT, ARRAY, TEXT, NUMBER, BOOLEAN or VOID; no value gives VOID."""
-    schema = F.schema_of_variant(v)
-    return (
-        F.when(v.isNull() | (schema == "VOID"), F.lit("VOID"))
-        .when(schema.startswith("OBJECT"), F.lit("OBJECT"))
-        .when(schema.startswith("ARRAY"), F.lit("ARRAY"))
-        .when(schema == "STRING", F.lit("TEXT"))
-        .when(schema == "BOOLEAN", F.lit("BOOLEAN"))
-        .otherwise(F.lit("NUMBER"))
-    )
+    names = F.create_map(*[F.lit(x) for kv in KINDS.items() for x in kv])
+    head = F.coalesce(F.regexp_extract(F.schema_of_variant(v), "^([A-Z]+)", 1), F.lit("VOID"))
+    return F.coalesce(F.element_at(names, head), F.lit("NUMBER"))
 
 
 def as_map(v: Column) -> Column:
@@ -45,33 +49,46 @@ def at(v: Column, key: str) -> Column:
 
 
 def _scalar_text(v: Column) -> Column:
-    what = kind(v)
+    """Text of one named value; objects and arrays give null."""
     text = F.try_variant_get(v, "$", "string")
-    number = F.try_variant_get(v, "$", "double")
+    number = let(text.try_cast("double"), number_text)
     whole = F.try_variant_get(v, "$", "bigint")
-    return (
-        F.when(what == "TEXT", trim_all(text))
-        .when(what == "BOOLEAN", text)
-        .when(what == "NUMBER", F.when(number == whole, whole.cast("string")).otherwise(number_text(number)))
+    numeric = F.when(text.try_cast("double") == whole, whole.cast("string")).otherwise(number)
+    return let(
+        kind(v),
+        lambda k: F.when(k == "TEXT", trim_all(text)).when(k == "BOOLEAN", text).when(k == "NUMBER", numeric),
     )
 
 
 def _flat_text(v: Column) -> Column:
     """Text of a scalar, or the name (else the @id) of an object."""
-    named = F.coalesce(non_blank(_scalar_text(at(v, "name"))), non_blank(_scalar_text(at(v, "@id"))), F.lit(""))
+    named = F.coalesce(non_blank(let(at(v, "name"), _scalar_text)), non_blank(let(at(v, "@id"), _scalar_text)), F.lit(""))
     return F.when(kind(v) == "OBJECT", named).otherwise(F.coalesce(_scalar_text(v), F.lit("")))
 
 
 def to_text(v: Column) -> Column:
-    """One text for any value: arrays join their non-blank members with a comma."""
-    members = F.filter(F.transform(as_list(v), _flat_text), lambda t: t != "")
-    return F.when(kind(v) == "ARRAY", F.array_join(members, ", ")).otherwise(_flat_text(v))
+    """One text for any value: arrays join their non-blank members with a comma; no value gives ''."""
+
+    def body(x: Column) -> Column:
+        members = F.filter(F.transform(as_list(x), _flat_text), lambda t: t != "")
+        return F.when(kind(x) == "ARRAY", F.array_join(members, ", ")).otherwise(_flat_text(x))
+
+    return let(v, body)
 
 
 def to_number(v: Column) -> Column:
     """Number of a numeric value or of plain numeric text, comma or dot."""
-    text = F.replace(trim_all(F.try_variant_get(v, "$", "string")), F.lit(","), F.lit("."))
-    return F.when(kind(v).isin("NUMBER", "TEXT"), text.try_cast("double"))
+
+    def body(x: Column) -> Column:
+        text = F.replace(trim_all(F.try_variant_get(x, "$", "string")), F.lit(","), F.lit("."))
+        return F.when(kind(x).isin("NUMBER", "TEXT"), text.try_cast("double"))
+
+    return let(v, body)
+
+
+def texts(doc: Column) -> Column:
+    """Object to map<key, text>, each value read once."""
+    return F.transform_values(as_map(doc), lambda _, v: to_text(v))
 
 
 def source_price(raw: Column) -> Column:
@@ -105,7 +122,19 @@ def flatten(v: Column, depth: int = 3) -> Column:
     their index as a key part. Built as nested higher-order functions, so a
     row is flattened in place and nothing is exploded or shuffled.
     """
-    return F.map_from_entries(_leaves(v, F.lit(""), depth))
+    return map_of(_leaves(v, F.lit(""), depth))
+
+
+def map_of(entries: Column) -> Column:
+    """Map of (key, value) structs; the first of equal keys stays."""
+    keys = F.transform(entries, lambda e: e["key"])
+    firsts = F.filter(F.transform(entries, lambda e, i: F.when(F.array_position(keys, e["key"]) == i + 1, e)), lambda e: e.isNotNull())
+    return F.map_from_entries(firsts)
+
+
+def merge_missing(a: Column, b: Column) -> Column:
+    """Fields of `a`, blank or absent ones filled from `b`."""
+    return F.map_zip_with(a, F.coalesce(b, F.create_map().cast("map<string,string>")), lambda _, x, y: F.coalesce(F.nullif(trim_all(x), F.lit("")), y, x))
 
 
 def _joined(prefix: Column, key: Column) -> Column:
@@ -120,26 +149,23 @@ def _leaf(prefix: Column, text: Column) -> Column:
 
 
 def _leaves(v: Column, prefix: Column, depth: int) -> Column:
+    """(key, text) leaves below one named value; objects and mixed arrays share one descent."""
     empty = F.array().cast(_LEAF)
-    what = kind(v)
     members = as_list(v)
     scalars = F.forall(members, lambda m: kind(m).isin("TEXT", "NUMBER", "BOOLEAN"))
     joined = F.array_join(F.filter(F.transform(members, _flat_text), lambda t: t != ""), ", ")
-    as_row = F.when((prefix != "") & (joined != ""), _leaf(prefix, joined)).otherwise(empty)
-    scalar = F.when(prefix != "", _leaf(prefix, F.coalesce(_scalar_text(v), F.lit("")))).otherwise(empty)
+    text = F.when(F.size(members) >= 0, F.when(scalars & (joined != ""), joined)).otherwise(F.coalesce(_scalar_text(v), F.lit("")))
+    leaf = F.when((prefix != "") & text.isNotNull() & (kind(v) != "OBJECT"), _leaf(prefix, text)).otherwise(empty)
     if depth <= 0:
-        return (
-            F.when(what == "OBJECT", empty)
-            .when(what == "ARRAY", F.when(scalars, as_row).otherwise(empty))
-            .otherwise(scalar)
+        return leaf
+    children = F.when(
+        kind(v) == "OBJECT",
+        F.transform(F.map_entries(as_map(v)), lambda e: F.struct(trim_all(e["key"]).alias("key"), e["value"].alias("value"))),
+    ).when((F.size(members) > 0) & ~scalars, F.transform(members, lambda m, i: F.struct(i.cast("string").alias("key"), m.alias("value"))))
+    below = F.flatten(
+        F.transform(
+            F.filter(children, lambda e: e["key"] != ""),
+            lambda e: _leaves(e["value"], _joined(prefix, e["key"]), depth - 1),
         )
-    entries = F.filter(F.map_entries(as_map(v)), lambda e: trim_all(e.key) != "")
-    nested = F.flatten(F.transform(entries, lambda e: _leaves(e.value, _joined(prefix, trim_all(e.key)), depth - 1)))
-    indexed = F.flatten(
-        F.transform(members, lambda m, i: _leaves(m, F.concat(prefix, F.lit("."), i.cast("string")), depth - 1))
-    )
-    return (
-        F.when(what == "OBJECT", F.coalesce(nested, empty))
-        .when(what == "ARRAY", F.when(scalars, as_row).otherwise(F.coalesce(indexed, empty)))
-        .otherwise(scalar)
     )
+    return F.coalesce(below, leaf)

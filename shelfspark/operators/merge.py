@@ -196,9 +196,11 @@ def upsert_main(
 ) -> DataFrame:
     """Main catalog merge from publisher rows; created_at is set on insert alone."""
     picked = first_in_batch(source, source_key_with_id(), [F.asc(c) for c in order])
-    batch = project_source(picked, as_of, category, keep=["_key", *order])
+    places = [f"_place{i}" for i in range(len(order))]
+    placed = picked.withColumns({p: F.col(c) for p, c in zip(places, order)})
+    batch = project_source(placed, as_of, category, keep=["_key", *places])
     return upsert(
-        current, batch, identities(MAIN_KEY), order, always=("name", "updated_at"), insert_only=("created_at",)
+        current, batch, identities(MAIN_KEY), places, always=("name", "updated_at"), insert_only=("created_at",)
     )
 
 

@@ -122,7 +122,7 @@ def main_upsert(t: Tables):
         " arg_max(nomcode, rn) FILTER (nomcode <> '') AS nomcode, arg_max(isbn, rn) FILTER (isbn <> '') AS isbn, arg_max(name, rn) AS name, arg_max(annotation, rn) FILTER (annotation <> '') AS annotation,"
         " arg_max(brand_name, rn) AS brand_name, arg_max(new_price, rn) FILTER (new_price IS NOT NULL) AS price, arg_max('n' || guid, rn) AS category_id FROM slotted GROUP BY slot)"
         " SELECT m.id, coalesce(f.source_product_id, m.source_product_id) AS source_product_id, coalesce(f.guid_nom, m.source_guid_nom) AS source_guid_nom, coalesce(f.guid, m.source_guid) AS source_guid,"
-        " coalesce(f.nomcode, m.source_nomcode) AS source_nomcode, coalesce(f.isbn, m.isbn) AS isbn, CASE WHEN f.slot IS NOT NULL THEN f.name ELSE m.name END AS name, coalesce(f.annotation, '') AS annotation,"
+        " coalesce(f.nomcode, m.source_nomcode) AS source_nomcode, coalesce(f.isbn, m.isbn) AS isbn, CASE WHEN f.slot IS NOT NULL THEN f.name ELSE m.name END AS name, coalesce(f.annotation, m.annotation) AS annotation,"
         " coalesce(f.brand_name, m.brand_name) AS brand_name, coalesce(f.price, m.price) AS price, coalesce(f.category_id, m.category_id) AS category_id,"
         " CASE WHEN f.slot IS NOT NULL THEN 1950000000 ELSE m.updated_at END AS updated_at, CASE WHEN m.id IS NULL THEN 1950000000 ELSE m.updated_at - 5 END AS created_at"
         " FROM main_catalog m FULL JOIN folded f ON f.target = m.id",
@@ -131,7 +131,7 @@ def main_upsert(t: Tables):
     ),
 )
 def u2(t: Tables):
-    return main_upsert(t)
+    return main_upsert(t).drop("_action")
 
 
 @query(

@@ -78,6 +78,7 @@ def main_columns(d) -> dict[str, str]:
         "cover_url": f"CASE p_partkey % 4 WHEN 0 THEN NULL WHEN 1 THEN concat('https://img.', {HOST}, ':443/upload/', lower(p_type), '/', CAST(p_size AS STRING), '/c.jpg')"
         f" ELSE concat('http://www.', {HOST}, '/Catalog/', p_type, '/x?y=1') END",
         "covers": d.map(("'b'", f"concat('https://cdn.', {HOST}, '/2.png')"), ("'a'", "concat(' https://cdn.example/', CAST(p_size AS STRING), '.png ')"), ("'c'", "''")),
+        "annotation": "concat('Note on ', p_name)",
         "subject_name": "CASE p_partkey % 8 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE p_type END",
         "niche_name": "CASE p_partkey % 3 WHEN 0 THEN concat('Niche ', CAST(p_size % 5 AS STRING)) ELSE NULL END",
         "brand_name": "p_brand",
