@@ -73,7 +73,7 @@ class _Reader(HTMLParser):
                 node["text"].append(data)
 
     def _close(self, node) -> None:
-        text = " ".join(" ".join(node["text"]).split())
+        text = " ".join("".join(node["text"]).split())
         a, tag, cls = node["attrs"], node["tag"], node["cls"]
         if node["slot"] is not None:
             self.elements[node["slot"]] = {

@@ -277,15 +277,19 @@ def looks_like_product_url(url: Column) -> Column:
     )
 
 
-def is_non_product_page(url: Column, title: Column) -> Column:
+def non_product_url(url: Column) -> Column:
+    """True or false where the address alone decides, else null."""
     return (
         F.when(is_likely_product(url), F.lit(False))
         .when(url.rlike(P_PAGINATION), F.lit(True))
         .when(any_token(url, NON_PRODUCT_TOKENS), ~any_token(url, ["/product/", "/book/"]))
-        .otherwise(any_token(F.coalesce(title, F.lit("")), NON_PRODUCT_TITLES))
     )
 
 
+def is_non_product_page(url: Column, title: Column) -> Column:
+    return F.coalesce(non_product_url(url), any_token(F.coalesce(title, F.lit("")), NON_PRODUCT_TITLES))
+
+
 def parse_score(c: Column | str) -> Column:
     url = F.lower(trim_all(c))
     return total(

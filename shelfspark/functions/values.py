@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
-from shelfspark.functions.numbers import number_text, positive
+from shelfspark.functions.numbers import positive
 from shelfspark.functions.text import non_blank, trim_all
 
 # Where a publisher item keeps its price, in order of trust.
@@ -14,9 +14,6 @@ PRICE_KEYS = ["COST", "PRICE", "RETAIL_PRICE", "BASE_PRICE", "PRICE_RUB"]
 NESTED_PRICE_KEYS = ["COST", "PRICE", "RETAIL", "BASE"]
 TYPED_PRICE_KEYS = ["PRICE", "COST", "VALUE", "SUM"]
 
-# Variant schema names by the kinds the readers tell apart; all others are numbers.
-KINDS = {"OBJECT": "OBJECT", "ARRAY": "ARRAY", "STRING": "TEXT", "BOOLEAN": "BOOLEAN", "VOID": "VOID"}
-
 
 def parse(c: Column | str) -> Column:
     """Text to VARIANT; malformed text gives null."""
@@ -29,10 +26,8 @@ def let(v: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def kind(v: Column) -> Column:
-    """OBJECT, ARRAY, TEXT, NUMBER, BOOLEAN or VOID; no value gives VOID."""
-    names = F.create_map(*[F.lit(x) for kv in KINDS.items() for x in kv])
-    head = F.coalesce(F.regexp_extract(F.schema_of_variant(v), "^([A-Z]+)", 1), F.lit("VOID"))
-    return F.coalesce(F.element_at(names, head), F.lit("NUMBER"))
+    """OBJECT, ARRAY, STRING, BOOLEAN, VOID or a number type; no value gives null."""
+    return F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
 
 
 def as_map(v: Column) -> Column:
@@ -49,41 +44,31 @@ def at(v: Column, key: str) -> Column:
 
 
 def _scalar_text(v: Column) -> Column:
-    """Text of one named value; objects and arrays give null."""
+    """Text of one scalar: trimmed strings, whole numbers without a fraction."""
     text = F.try_variant_get(v, "$", "string")
-    number = let(text.try_cast("double"), number_text)
-    whole = F.try_variant_get(v, "$", "bigint")
-    numeric = F.when(text.try_cast("double") == whole, whole.cast("string")).otherwise(number)
-    return let(
-        kind(v),
-        lambda k: F.when(k == "TEXT", trim_all(text)).when(k == "BOOLEAN", text).when(k == "NUMBER", numeric),
-    )
+    return F.when(F.schema_of_variant(v) == "STRING", trim_all(text)).otherwise(F.regexp_replace(text, r"\.0$", ""))
 
 
 def _flat_text(v: Column) -> Column:
     """Text of a scalar, or the name (else the @id) of an object."""
-    named = F.coalesce(non_blank(let(at(v, "name"), _scalar_text)), non_blank(let(at(v, "@id"), _scalar_text)), F.lit(""))
-    return F.when(kind(v) == "OBJECT", named).otherwise(F.coalesce(_scalar_text(v), F.lit("")))
+    named = F.coalesce(non_blank(F.try_variant_get(v, "$.name", "string")), non_blank(F.try_variant_get(v, '$["@id"]', "string")))
+    return F.coalesce(F.when(kind(v) == "OBJECT", named).otherwise(_scalar_text(v)), F.lit(""))
 
 
 def to_text(v: Column) -> Column:
     """One text for any value: arrays join their non-blank members with a comma; no value gives ''."""
 
     def body(x: Column) -> Column:
-        members = F.filter(F.transform(as_list(x), _flat_text), lambda t: t != "")
-        return F.when(kind(x) == "ARRAY", F.array_join(members, ", ")).otherwise(_flat_text(x))
+        members = F.array_join(F.filter(F.transform(as_list(x), _flat_text), lambda t: t != ""), ", ")
+        return F.coalesce(members, _flat_text(x))
 
     return let(v, body)
 
 
 def to_number(v: Column) -> Column:
     """Number of a numeric value or of plain numeric text, comma or dot."""
-
-    def body(x: Column) -> Column:
-        text = F.replace(trim_all(F.try_variant_get(x, "$", "string")), F.lit(","), F.lit("."))
-        return F.when(kind(x).isin("NUMBER", "TEXT"), text.try_cast("double"))
-
-    return let(v, body)
+    text = F.trim(F.replace(F.try_variant_get(v, "$", "string"), F.lit(","), F.lit(".")))
+    return text.try_cast("double")
 
 
 def texts(doc: Column) -> Column:
@@ -125,11 +110,24 @@ def flatten(v: Column, depth: int = 3) -> Column:
     return map_of(_leaves(v, F.lit(""), depth))
 
 
+def first_of_equals(items: Column, key: Callable[[Column], Column]) -> Column:
+    """Array without later members of an equal key."""
+
+    def body(xs: Column) -> Column:
+        return let(
+            F.transform(xs, key),
+            lambda keys: F.filter(
+                F.transform(xs, lambda x, i: F.when(F.array_position(keys, F.element_at(keys, i + 1)) == i + 1, x)),
+                lambda x: x.isNotNull(),
+            ),
+        )
+
+    return let(items, body)
+
+
 def map_of(entries: Column) -> Column:
     """Map of (key, value) structs; the first of equal keys stays."""
-    keys = F.transform(entries, lambda e: e["key"])
-    firsts = F.filter(F.transform(entries, lambda e, i: F.when(F.array_position(keys, e["key"]) == i + 1, e)), lambda e: e.isNotNull())
-    return F.map_from_entries(firsts)
+    return F.map_from_entries(first_of_equals(entries, lambda e: e["key"]))
 
 
 def merge_missing(a: Column, b: Column) -> Column:
@@ -152,7 +150,7 @@ def _leaves(v: Column, prefix: Column, depth: int) -> Column:
     """(key, text) leaves below one named value; objects and mixed arrays share one descent."""
     empty = F.array().cast(_LEAF)
     members = as_list(v)
-    scalars = F.forall(members, lambda m: kind(m).isin("TEXT", "NUMBER", "BOOLEAN"))
+    scalars = F.forall(members, lambda m: ~kind(m).isin("OBJECT", "ARRAY", "VOID"))
     joined = F.array_join(F.filter(F.transform(members, _flat_text), lambda t: t != ""), ", ")
     text = F.when(F.size(members) >= 0, F.when(scalars & (joined != ""), joined)).otherwise(F.coalesce(_scalar_text(v), F.lit("")))
     leaf = F.when((prefix != "") & text.isNotNull() & (kind(v) != "OBJECT"), _leaf(prefix, text)).otherwise(empty)

@@ -274,10 +274,10 @@ def comparable(v: Column) -> Column:
     text = F.try_variant_get(v, "$", "string")
     return (
         F.when(what == "VOID", F.lit(None))
-        .when(what == "TEXT", F.concat(F.lit('"'), non_blank(text), F.lit('"')))
-        .when(what == "NUMBER", F.when(F.try_variant_get(v, "$", "double") != 0, F.to_json(v)))
+        .when(what == "STRING", F.concat(F.lit('"'), non_blank(text), F.lit('"')))
         .when(what == "ARRAY", F.when(F.size(F.try_variant_get(v, "$", "array<variant>")) > 0, F.to_json(v)))
-        .otherwise(F.to_json(v))
+        .when(what.isin("OBJECT", "BOOLEAN"), F.to_json(v))
+        .otherwise(F.when(text.try_cast("double") != 0, F.to_json(v)))
     )
 
 

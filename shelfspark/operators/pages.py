@@ -20,12 +20,13 @@ from shelfspark.functions.text import (
     trim_all,
 )
 from shelfspark.functions.urls import (
+    NON_PRODUCT_TITLES,
     any_token,
     crawl_url,
     discovery_score,
     is_likely_product,
-    is_non_product_page,
     looks_like_product_url,
+    non_product_url,
     parse_score,
     points,
     product_score,
@@ -33,7 +34,19 @@ from shelfspark.functions.urls import (
     total,
     url_path,
 )
-from shelfspark.functions.values import as_list, at, flatten, kind, map_of, merge_missing, parse, to_number, to_text
+from shelfspark.functions.values import (
+    as_list,
+    at,
+    first_of_equals,
+    flatten,
+    kind,
+    let,
+    map_of,
+    merge_missing,
+    parse,
+    texts,
+    to_number,
+)
 
 NO_FIELDS = "map<string,string>"
 
@@ -104,6 +117,17 @@ def get(record: Column, key: str) -> Column:
     return or_empty(F.element_at(record, F.lit(key)))
 
 
+def in_place(value: Column) -> Column:
+    """The value itself, kept where it is computed.
+
+    A null filter above a projection is pushed below it, and a costly
+    expression is then written out again for the filter, step by step down the
+    plan. A value that names the task cannot be moved; the task number itself
+    changes nothing.
+    """
+    return F.when(F.spark_partition_id() >= 0, value)
+
+
 def _attr(tag: Column, name: str) -> Column:
     raw = F.regexp_extract(tag, rf"(?is)[\s\"']{name}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)", 1)
     return trim_all(F.regexp_replace(raw, "^[\"']|[\"']$", ""))
@@ -137,50 +161,55 @@ def json_ld_items(html: Column | str) -> Column:
 
     docs = F.transform(scripts, lambda s: parse(trim_all(s)))
     top = F.flatten(F.transform(docs, members))
-    inner = F.flatten(F.transform(top, lambda v: F.concat(F.flatten(F.transform(graph(v), lambda g: F.concat(graph(g), F.array(g)))), F.array(v))))
-    return inner
+    return F.flatten(F.transform(top, lambda v: F.concat(F.flatten(F.transform(graph(v), lambda g: F.concat(graph(g), F.array(g)))), F.array(v))))
 
 
 def is_product_type(v: Column) -> Column:
-    kinds = F.coalesce(F.when(kind(v) == "ARRAY", as_list(v)).when(kind(v) == "TEXT", F.array(v)), F.array().cast("array<variant>"))
-    return F.exists(kinds, lambda k: F.lower(trim_all(to_text(k))).isin("product", "book"))
+    """`Product` or `Book`, alone or in a list of types."""
+    kinds = F.coalesce(F.try_variant_get(v, "$", "array<string>"), F.array(F.try_variant_get(v, "$", "string")))
+    return F.coalesce(F.exists(kinds, lambda k: F.lower(trim_all(k)).isin("product", "book")), F.lit(False))
 
 
 def _image(v: Column) -> Column:
     def one(x: Column) -> Column:
-        return F.when(kind(x) == "OBJECT", to_text(at(x, "url"))).when(kind(x) == "TEXT", to_text(x)).otherwise(F.lit(""))
+        link = F.when(kind(x) == "OBJECT", F.try_variant_get(x, "$.url", "string")).when(kind(x) == "STRING", F.try_variant_get(x, "$", "string"))
+        return trim_all(link)
+
+    def body(x: Column) -> Column:
+        first = F.get(F.filter(F.transform(as_list(x), one), lambda t: t != ""), F.lit(0))
+        return F.coalesce(first, one(x))
 
-    first = F.get(F.filter(F.transform(as_list(v), one), lambda t: t != ""), F.lit(0))
-    return F.when(kind(v) == "ARRAY", first).otherwise(one(v))
+    return let(v, body)
 
 
 def json_ld_record(item: Column, url: Column) -> Column:
     """Fields of one JSON-LD product with the rest flattened to depth 3; no name gives null."""
 
-    def text(*names: str) -> Column:
-        return first_non_empty(*[to_text(at(item, n)) for n in names]) if len(names) > 1 else to_text(at(item, names[0]))
-
-    listed = at(item, "offers")
-    offer = F.when(kind(listed) == "ARRAY", F.get(as_list(listed), F.lit(0))).otherwise(listed)
-    rating = at(item, "aggregateRating")
-    named = _record(
-        ("title", text("name")),
-        ("source_url", F.coalesce(non_blank(text("url")), url)),
-        ("extraction", F.lit("jsonld")),
-        ("description", text("description")),
-        ("image", _image(at(item, "image"))),
-        ("sku", text("sku")),
-        ("isbn", text("isbn", "isbn13")),
-        ("gtin", text("gtin", "gtin13", "gtin14", "gtin12")),
-        ("brand", text("brand")),
-        ("price", number_text(to_number(at(offer, "price")))),
-        ("currency", to_text(at(offer, "priceCurrency"))),
-        ("availability", to_text(at(offer, "availability"))),
-        ("rating", number_text(to_number(at(rating, "ratingValue")))),
-        ("review_count", F.regexp_replace(to_text(at(rating, "reviewCount")), "[^0-9]", "")),
-    )
-    whole = F.map_zip_with(named, flatten(item, 3), lambda _, a, b: F.coalesce(a, b))
-    return F.when(text("name") != "", whole)
+    def first_offer(v: Column) -> Column:
+        return F.coalesce(F.get(as_list(v), F.lit(0)), v)
+
+    def body(t: Column) -> Column:
+        named = _record(
+            ("title", get(t, "name")),
+            ("source_url", F.coalesce(non_blank(get(t, "url")), url)),
+            ("extraction", F.lit("jsonld")),
+            ("description", get(t, "description")),
+            ("image", _image(at(item, "image"))),
+            ("sku", get(t, "sku")),
+            ("isbn", first_non_empty(get(t, "isbn"), get(t, "isbn13"))),
+            ("gtin", first_non_empty(*[get(t, k) for k in ("gtin", "gtin13", "gtin14", "gtin12")])),
+            ("brand", get(t, "brand")),
+            ("price", let(to_number(at(offer, "price")), number_text)),
+            ("currency", F.try_variant_get(offer, "$.priceCurrency", "string")),
+            ("availability", F.try_variant_get(offer, "$.availability", "string")),
+            ("rating", let(to_number(at(at(item, "aggregateRating"), "ratingValue")), number_text)),
+            ("review_count", F.regexp_replace(F.try_variant_get(item, "$.aggregateRating.reviewCount", "string"), "[^0-9]", "")),
+        )
+        whole = F.map_zip_with(named, flatten(item, 3), lambda _, x, y: F.coalesce(x, y))
+        return F.when(get(t, "name") != "", whole)
+
+    offer = let(at(item, "offers"), first_offer)
+    return let(texts(item), body)
 
 
 def record_score(record: Column) -> Column:
@@ -199,8 +228,9 @@ def json_ld_candidates(pages: DataFrame) -> DataFrame:
     """(page_id, url, position, record, score) for every product object of every page."""
     items = pages.select("page_id", "url", F.posexplode(json_ld_items("html")).alias("position", "item"))
     products = items.where(is_product_type(at(F.col("item"), "@type")))
-    records = products.select("page_id", "url", "position", json_ld_record(F.col("item"), F.col("url")).alias("record"))
-    return records.where(F.col("record").isNotNull()).withColumn("score", record_score(F.col("record")))
+    records = products.select("page_id", "url", "position", in_place(json_ld_record(F.col("item"), F.col("url"))).alias("record"))
+    named = records.where(F.col("record").isNotNull())
+    return named.withColumn("score", record_score(F.col("record")))
 
 
 def best_candidate(candidates: DataFrame) -> DataFrame:
@@ -218,8 +248,12 @@ def best_json_ld(html: Column | str, url: Column) -> Column:
         F.transform(F.filter(json_ld_items(html), lambda v: is_product_type(at(v, "@type"))), lambda v: json_ld_record(v, url)),
         lambda r: r.isNotNull(),
     )
-    ranked = F.transform(records, lambda r, i: F.struct((-record_score(r)).alias("rank"), i.alias("at")))
-    return F.get(records, F.array_min(ranked)["at"])
+
+    def pick(rs: Column) -> Column:
+        ranked = F.transform(rs, lambda r, i: F.struct((-record_score(r)).alias("rank"), i.alias("at")))
+        return F.get(rs, F.array_min(ranked)["at"])
+
+    return let(records, pick)
 
 
 NEXT_KEEP = [
@@ -233,14 +267,14 @@ def _fold_names(v: Column) -> Column:
     """Names out of a text, an object or a list of either; repeats in any case drop."""
 
     def one(x: Column) -> Column:
-        named = first_non_empty(*[to_text(at(x, n)) for n in ("name", "fullName", "title")])
-        return clean_text(F.when(kind(x) == "OBJECT", named).when(kind(x) == "TEXT", to_text(x)))
+        named = first_non_empty(*[F.try_variant_get(x, f"$.{n}", "string") for n in ("name", "fullName", "title")])
+        return clean_text(F.when(kind(x) == "OBJECT", named).when(kind(x) == "STRING", F.try_variant_get(x, "$", "string")))
 
-    listed = F.when(kind(v) == "ARRAY", as_list(v)).when(kind(v) != "VOID", F.array(v))
-    names = F.filter(F.transform(listed, one), lambda n: or_empty(n) != "")
-    lowered = F.transform(names, lambda n: F.lower(n))
-    kept = F.filter(F.transform(names, lambda n, i: F.when(F.array_position(lowered, F.lower(n)) == i + 1, n)), lambda n: n.isNotNull())
-    return F.array_join(kept, ", ")
+    def body(x: Column) -> Column:
+        listed = F.when(kind(x) == "ARRAY", as_list(x)).when(kind(x) != "VOID", F.array(x))
+        return F.filter(F.transform(listed, one), lambda n: or_empty(n) != "")
+
+    return F.array_join(first_of_equals(let(v, body), lambda n: F.lower(n)), ", ")
 
 
 def next_data_record(html: Column | str, url: Column) -> Column:
@@ -248,55 +282,72 @@ def next_data_record(html: Column | str, url: Column) -> Column:
     source = F.col(html) if isinstance(html, str) else html
     text = F.regexp_extract(source, r"(?is)<script[^>]*id=[\"']__NEXT_DATA__[\"'][^>]*>(.*?)</script>", 1)
     props = at(at(parse(F.nullif(trim_all(text), F.lit(""))), "props"), "pageProps")
+    return let(props, lambda pp: let(_next_product(pp), lambda p: F.when(p.isNotNull(), _next_record(p, pp, url))))
+
+
+def _next_product(props: Column) -> Column:
+    """First of the usual places that holds a named, marked product."""
     spots = F.array(at(props, "data"), at(at(props, "data"), "data"), at(props, "product"), at(props, "book"), at(props, "item"))
 
     def usable(p: Column) -> Column:
-        named = or_empty(first_non_empty(to_text(at(p, "name")), to_text(at(p, "title")))) != ""
-        marked = F.concat(*[or_empty(to_text(at(p, k))) for k in ("bookPrice", "price", "barcode", "isbn", "link", "_id", "id")]) != ""
-        return (kind(p) == "OBJECT") & named & marked
+        def some(*names: str) -> Column:
+            held = [F.coalesce(F.try_variant_get(p, f"$.{n}", "string"), F.lit("")) for n in names]
+            return trim_all(F.concat(*held)) != ""
 
-    p = F.get(F.filter(spots, usable), F.lit(0))
+        marked = some("bookPrice", "price", "barcode", "isbn", "link", "_id", "id")
+        return F.coalesce((kind(p) == "OBJECT") & some("name", "title") & marked, F.lit(False))
 
-    def t(name: str) -> Column:
-        return or_empty(to_text(at(p, name)))
+    return F.get(F.filter(spots, usable), F.lit(0))
 
-    about = at(p, "description")
 
+def _next_record(p: Column, props: Column, url: Column) -> Column:
     def said(x: Column) -> Column:
-        return clean_text(F.when(kind(x) == "OBJECT", first_non_empty(to_text(at(x, "value")), to_text(at(x, "text")))).otherwise(to_text(x)))
-
-    description = F.when(
-        kind(about) == "ARRAY", F.array_join(F.filter(F.transform(as_list(about), said), lambda s: or_empty(s) != ""), " ")
-    ).otherwise(said(about))
-    page = F.coalesce(non_blank(F.when(to_text(at(props, "currentUrl")) != "", resolve_url(to_text(at(props, "currentUrl")), url))), url)
-    picture = first_non_empty(t("imgUrl"), t("image"), to_text(at(props, "seoImage")))
-    stock = F.when(
-        kind(at(p, "isAvailable")) == "BOOLEAN", F.when(t("isAvailable") == "true", "in_stock").otherwise("out_of_stock")
-    ).when(
-        F.regexp_replace(t("amount"), "[^0-9]", "") != "",
-        F.when(F.regexp_replace(t("amount"), "[^0-9]", "").try_cast("bigint") > 0, "in_stock").otherwise("out_of_stock"),
-    )
-    house = at(p, "publisher")
-    number = clean_text(first_non_empty(t("_id"), t("id")))
-    record = _record(
-        ("title", clean_text(first_non_empty(t("name"), t("title")))),
-        ("source_url", page),
-        ("extraction", F.lit("next_data")),
-        ("description", description),
-        ("price", number_text(F.coalesce(*[to_number(at(p, k)) for k in NEXT_PRICES]))),
-        ("isbn", norm_isbn_page(or_empty(first_non_empty(t("isbn"), t("barcode"))))),
-        ("barcode", clean_text(t("barcode"))),
-        ("product_id", number),
-        ("sku", F.coalesce(non_blank(clean_text(t("sku"))), number)),
-        ("publisher", clean_text(F.when(kind(house) == "OBJECT", first_non_empty(to_text(at(house, "name")), to_text(at(house, "title")))).otherwise(t("publisher")))),
-        ("author_names", _fold_names(F.coalesce(F.when(to_text(at(p, "authors")) != "", at(p, "authors")), at(p, "author")))),
-        ("genres", _fold_names(at(p, "genres"))),
-        ("tags", _fold_names(at(p, "tags"))),
-        ("image", F.when(or_empty(picture) != "", F.when(F.lower(picture).rlike("^(https?:|data:)"), picture).otherwise(resolve_url(picture, page)))),
-        ("availability", stock),
-        *[(k, t(k)) for k in NEXT_KEEP],
-    )
-    return F.when(p.isNotNull(), record)
+        inner = first_non_empty(F.try_variant_get(x, "$.value", "string"), F.try_variant_get(x, "$.text", "string"))
+        return clean_text(F.when(kind(x) == "OBJECT", inner).otherwise(F.try_variant_get(x, "$", "string")))
+
+    def told(x: Column) -> Column:
+        many = F.array_join(F.filter(F.transform(as_list(x), said), lambda s: or_empty(s) != ""), " ")
+        return F.coalesce(many, said(x))
+
+    def stocked(digits: Column) -> Column:
+        return F.when(digits != "", F.when(digits.try_cast("bigint") > 0, "in_stock").otherwise("out_of_stock"))
+
+    def house(x: Column) -> Column:
+        inner = first_non_empty(F.try_variant_get(x, "$.name", "string"), F.try_variant_get(x, "$.title", "string"))
+        return clean_text(F.when(kind(x) == "OBJECT", inner).otherwise(F.try_variant_get(x, "$", "string")))
+
+    def pictured(link: Column) -> Column:
+        return F.when(F.lower(link).rlike("^(https?:|data:)"), link).when(link != "", resolve_url(link, url))
+
+    def body(t: Column) -> Column:
+        def v(name: str) -> Column:
+            return get(t, name)
+
+        stock = F.when(
+            kind(at(p, "isAvailable")) == "BOOLEAN", F.when(v("isAvailable") == "true", "in_stock").otherwise("out_of_stock")
+        ).otherwise(let(F.regexp_replace(v("amount"), "[^0-9]", ""), stocked))
+        number = clean_text(first_non_empty(v("_id"), v("id")))
+        page = let(F.try_variant_get(props, "$.currentUrl", "string"), lambda link: F.when(link != "", resolve_url(link, url)))
+        return _record(
+            ("title", clean_text(first_non_empty(v("name"), v("title")))),
+            ("source_url", F.coalesce(page, url)),
+            ("extraction", F.lit("next_data")),
+            ("description", let(at(p, "description"), told)),
+            ("price", let(F.coalesce(*[to_number(at(p, k)) for k in NEXT_PRICES]), number_text)),
+            ("isbn", let(first_non_empty(v("isbn"), v("barcode")), norm_isbn_page)),
+            ("barcode", clean_text(v("barcode"))),
+            ("product_id", number),
+            ("sku", F.coalesce(non_blank(clean_text(v("sku"))), number)),
+            ("publisher", let(at(p, "publisher"), house)),
+            ("author_names", F.coalesce(non_blank(_fold_names(at(p, "authors"))), _fold_names(at(p, "author")))),
+            ("genres", _fold_names(at(p, "genres"))),
+            ("tags", _fold_names(at(p, "tags"))),
+            ("image", let(first_non_empty(v("imgUrl"), v("image"), F.try_variant_get(props, "$.seoImage", "string")), pictured)),
+            ("availability", stock),
+            *[(k, v(k)) for k in NEXT_KEEP],
+        )
+
+    return let(texts(p), body)
 
 
 def open_graph_record(meta: Column, url: Column) -> Column:
@@ -309,7 +360,7 @@ def open_graph_record(meta: Column, url: Column) -> Column:
         ("extraction", F.lit("opengraph")),
         ("description", m("og:description", "description")),
         ("image", m("og:image")),
-        ("price", number_text(F.replace(trim_all(get(meta, "product:price:amount")), F.lit(","), F.lit(".")).try_cast("double"))),
+        ("price", let(F.replace(trim_all(get(meta, "product:price:amount")), F.lit(","), F.lit(".")).try_cast("double"), number_text)),
         ("currency", m("product:price:currency")),
         ("availability", m("product:availability")),
     )
@@ -326,34 +377,36 @@ def embedded_list_record(html: Column | str, url: Column) -> Column:
     """Product of a `waitingList` array: the one of the page's category, else one chosen by the URL."""
     source = F.col(html) if isinstance(html, str) else html
     text = F.regexp_extract(source, r"(?is)let\s+waitingList\s*=\s*(\[.*?\]);", 1)
-    items = as_list(parse(F.nullif(text, F.lit(""))))
     category = F.regexp_extract(url_path(url), "^/+catalog/([^/]+)", 1)
     letters = F.filter(F.split(url, ""), lambda ch: ch != "")
     start = F.aggregate(letters, F.lit(0).cast("bigint"), lambda a, ch: a + F.ascii(ch))
 
     def build(item: Column) -> Column:
-        name, link = clean_text(to_text(at(item, "name"))), to_text(at(item, "url"))
+        name, link = clean_text(F.try_variant_get(item, "$.name", "string")), F.try_variant_get(item, "$.url", "string")
         stock = at(item, "inStock")
-        picture = to_text(at(item, "image"))
+        picture = F.try_variant_get(item, "$.image", "string")
         record = _record(
             ("title", name),
-            ("source_url", resolve_url(F.replace(link, F.lit("\\/"), F.lit("/")), url)),
+            ("source_url", let(F.replace(link, F.lit("\\/"), F.lit("/")), lambda u: resolve_url(u, url))),
             ("extraction", F.lit("waiting_list_json")),
-            ("price", number_text(to_number(at(item, "price")))),
-            ("image", F.when(picture != "", resolve_url(picture, url))),
-            ("sku", first_non_empty(*[to_text(at(item, k)) for k in ("vendorCode", "code", "productId")])),
-            ("availability", F.when(kind(stock) == "BOOLEAN", F.when(to_text(stock) == "true", "in_stock").otherwise("out_of_stock"))),
+            ("price", let(to_number(at(item, "price")), number_text)),
+            ("image", let(picture, lambda u: F.when(u != "", resolve_url(u, url)))),
+            ("sku", first_non_empty(*[F.try_variant_get(item, f"$.{k}", "string") for k in ("vendorCode", "code", "productId")])),
+            ("availability", F.when(kind(stock) == "BOOLEAN", F.when(F.try_variant_get(stock, "$", "boolean"), "in_stock").otherwise("out_of_stock"))),
         )
         return F.when((name != "") & (link != ""), record)
 
     def usable(item: Column) -> Column:
-        return (or_empty(to_text(at(item, "name"))) != "") & (or_empty(to_text(at(item, "url"))) != "")
+        return (or_empty(F.try_variant_get(item, "$.name", "string")) != "") & (or_empty(F.try_variant_get(item, "$.url", "string")) != "")
 
-    turn = F.pmod(start, F.size(items)).cast("int")
-    turned = F.concat(F.slice(items, turn + 1, F.size(items)), F.slice(items, F.lit(1), turn))
-    same = F.filter(items, lambda i: usable(i) & to_text(at(i, "url")).contains(F.concat(F.lit("/"), category, F.lit("/"))))
-    chosen = F.coalesce(F.when(category != "", F.get(same, F.lit(0))), F.get(F.filter(turned, usable), F.lit(0)))
-    return F.when(F.size(items) > 0, build(chosen))
+    def choose(items: Column) -> Column:
+        turn = F.pmod(start, F.size(items)).cast("int")
+        turned = F.concat(F.slice(items, turn + 1, F.size(items)), F.slice(items, F.lit(1), turn))
+        same = F.filter(items, lambda i: usable(i) & F.try_variant_get(i, "$.url", "string").contains(F.concat(F.lit("/"), category, F.lit("/"))))
+        picked = F.coalesce(F.when(category != "", F.get(same, F.lit(0))), F.get(F.filter(turned, usable), F.lit(0)))
+        return F.when(F.size(items) > 0, let(picked, build))
+
+    return let(as_list(parse(F.nullif(text, F.lit("")))), choose)
 
 
 def scan_pages(pages: DataFrame) -> DataFrame:
@@ -387,10 +440,10 @@ def attribute_pairs() -> Column:
             ),
         )
     )
-    all_rows = F.concat(F.transform("rows", lambda r: F.struct(clean_text(r["name"]).alias("name"), clean_text(r["value"]).alias("value"))).cast(pair), listed.cast(pair), inline.cast(pair))
+    tabled = F.transform("rows", lambda r: F.struct(clean_text(r["name"]).alias("name"), clean_text(r["value"]).alias("value")))
+    all_rows = F.concat(tabled.cast(pair), listed.cast(pair), inline.cast(pair))
     kept = F.filter(all_rows, lambda r: (r["name"] != "") & (r["value"] != ""))
-    keys = F.transform(kept, lambda r: F.lower(F.concat(r["name"], F.lit("::"), r["value"])))
-    return F.filter(F.transform(kept, lambda r, i: F.when(F.array_position(keys, F.element_at(keys, i + 1)) == i + 1, r)), lambda r: r.isNotNull())
+    return first_of_equals(kept, lambda r: F.lower(F.concat(r["name"], F.lit("::"), r["value"])))
 
 
 def attribute_field(label: Column) -> Column:
@@ -412,39 +465,48 @@ def attribute_rows(scanned: DataFrame) -> DataFrame:
 def _attribute_map(pairs: Column) -> Column:
     """Routed attribute fields; the last row of a field counts."""
 
-    def routed(r: Column) -> Column:
-        field, value = attribute_field(r["name"]), trim_all(r["value"])
-        shaped = (
+    def shaped(field: Column, value: Column) -> Column:
+        return (
             F.when(field == "isbn", F.coalesce(F.nullif(norm_isbn_page(value), F.lit("")), value))
             .when(field == "sku", F.when(~F.lower(value).contains("copy"), value))
             .when(field == "author_names", F.array_join(split_names(value), ", "))
             .when(field == "pages", F.regexp_replace(value, "[^0-9]", ""))
-            .when(field == "price", number_text(F.replace(value, F.lit(","), F.lit(".")).try_cast("double")))
+            .when(field == "price", let(F.replace(value, F.lit(","), F.lit(".")).try_cast("double"), number_text))
             .otherwise(value)
         )
-        return F.struct(field.alias("key"), shaped.alias("value"))
 
-    entries = F.filter(F.transform(F.reverse(pairs), routed), lambda e: e["key"].isNotNull() & (or_empty(e["value"]) != ""))
-    labels = F.transform(F.reverse(pairs), lambda r: F.struct(F.concat(F.lit("attr."), slug_label(r["name"])).alias("key"), r["value"].alias("value")))
-    return map_of(F.concat(entries, labels))
+    def routed(r: Column) -> Column:
+        return let(
+            attribute_field(r["name"]),
+            lambda field: F.struct(field.alias("key"), shaped(field, r["value"]).alias("value")),
+        )
+
+    def both(rows: Column) -> Column:
+        entries = F.filter(F.transform(rows, routed), lambda e: e["key"].isNotNull() & (or_empty(e["value"]) != ""))
+        labels = F.transform(rows, lambda r: F.struct(F.concat(F.lit("attr."), slug_label(r["name"])).alias("key"), r["value"].alias("value")))
+        return map_of(F.concat(entries, labels))
+
+    return let(F.reverse(pairs), both)
 
 
 def ecommerce_record(html: Column | str) -> Column:
     """Fields of an analytics call that carries the product as JSON."""
     source = F.col(html) if isinstance(html, str) else html
     text = F.regexp_extract(source, r"(?is)wpym\.ec\.addData\(\s*(\{.*?\})\s*\)\s*;?", 1)
-    doc = parse(F.nullif(text, F.lit("")))
-    listed = F.map_values(F.try_variant_get(at(doc, "products"), "$", "map<string,variant>"))
-    item = F.get(listed, F.lit(0))
-    number = to_text(at(item, "id"))
-    return _record(
-        ("currency", to_text(at(doc, "currency"))),
-        ("isbn", F.when(number.contains("-"), number)),
-        ("sku", number),
-        ("title", to_text(at(item, "name"))),
-        ("category", to_text(at(item, "category"))),
-        ("price", number_text(to_number(at(item, "price")))),
-    )
+    def body(doc: Column) -> Column:
+        listed = F.map_values(F.try_variant_get(at(doc, "products"), "$", "map<string,variant>"))
+        item = F.get(listed, F.lit(0))
+        number = F.try_variant_get(item, "$.id", "string")
+        return _record(
+            ("currency", F.try_variant_get(doc, "$.currency", "string")),
+            ("isbn", let(number, lambda n: F.when(n.contains("-"), n))),
+            ("sku", number),
+            ("title", F.try_variant_get(item, "$.name", "string")),
+            ("category", F.try_variant_get(item, "$.category", "string")),
+            ("price", let(to_number(at(item, "price")), number_text)),
+        )
+
+    return let(parse(F.nullif(text, F.lit(""))), body)
 
 
 def html_record(meta: Column, html: Column | str, url: Column) -> Column:
@@ -460,51 +522,54 @@ def html_record(meta: Column, html: Column | str, url: Column) -> Column:
         ),
         lambda e: e["text"] != "",
     )
-    heading = split_author_title(F.get(titles, F.lit(0))["text"])
+    heading = let(F.get(titles, F.lit(0))["text"], split_author_title)
     described = elements(
         lambda e: (e["cls"].rlike("description|entry-content|annotation|about|page-text|product-tab") | e["ident"].rlike("description|annotation")) & (e["text"] != "")
     )
-    weights = F.transform(
+    weighed = F.transform(
         described,
         lambda e, i: F.struct(
             (F.length(e["text"]) + points(e["cls"].contains("description-block"), 120) + points(e["cls"].contains("tab-content"), 20)).alias("score"),
             (-i).alias("place"),
+            e["text"].alias("text"),
         ),
     )
-    longest = F.get(described, -F.array_max(weights)["place"])["text"]
+    longest = F.array_max(weighed)["text"]
     images = elements(lambda e: (e["tag"] == "img") & (e["value"] != ""))
     marked = F.filter(images, lambda e: trim_all(e["prop"]) == "image")
-    picture = trim_all(F.coalesce(F.element_at(F.filter(marked, lambda e: e["value"] != ""), -1)["value"], F.get(images, F.lit(0))["value"]))
+    picture = trim_all(F.coalesce(F.try_element_at(F.filter(marked, lambda e: e["value"] != ""), F.lit(-1))["value"], F.get(images, F.lit(0))["value"]))
     crumbs = F.filter(elements(lambda e: (e["tag"] == "li") & F.lower(e["kind"]).contains("listitem")), lambda e: e["text"] != "")
     ages = F.filter(elements(lambda e: e["ident"].isin("age", "age_dopusk")), lambda e: e["text"] != "")
-    attrs = _attribute_map(attribute_pairs())
 
     def data_value(key: str) -> Column:
         held = elements(lambda e: F.map_contains_key(e["data"], F.lit(key)))
         return or_empty(F.element_at(F.get(held, F.lit(0))["data"], F.lit(key)))
 
-    seen_sku = trim_all(data_value("data-product-id"))
-    own = _record(
-        ("source_url", url),
-        ("extraction", F.lit("html_product")),
-        ("title", F.coalesce(non_blank(heading["title"]), first_non_empty(get(meta, "og:title"), get(meta, "twitter:title"), get(meta, "title")))),
-        ("author_names", F.coalesce(non_blank(get(attrs, "author_names")), heading["author"])),
-        ("description", F.coalesce(non_blank(longest), first_non_empty(get(meta, "og:description"), get(meta, "description"), get(meta, "twitter:description")))),
-        ("image", F.coalesce(F.when(~picture.startswith("data:image/"), non_blank(picture)), first_non_empty(get(meta, "og:image"), get(meta, "twitter:image")))),
-        ("isbn", F.coalesce(non_blank(get(attrs, "isbn")), norm_isbn_page(data_value("data-product-isbn")))),
-        ("sku", F.coalesce(non_blank(get(attrs, "sku")), F.when(seen_sku.rlike("^[0-9]{3,}$"), seen_sku))),
-        ("availability", F.col("stock")),
-        ("age_restriction", F.coalesce(non_blank(get(attrs, "age_restriction")), F.element_at(ages, -1)["text"])),
-        ("category", F.when(F.size(crumbs) >= 2, F.element_at(crumbs, -2)["text"])),
-    )
-    merged = merge_missing(merge_missing(own, attrs), ecommerce_record(html))
-    paid = _record(
-        ("price", number_text(F.replace(get(meta, "product:price:amount"), F.lit(","), F.lit(".")).try_cast("double"))),
-        ("currency", get(meta, "product:price:currency")),
-    )
-    full = merge_missing(merged, paid)
-    signals = F.concat(*[get(full, k) for k in ("title", "isbn", "sku", "price", "pages", "author_names", "format", "binding_type", "age_restriction")])
-    return F.when(signals != "", full)
+    def body(attrs: Column) -> Column:
+        own = _record(
+            ("source_url", url),
+            ("extraction", F.lit("html_product")),
+            ("title", F.coalesce(non_blank(heading["title"]), first_non_empty(get(meta, "og:title"), get(meta, "twitter:title"), get(meta, "title")))),
+            ("author_names", F.coalesce(non_blank(get(attrs, "author_names")), heading["author"])),
+            ("description", F.coalesce(non_blank(longest), first_non_empty(get(meta, "og:description"), get(meta, "description"), get(meta, "twitter:description")))),
+            ("image", F.coalesce(let(picture, lambda i: F.when(~i.startswith("data:image/"), non_blank(i))), first_non_empty(get(meta, "og:image"), get(meta, "twitter:image")))),
+            ("isbn", F.coalesce(non_blank(get(attrs, "isbn")), let(data_value("data-product-isbn"), norm_isbn_page))),
+            ("sku", F.coalesce(non_blank(get(attrs, "sku")), F.nullif(F.regexp_extract(trim_all(data_value("data-product-id")), "^([0-9]{3,})$", 1), F.lit("")))),
+            ("availability", F.col("stock")),
+            ("age_restriction", F.coalesce(non_blank(get(attrs, "age_restriction")), F.try_element_at(ages, F.lit(-1))["text"])),
+            ("category", F.when(F.size(crumbs) >= 2, F.try_element_at(crumbs, F.lit(-2))["text"])),
+        )
+        paid = _record(
+            ("price", let(F.replace(get(meta, "product:price:amount"), F.lit(","), F.lit(".")).try_cast("double"), number_text)),
+            ("currency", get(meta, "product:price:currency")),
+        )
+        return merge_missing(merge_missing(merge_missing(own, attrs), ecommerce_record(html)), paid)
+
+    def kept(full: Column) -> Column:
+        signals = F.concat(*[get(full, k) for k in ("title", "isbn", "sku", "price", "pages", "author_names", "format", "binding_type", "age_restriction")])
+        return F.when(signals != "", full)
+
+    return let(let(_attribute_map(attribute_pairs()), body), kept)
 
 
 MICRODATA_FIELDS = {
@@ -554,40 +619,52 @@ def microdata_record(url: Column) -> Column:
     entries = F.filter(F.concat(props, classed, data), lambda e: e["key"].isNotNull() & (trim_all(e["value"]) != ""))
     record = map_of(F.transform(entries, lambda e: F.struct(e["key"].alias("key"), trim_all(e["value"]).alias("value"))))
     own = _record(("source_url", url), ("extraction", F.lit("microdata")))
-    return F.when(get(record, "title") != "", merge_missing(record, own))
+    return let(record, lambda r: F.when(get(r, "title") != "", merge_missing(r, own)))
 
 
 def has_product_meta(meta: Column) -> Column:
     return (F.concat(*[get(meta, k) for k in META_MARKS]) != "") | F.lower(get(meta, "og:type")).rlike("product|book")
 
 
-def product_gate(record: Column, source: str, url: Column, meta_product: Column, body_product: Column) -> Column:
-    """Whether a record is believed to be a product, by signals and their source."""
-    link = F.lower(trim_all(url))
+def page_signals(url: Column, meta: Column, html: Column) -> Column:
+    """What address, meta tags and source of a page say, apart from any record."""
+    return let(
+        F.lower(trim_all(url)),
+        lambda link: F.struct(
+            is_likely_product(link).alias("likely"),
+            looks_like_product_url(link).alias("shaped"),
+            non_product_url(link).alias("listing"),
+            has_product_meta(meta).alias("meta"),
+            any_token(F.lower(html), BODY_MARKS).alias("body"),
+        ),
+    )
+
+
+def product_gate(record: Column, source: str, page: Column) -> Column:
+    """Whether a record is believed to be a product, by its fields, its source and the page signals."""
     title = F.lower(trim_all(get(record, "title")))
     strong = F.concat(get(record, "gtin"), get(record, "isbn"), get(record, "sku")) != ""
     priced = get(record, "price") != ""
     stocked = get(record, "availability") != ""
     described = F.length(trim_all(get(record, "description"))) >= 60
     pictured = get(record, "image") != ""
-    shaped = looks_like_product_url(link)
-    refused = is_non_product_page(link, title)
+    refused = F.coalesce(page["listing"], any_token(title, NON_PRODUCT_TITLES))
     score = total(
-        points(strong, 4), points(priced, 3), points(stocked, 1), points(described, 1), points(pictured, 1), points(shaped, 2),
-        points(meta_product, 2), points(body_product, 2),
+        points(strong, 4), points(priced, 3), points(stocked, 1), points(described, 1), points(pictured, 1), points(page["shaped"], 2),
+        points(page["meta"], 2), points(page["body"], 2),
     )
-    sure = strong | priced | meta_product
+    sure = strong | priced | page["meta"]
     if source == "jsonld":
-        verdict = priced | meta_product | (strong & (shaped | stocked)) | (score >= 6)
+        verdict = priced | page["meta"] | (strong & (page["shaped"] | stocked)) | (score >= 6)
     elif source == "html_product":
         verdict = (
             F.when(refused, sure)
-            .when(sure | body_product, score >= 4)
-            .otherwise((title != "") & (described | pictured) & is_likely_product(link))
+            .when(sure | page["body"], score >= 4)
+            .otherwise((title != "") & (described | pictured) & page["likely"])
         )
     else:
-        verdict = (sure | body_product) & (score >= 6)
-    return F.coalesce(F.when(refused & ~(sure | body_product), F.lit(False)).otherwise(verdict), F.lit(False)) & record.isNotNull()
+        verdict = (sure | page["body"]) & (score >= 6)
+    return F.coalesce(F.when(refused & ~(sure | page["body"]), F.lit(False)).otherwise(verdict), F.lit(False)) & record.isNotNull()
 
 
 def clean_record(record: Column) -> Column:
@@ -606,27 +683,27 @@ def extract_products(pages: DataFrame) -> DataFrame:
     in Python; no exchange is needed, a page is decided inside its row.
     """
     url = F.col("url")
-    base = scan_pages(pages.select("page_id", "url", "html")).withColumns(
+    scanned = scan_pages(pages.select("page_id", "url", "html"))
+    parsed = scanned.withColumn("meta", meta_map("html")).withColumns(
         {
-            "meta": meta_map("html"),
-            "body_product": any_token(F.lower("html"), BODY_MARKS),
+            "page": page_signals(url, F.col("meta"), F.col("html")),
             "ld": best_json_ld("html", url),
             "next": next_data_record("html", url),
+            "visible": html_record(F.col("meta"), "html", url),
+            "graph": open_graph_record(F.col("meta"), url),
             "embedded": embedded_list_record("html", url),
         }
     )
-    staged = base.withColumns({"visible": html_record(F.col("meta"), "html", url), "graph": open_graph_record(F.col("meta"), url), "meta_product": has_product_meta(F.col("meta"))})
     meta = F.col("meta")
-    filled = staged.withColumns(
-        {
-            "ld": with_meta(merge_missing(F.col("ld"), F.col("visible")), meta),
-            "next": with_meta(merge_missing(F.col("next"), F.col("visible")), meta),
-            "visible": with_meta(F.col("visible"), meta),
-        }
-    ).select("page_id", "url", "ld", "next", "visible", "graph", "embedded", "meta", "meta_product", "body_product")
+    filled = parsed.select(
+        "page_id", "url", "meta", "page", "graph", "embedded",
+        with_meta(merge_missing(F.col("ld"), F.col("visible")), meta).alias("ld"),
+        with_meta(merge_missing(F.col("next"), F.col("visible")), meta).alias("next"),
+        with_meta(F.col("visible"), meta).alias("visible"),
+    )
 
     def passed(column: str, source: str) -> Column:
-        return F.when(product_gate(F.col(column), source, url, F.col("meta_product"), F.col("body_product")), F.col(column))
+        return F.when(product_gate(F.col(column), source, F.col("page")), F.col(column))
 
     chosen = F.coalesce(
         passed("ld", "jsonld"),
@@ -635,7 +712,8 @@ def extract_products(pages: DataFrame) -> DataFrame:
         with_meta(passed("graph", "opengraph"), meta),
         with_meta(passed("embedded", "embedded_json"), meta),
     )
-    picked = filled.select("page_id", "url", clean_record(chosen).alias("record")).where(F.col("record").isNotNull())
+    decided = filled.select("page_id", "url", in_place(let(chosen, clean_record)).alias("record"))
+    picked = decided.where(F.col("record").isNotNull())
     return picked.select("page_id", "url", get(F.col("record"), "extraction").alias("extraction"), "record")
 
 

@@ -20,9 +20,9 @@ def judged(df: DataFrame, json_col: str) -> DataFrame:
     has_data = F.array_contains(F.json_object_keys(json_col), F.lit("data"))
     reason = (
         F.when(F.col("_doc").isNull(), "record is not valid json")
-        .when(what != "OBJECT", "record must be an object")
+        .when(F.coalesce(what, F.lit("")) != "OBJECT", "record must be an object")
         .when(~has_data, "record.data is required")
-        .when(data_kind != "OBJECT", "record.data must be an object")
+        .when(F.coalesce(data_kind, F.lit("")) != "OBJECT", "record.data must be an object")
     )
     return doc.select(
         *df.columns,
