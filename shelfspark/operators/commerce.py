@@ -9,6 +9,11 @@ from pyspark.sql import DataFrame, Window, functions as F
 from shelfspark.operators.skew import first_by
 
 
+# Event numbers start at 0; carts carried over from earlier batches count as adds just before.
+CARRIED_OVER = -1
+BEFORE_ALL = -2
+
+
 def fold_carts(events: DataFrame) -> DataFrame:
     """Cart events (user_id, product_id, action, quantity, seq) to the carts they leave.
 
@@ -22,7 +27,7 @@ def fold_carts(events: DataFrame) -> DataFrame:
     items = events.where("action IN ('add', 'set', 'remove')")
     removes = items.groupBy("user_id", "product_id").agg(F.max(F.when(F.col("action") == "remove", F.col("seq"))).alias("_remove"))
     start = removes.join(clears, "user_id", "left").select(
-        "user_id", "product_id", F.coalesce(F.greatest("_remove", "_clear"), F.lit(-1)).cast("bigint").alias("_start")
+        "user_id", "product_id", F.coalesce(F.greatest("_remove", "_clear"), F.lit(BEFORE_ALL)).cast("bigint").alias("_start")
     )
     live = items.where("action <> 'remove'").join(start, ["user_id", "product_id"]).where(F.col("seq") > F.col("_start"))
     entered = live.where("action = 'add'").groupBy("user_id", "product_id").agg(F.min("seq").alias("_entry"))
@@ -30,7 +35,7 @@ def fold_carts(events: DataFrame) -> DataFrame:
     last_set = settled.groupBy("user_id", "product_id").agg(
         F.max(F.when(F.col("action") == "set", F.struct("seq", "quantity"))).alias("_set"),
     )
-    added = F.when((F.col("action") == "add") & (F.col("seq") > F.coalesce(F.col("_set.seq"), F.lit(-1))), F.greatest("quantity", F.lit(1)))
+    added = F.when((F.col("action") == "add") & (F.col("seq") > F.coalesce(F.col("_set.seq"), F.lit(BEFORE_ALL))), F.greatest("quantity", F.lit(1)))
     return (
         settled.join(last_set, ["user_id", "product_id"])
         .groupBy("user_id", "product_id")

@@ -7,6 +7,7 @@ from shelfspark.plans import (
     page_queries,
     scalar_queries,
     source_queries,
+    stream_queries,
 )  # noqa: F401
 from shelfspark.plans.registry import ORACLE, QUERIES
 

@@ -160,7 +160,7 @@ def p8(t: Tables):
 
 @query(
     "p9_product_gate",
-    "SELECT p_partkey AS page_id, p_size % 2 = 0 OR p_size % 3 = 0 AS jsonld, p_size % 2 = 0 OR p_size % 3 = 0 AS html_product, p_size % 2 = 0 OR p_size % 3 = 0 AS opengraph FROM part",
+    "SELECT p_partkey AS page_id, p_size % 2 = 0 OR p_size % 3 = 0 AS jsonld, true AS html_product, p_size % 2 = 0 OR p_size % 3 = 0 AS opengraph FROM part",
 )
 def p9(t: Tables):
     """Records with an ISBN on even sizes and a price on sizes that three divides, all on product URLs."""
