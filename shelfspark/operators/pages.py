@@ -721,7 +721,7 @@ def page_links(pages: DataFrame) -> DataFrame:
     """Distinct (src, dst) links of a page to its own host."""
     tags = F.regexp_extract_all("html", F.lit(r"(?is)<a\s[^>]*>"), F.lit(0))
     hrefs = F.array_distinct(F.transform(tags, lambda t: clean_text(_attr(t, "href"))))
-    links = pages.select("url", F.explode(hrefs).alias("href")).select(F.col("url").alias("src"), crawl_url("href", "url").alias("dst"))
+    links = pages.select("url", F.explode(hrefs).alias("href")).select(F.col("url").alias("src"), in_place(crawl_url("href", "url")).alias("dst"))
     return links.where(F.col("dst").isNotNull()).distinct()
 
 
@@ -731,7 +731,7 @@ def embedded_urls(pages: DataFrame) -> DataFrame:
     plain = F.array_distinct(F.transform(found, lambda u: F.replace(trim_all(F.btrim(u, F.lit("\"'"))), F.lit("\\/"), F.lit("/"))))
     bare = "(?i)^(product|products|item|dp|book|books)/"
     rows = pages.select("url", F.explode(plain).alias("raw")).withColumn("raw", F.when(F.col("raw").rlike(bare), F.concat(F.lit("/"), "raw")).otherwise(F.col("raw")))
-    links = rows.select(F.col("url").alias("src"), crawl_url("raw", "url").alias("dst"))
+    links = rows.select(F.col("url").alias("src"), in_place(crawl_url("raw", "url")).alias("dst"))
     return links.where(F.col("dst").isNotNull() & is_likely_product("dst")).distinct()
 
 
@@ -772,7 +772,7 @@ def classify_fetch(log: DataFrame) -> DataFrame:
 
 def frontier(links: DataFrame, visited: DataFrame, n: int, max_depth: int = 4) -> DataFrame:
     """Next URLs to fetch: unseen, scored, within depth; best score first, then the nearest."""
-    open_links = links.where(F.col("depth") <= max_depth).withColumn("score", discovery_score("url", "depth")).where(F.col("score") >= -2)
+    open_links = links.where(F.col("depth") <= max_depth).withColumn("score", in_place(discovery_score("url", "depth"))).where(F.col("score") >= -2)
     unseen = open_links.join(visited.select("url").distinct(), "url", "left_anti")
     best = unseen.groupBy("url").agg(F.max("score").alias("score"), F.min("depth").alias("depth"))
     return best.orderBy(F.desc("score"), "depth", "url").limit(n)

@@ -311,14 +311,14 @@ def a20(t: Tables):
 
 
 CARTS = (
-    "SELECT l_orderkey % 500 AS user_id, l_partkey * 2 - 100 AS product_id, l_linenumber AS quantity,"
+    "SELECT l_orderkey AS user_id, l_partkey * 2 - 100 AS product_id, l_linenumber AS quantity,"
     " CASE l_returnflag WHEN 'R' THEN 0.0 ELSE floor(l_extendedprice) END AS price_at_add FROM lineitem"
 )
 
 
 def cart_lines(t: Tables):
     return t.lineitem.selectExpr(
-        "l_orderkey % 500 AS user_id",
+        "l_orderkey AS user_id",
         "l_partkey * 2 - 100 AS product_id",
         "l_linenumber AS quantity",
         "CASE l_returnflag WHEN 'R' THEN CAST(0 AS DOUBLE) ELSE CAST(floor(l_extendedprice) AS DOUBLE) END AS price_at_add",

@@ -100,7 +100,7 @@ def source_columns(d) -> dict[str, str]:
         "guid_nom": "CASE p_partkey % 4 WHEN 0 THEN concat('GN-', CAST(p_partkey AS STRING)) WHEN 1 THEN '' ELSE NULL END",
         "guid": "CASE p_partkey % 3 WHEN 0 THEN concat('G-', CAST(p_partkey AS STRING)) ELSE '' END",
         "nomcode": "CASE p_partkey % 2 WHEN 0 THEN concat('N', CAST(p_partkey AS STRING)) ELSE NULL END",
-        "isbn": f"CASE p_partkey % 3 WHEN 0 THEN concat('978-', {key('p_partkey % 800', 10)}) ELSE NULL END",
+        "isbn": f"CASE p_partkey % 3 WHEN 0 THEN concat('978-', {key('p_partkey % 300', 10)}) ELSE NULL END",
         "name": "concat('  ', p_name, ' ')",
         "author_cover": "CASE p_partkey % 3 WHEN 1 THEN concat('Author ', CAST(p_size AS STRING)) ELSE '' END",
         "author_names": d.words("p_name"),
