@@ -19,6 +19,7 @@ from shelfspark.functions.values import kind, parse
 from shelfspark.operators.filters import is_stock_syncable
 from shelfspark.operators.merge import upsert_main
 from shelfspark.operators.skew import HEAVY_ROWS, spread_join
+from shelfspark.session import cut_lineage
 
 MAIN_SOURCE_KEY = [("guidNom", "source_guid_nom"), ("guid", "source_guid"), ("nomcode", "source_nomcode")]
 
@@ -140,26 +141,36 @@ def copy_to_main(
     return upsert_main(main, chosen, order, as_of, category)
 
 
-def _substrings(c: str) -> Column:
-    """All distinct substrings of a short text."""
+def _substrings(c: str, longest: int) -> Column:
+    """Distinct substrings of a text up to a length; longer ones could equal nothing on the other side."""
     size = F.length(F.col(c))
     starts = F.sequence(F.lit(1), size)
     return F.array_distinct(
         F.flatten(
-            F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), size - i + 1), lambda n: F.substring(F.col(c), i, n)))
+            F.transform(
+                starts,
+                lambda i: F.transform(
+                    F.sequence(F.lit(1), F.least(size - i + 1, F.lit(longest))), lambda n: F.substring(F.col(c), i, n)
+                ),
+            )
         )
     )
 
 
+def _longest(df: DataFrame, c: str) -> int:
+    return df.agg(F.coalesce(F.max(F.length(c)), F.lit(1))).first()[0]
+
+
 def partial_matches(terms: DataFrame, names: DataFrame) -> DataFrame:
     """Best category name inside a term, or around it: the longest, then by name, then by id.
 
     "Contains" becomes equality on substrings, so both directions are plain
     hash joins over distinct terms and names and no pair is formed that does
-    not match.
+    not match. Only the two greatest lengths come to the driver.
     """
-    inside = terms.select("term", F.explode(_substrings("term")).alias("name")).join(names, "name")
-    around = names.select("name", "category_id", F.explode(_substrings("name")).alias("term")).join(terms, "term", "left_semi")
+    inside = terms.select("term", F.explode(_substrings("term", _longest(names, "name"))).alias("name")).join(names, "name")
+    around = names.select("name", "category_id", F.explode(_substrings("name", _longest(terms, "term"))).alias("term"))
+    around = around.join(terms, "term", "left_semi")
     hits = inside.select("term", "name", "category_id").unionByName(around.select("term", "name", "category_id"))
     best = hits.groupBy("term").agg(F.min(F.struct((-F.length("name")).alias("size"), "name", "category_id")).alias("best"))
     return best.select("term", F.col("best.category_id").alias("partial_id"))
@@ -183,6 +194,8 @@ def link_categories(products: DataFrame, closure: DataFrame) -> DataFrame:
         .groupBy("term")
         .agg(F.count(F.lit(1)).alias("rows"))
     )
+    # distinct terms are read several times below; the products are scanned for them once
+    terms, names = cut_lineage(terms), cut_lineage(names)
     exact = terms.join(names.withColumnRenamed("name", "term"), "term", "left").withColumnRenamed("category_id", "exact_id")
     unmatched = exact.where(F.col("exact_id").isNull()).select("term")
     decided = exact.join(partial_matches(unmatched, names), "term", "left").select(

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from shelfspark.session import tune
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -31,7 +33,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Callable[[Tables], Dat
 
     def wrap(fn: Callable[[Tables], DataFrame]) -> Query:
         def run(spark: SparkSession, folder: str) -> DataFrame:
-            return fn(Tables(spark, folder))
+            return fn(Tables(tune(spark), folder))
 
         run.__name__ = name
         run.__doc__ = fn.__doc__
