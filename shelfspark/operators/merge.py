@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import ArrayType, BooleanType, DataType, MapType, NumericType, StringType, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DataType, MapType, NumericType, StringType
 
 from shelfspark.functions.keys import (
     MAIN_KEY,

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shelfspark.functions.text import trim_all
 from shelfspark.operators import duplicates as D, facets as A, filters as P, search as S
 from shelfspark.plans.registry import Tables, query
 from shelfspark.plans.scalar_queries import clean_list_sql, domain_sql, trim_sql
@@ -451,8 +450,6 @@ def a12(t: Tables):
     ),
 )
 def a14(t: Tables):
-    from shelfspark.functions.values import flatten, parse
-
     maps = records(t).withColumn("data", F.from_json("data", "map<string,string>"))
     return A.detected_fields(maps)
 

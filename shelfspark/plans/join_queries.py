@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shelfspark.operators import commerce as K, facets as A, hierarchy as H, joins as J, merge as M
-from shelfspark.operators.skew import first_by
 from shelfspark.plans.catalog_queries import NO_ISBN
 from shelfspark.plans.registry import Tables, query
 from shelfspark.plans.scalar_queries import trim_sql

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shelfspark.operators import commerce as K, hierarchy as H, joins as J, merge as M
+from shelfspark.operators import hierarchy as H, joins as J, merge as M
 from shelfspark.plans.join_queries import CLOSURE, RUNS, runs
 from shelfspark.plans.registry import Tables, query
 from shelfspark.plans.shapes import Duck, Spark, category_tree, main_catalog, records, source_catalog, with_shapes
@@ -101,8 +101,6 @@ MAIN_COLUMNS = ["id", "source_product_id", "source_guid_nom", "source_guid", "so
 
 
 def main_upsert(t: Tables):
-    from pyspark.sql.types import StringType
-
     current = main_catalog(t).select(*MAIN_COLUMNS, (F.col("updated_at") - 5).alias("created_at"))
     source = source_catalog(t).withColumns(
         {"category_ids": F.array(F.lit("a"), F.lit("000000000000000000000000"), F.concat(F.lit("n"), F.col("guid"))), "category_path": F.array("subject_name")}

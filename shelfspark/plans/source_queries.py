@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shelfspark.operators import mapping as G, merge as M
+from shelfspark.operators import mapping as G
 from shelfspark.plans.join_queries import RUNS, runs
 from shelfspark.plans.registry import Tables, query
 from shelfspark.plans.scalar_queries import clean_list_sql

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from shelfspark.functions.text import non_blank, or_empty, trim_all
+from shelfspark.functions.text import or_empty, trim_all
 from shelfspark.functions.values import at, kind, parse, to_text
 
 
@@ -76,7 +76,3 @@ def write_run_records(records: DataFrame, path: str, replace: bool = False) -> N
         writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
     else:
         writer.mode("append").parquet(path)
-
-
-def present_text(c: str) -> Column:
-    return non_blank(c).isNotNull()
