@@ -1,9 +1,12 @@
 """Registered queries of the operators and the DuckDB statement each must equal, where SQL can say it."""
 
-from shelfspark.llm import simhash_dedup
+from shelfspark.llm import language_id, mixing, pii, simhash_dedup
 
 QUERIES = {
     "op2_simhash_near_dedup": simhash_dedup.op2_simhash_near_dedup,
+    "op3_language_id": language_id.op3_language_id,
+    "op7_pii": pii.op7_pii,
+    "op8_mixing": mixing.op8_mixing,
 }
 
 ORACLE: dict[str, str] = {}
