@@ -238,8 +238,11 @@ def personal_data(docs: DataFrame) -> DataFrame:
     Null and empty texts have no span and the digest of the empty string. Repeated rows stay; null ids stay null.
     """
     prepare(docs.sparkSession)
-    base = F.filter("spans", lambda s: s["kind"] < BASE)
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(BASE)]
+
+    def count(kind: int) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{KINDS[kind]}")
+
+    base, counts = F.filter("spans", lambda s: s["kind"] < BASE), map(count, range(BASE))
     return with_spans(docs, ["doc_id"]).select("doc_id", *counts, F.sha2(_written(base), 256).alias("base_sha256"), _written(F.col("spans")).alias("spans"))
 
 
