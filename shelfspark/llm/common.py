@@ -10,14 +10,21 @@ from shelfspark.session import fresh_path, tune
 #: A word is a run of anything but space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Whole texts travel to Python in small batches, so a worker holds few of them at once.
-ARROW_ROWS = "512"
+#: Batches for Python are bounded by bytes, so a worker holds few long texts at once, and narrow rows go many at a time.
+SETTINGS = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "16384",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "4m",
+    # shuffle files go when their query ends, not when the driver happens to collect garbage
+    "spark.sql.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+}
 
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Runtime settings of the operators; partition counts stay the cluster's."""
     tune(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    for key, value in SETTINGS.items():
+        spark.conf.set(key, value)
     return spark
 
 

@@ -1,12 +1,15 @@
 """Registered queries of the operators and the DuckDB statement each must equal, where SQL can say it."""
 
-from shelfspark.llm import language_id, mixing, pii, simhash_dedup
+from shelfspark.llm import decontaminate, language_id, mixing, paragraph_dedup, pii, simhash_dedup, topk
 
 QUERIES = {
     "op2_simhash_near_dedup": simhash_dedup.op2_simhash_near_dedup,
     "op3_language_id": language_id.op3_language_id,
+    "op5_exact_topk": topk.op5_exact_topk,
     "op7_pii": pii.op7_pii,
     "op8_mixing": mixing.op8_mixing,
+    "op9_decontamination": decontaminate.op9_decontamination,
+    "op10_paragraph_dedup": paragraph_dedup.op10_paragraph_dedup,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op5_exact_topk": topk.ORACLE_SQL}
