@@ -70,8 +70,9 @@ def pieces(hashes: np.ndarray, lines: np.ndarray) -> tuple[np.ndarray, np.ndarra
     cut = lines[line] > LONG_LINE
     for d in range(1, min(REACH, n - 1) + 1):
         same = line[d:] == line[:-d]
-        cut[d:] &= ~same | (pair[d:] < pair[:-d])
-        cut[:-d] &= ~same | (pair[:-d] < pair[d:])
+        cut[d:] &= ~same | (pair[d:] <= pair[:-d])
+        cut[:-d] &= ~same | (pair[:-d] <= pair[d:])
+    cut = _thinned(cut, line)
     cut[first] = True
     starts = np.flatnonzero(cut)
     lengths = np.diff(np.append(starts, n))
@@ -83,6 +84,20 @@ def pieces(hashes: np.ndarray, lines: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts[good], lengths[good]
 
 
+def _thinned(cut: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """Cuts at equal hashes, as a repeated phrase has them, kept only where the last kept one is MIN_PIECE words away."""
+    at = np.flatnonzero(cut)
+    if len(at) > 1 and (close := (np.diff(at) < MIN_PIECE) & (line[at[1:]] == line[at[:-1]])).any():
+        kept, of = -MIN_PIECE, -1
+        for i in np.flatnonzero(np.append(close, False) | np.append(False, close)):
+            x = at[i]
+            if line[x] == of and x - kept < MIN_PIECE:
+                cut[x] = False
+            else:
+                kept, of = x, line[x]
+    return cut
+
+
 def _spread(starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All indices of the runs, and where each run begins among them."""
     begins = np.cumsum(counts) - counts
