@@ -1,11 +1,14 @@
 """Registered queries of the operators and the DuckDB statement each must equal, where SQL can say it."""
 
-from shelfspark.llm import decontaminate, language_id, mixing, paragraph_dedup, pii, simhash_dedup, topk
+from shelfspark.llm import chat, decontaminate, language_id, licenses, mixing, paragraph_dedup, pii, simhash_dedup, topk, url_filter
 
 QUERIES = {
+    "op1_url_filter": url_filter.op1_url_filter,
     "op2_simhash_near_dedup": simhash_dedup.op2_simhash_near_dedup,
     "op3_language_id": language_id.op3_language_id,
+    "op4_license_scan": licenses.op4_license_scan,
     "op5_exact_topk": topk.op5_exact_topk,
+    "op6_chat_formatting": chat.op6_chat_formatting,
     "op7_pii": pii.op7_pii,
     "op8_mixing": mixing.op8_mixing,
     "op9_decontamination": decontaminate.op9_decontamination,
