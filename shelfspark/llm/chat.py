@@ -28,7 +28,8 @@ ROLES = ("system", "user", "assistant")
 # Names that other collections use for the three roles.
 ALIASES = {"developer": "system", "human": "user", "prompter": "user", "ai": "assistant", "bot": "assistant", "gpt": "assistant", "model": "assistant"}
 
-MERGE, RELABEL, UNKNOWN, INSERT = 1, 3, 2, 4
+#: A known role is changed only where merging a turn and adding an empty one would not do.
+MERGE, UNKNOWN, INSERT, RELABEL = 1, 2, 4, 6
 FAR = 1 << 60
 
 #: States: nothing yet, or the role of the last turn.

@@ -269,7 +269,8 @@ def _colliding(rows: DataFrame) -> DataFrame:
     """(key, uid, n): the rows of keys that several pieces share; n is their number."""
     dealt = rows.repartition("key").sortWithinPartitions("key", "uid")
     shared = stored(dealt.mapInArrow(_shared, "key long, uid long"), "buckets")
-    return shared.join(shared.groupBy("key").agg(F.count("*").alias("n")), "key")
+    # a written side leaves the join free to split a hot key
+    return shared.join(stored(shared.groupBy("key").agg(F.count("*").alias("n")), "sizes"), "key")
 
 
 def piece_links(units: DataFrame) -> DataFrame:
@@ -282,7 +283,7 @@ def piece_links(units: DataFrame) -> DataFrame:
     sets = stored(units.join(once.select("pid"), "pid").select("uid", "shingles"), "sets")
     hot = found.where(F.col("n") > BUCKET).select("key", "uid")
     described = hot.join(sets, "uid")
-    most = described.groupBy("key").agg(F.max(F.size("shingles")).alias("most"))
+    most = stored(described.groupBy("key").agg(F.max(F.size("shingles")).alias("most")), "largest")
     parts = described.join(most, "key").select("key", "most", "uid", "shingles")
     again = _colliding(parts.mapInArrow(_parts, "key long, uid long"))
     # pairs of blocks: a piece goes to every pair that its block is in
@@ -310,9 +311,10 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     classes = components(piece_links(units)).withColumnRenamed("node", "uid")
     classed = units.drop("shingles", "pid").join(classes, "uid", "left").withColumn("class", F.coalesce("root", "uid"))
     several = classed.groupBy("class").agg(F.min("rid").alias("a"), F.max("rid").alias("b")).where("a < b").select("class")
+    several = stored(several, "several")
     repeated = stored(classed.join(several, "class").select("doc_id", "rid", "from_word", "words", "class"), "repeated")
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid", "from_word")
-    firsts = repeated.groupBy("class").agg(F.min(rank).alias("first"))
+    firsts = stored(repeated.groupBy("class").agg(F.min(rank).alias("first")), "firsts")
     stays = (F.col("rid") == F.col("first.rid")) & (F.col("from_word") == F.col("first.from_word"))
     return repeated.join(firsts, "class").select("doc_id", "from_word", "words", F.col("first.doc_id").alias("component_id"), (~stays).alias("removed"))
 
