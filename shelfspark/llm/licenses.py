@@ -125,12 +125,9 @@ def windows(docs: DataFrame, keep: list[Column]) -> DataFrame:
     return spread.withColumn("words", F.slice("_words", F.col("window") * step + 1, WINDOW)).drop("_text", "_words")
 
 
-_PAIRS = NGram(n=2, inputCol="words", outputCol="_pairs")
-_HASH = HashingTF(numFeatures=FEATURES, binary=True, inputCol="_terms", outputCol="features")
-
-
 def _featured(rows: DataFrame) -> DataFrame:
-    return _HASH.transform(_PAIRS.transform(rows).withColumn("_terms", F.concat("words", "_pairs"))).drop("_terms", "_pairs")
+    paired = NGram(n=2, inputCol="words", outputCol="_pairs").transform(rows).withColumn("_terms", F.concat("words", "_pairs"))
+    return HashingTF(numFeatures=FEATURES, binary=True, inputCol="_terms", outputCol="features").transform(paired).drop("_terms", "_pairs")
 
 
 def _odds(probability: Column) -> Column:
