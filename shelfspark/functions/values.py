@@ -101,7 +101,7 @@ def source_price(raw: Column) -> Column:
 
 
 def flatten(v: Column, depth: int = 3) -> Column:
-    """Nested object to map<dotted key, text>, to a fixed depth.
+    """Nested object to map<dotted key, text>; what lies below the depth stays as JSON text under its key.
 
     Arrays of scalars become one joined text, arrays holding objects get
     their index as a key part. Built as nested higher-order functions, so a
@@ -155,7 +155,8 @@ def _leaves(v: Column, prefix: Column, depth: int) -> Column:
     text = F.when(F.size(members) >= 0, F.when(scalars & (joined != ""), joined)).otherwise(F.coalesce(_scalar_text(v), F.lit("")))
     leaf = F.when((prefix != "") & text.isNotNull() & (kind(v) != "OBJECT"), _leaf(prefix, text)).otherwise(empty)
     if depth <= 0:
-        return leaf
+        rest = F.when((prefix != "") & ((kind(v) == "OBJECT") | ((F.size(members) > 0) & ~scalars)), _leaf(prefix, F.to_json(v)))
+        return F.coalesce(rest, leaf)
     children = F.when(
         kind(v) == "OBJECT",
         F.transform(F.map_entries(as_map(v)), lambda e: F.struct(trim_all(e["key"]).alias("key"), e["value"].alias("value"))),

@@ -49,13 +49,13 @@ def library_from_orders(orders: DataFrame, owned: DataFrame) -> DataFrame:
     return bought.join(owned, ["user_id", "product_id"], "left_anti")
 
 
-def user_history(orders: DataFrame, page: int = 1, limit: int = 20, most: int = 100) -> DataFrame:
+def user_history(orders: DataFrame, page: int = 1, limit: int = 20) -> DataFrame:
     """One page of every user's orders, newest first, with the user's total.
 
     The rank limit is pushed below the shuffle, so a user with very many
     orders sends only page * limit rows per task.
     """
-    size = 20 if limit < 1 else min(limit, most)
+    size = 20 if limit < 1 else limit
     upto, skip = max(page, 1) * size, (max(page, 1) - 1) * size
     newest = Window.partitionBy("user_id").orderBy(F.desc("created_at"), F.desc("order_id"))
     ranked = orders.withColumn("position", F.row_number().over(newest)).where(F.col("position") <= upto)

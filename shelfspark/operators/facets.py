@@ -12,20 +12,24 @@ from shelfspark.functions.urls import extract_domain
 from shelfspark.operators.filters import UNCATEGORIZED, is_uncategorized
 
 
-def distinct_values(df: DataFrame, c: str, limit: int = 500) -> DataFrame:
+def first_rows(df: DataFrame, limit: int | None) -> DataFrame:
+    """The first rows of an order, where the caller asks for a limit."""
+    return df if limit is None else df.limit(limit)
+
+
+def distinct_values(df: DataFrame, c: str, limit: int | None = None) -> DataFrame:
     """Distinct non-empty values, trimmed for show after the dedupe, so trimmed twins both stay."""
-    return (
+    values = (
         df.select(F.col(c).alias("raw"))
         .where(trim_all("raw") != "")
         .distinct()
         .select(trim_all("raw").alias("value"), "raw")
         .orderBy("value", "raw")
-        .limit(limit)
-        .select("value")
     )
+    return first_rows(values, limit).select("value")
 
 
-def distinct_array_values(df: DataFrame, c: str, limit: int = 500) -> DataFrame:
+def distinct_array_values(df: DataFrame, c: str, limit: int | None = None) -> DataFrame:
     return distinct_values(df.select(F.explode(c).alias(c)), c, limit)
 
 
@@ -42,12 +46,12 @@ def facet_meta(df: DataFrame, scalars: dict[str, str], arrays: dict[str, str]) -
     return pairs.where(trim_all("value") != "").distinct().select("facet", trim_all("value").alias("value"))
 
 
-def unique_authors(df: DataFrame, limit: int = 500) -> DataFrame:
+def unique_authors(df: DataFrame, limit: int | None = None) -> DataFrame:
     """Author references by guid; the name comes from the oldest row, then the smallest id."""
     refs = df.select("updated_at", "id", F.inline("author_refs"))
     named = refs.where((F.col("guid") != "") & (F.col("name") != ""))
     picked = named.groupBy("guid").agg(F.min(F.struct("updated_at", "id", "name")).alias("first"))
-    return picked.select("guid", F.col("first.name").alias("name")).orderBy("name", "guid").limit(limit)
+    return first_rows(picked.select("guid", F.col("first.name").alias("name")).orderBy("name", "guid"), limit)
 
 
 def source_domains(df: DataFrame) -> DataFrame:
@@ -132,12 +136,10 @@ def sync_summary(actions: DataFrame, kinds: Sequence[str]) -> DataFrame:
     return actions.groupBy("run_id", "target").agg(*counts, F.count(F.lit(1)).alias("total"))
 
 
-def detected_fields(records: DataFrame, run_id: str | None = None, sample: int = 300, most: int = 5000) -> DataFrame:
-    """Distinct keys of the record maps of a run's oldest rows; the row limit is the feature."""
-    size = sample if 1 <= sample <= most else (300 if sample < 1 else most)
+def detected_fields(records: DataFrame, run_id: str | None = None) -> DataFrame:
+    """Distinct keys of all record maps, or of one run's; each task sends a key once."""
     rows = records.where(F.col("run_id") == run_id) if run_id is not None else records
-    oldest = rows.orderBy("created_at", "record_id").limit(size)
-    keys = oldest.select(F.explode(F.map_keys("data")).alias("raw")).select(trim_all("raw").alias("field"))
+    keys = rows.select(F.explode(F.map_keys("data")).alias("raw")).select(trim_all("raw").alias("field"))
     return keys.where(F.col("field") != "").distinct().orderBy("field")
 
 

@@ -245,10 +245,9 @@ def rejected_carts(carts: DataFrame, items: DataFrame) -> DataFrame:
     return carts.select("user_id").distinct().join(items.select("user_id").distinct(), "user_id", "left_anti")
 
 
-def previous_run(runs: DataFrame, run_id: str, look_back: int = 10) -> DataFrame:
-    """The newest finished run with records, other than the given one, among the latest runs."""
-    latest = runs.orderBy(F.desc("created_at"), F.desc("run_id")).limit(look_back)
-    usable = latest.where((F.col("run_id") != run_id) & (F.col("status") == "finished") & (F.col("records") > 0))
+def previous_run(runs: DataFrame, run_id: str) -> DataFrame:
+    """The newest finished run with records, other than the given one."""
+    usable = runs.where((F.col("run_id") != run_id) & (F.col("status") == "finished") & (F.col("records") > 0))
     return usable.orderBy(F.desc("created_at"), F.desc("run_id")).limit(1)
 
 
@@ -257,14 +256,20 @@ def canonical(data: Column | str) -> Column:
     return F.to_json(parse(data))
 
 
+def comparable_record(data: Column | str) -> Column:
+    """Canonical text of a record; what can't be read compares as the text it is, and null equals null."""
+    text = F.col(data) if isinstance(data, str) else data
+    return F.coalesce(canonical(text), text)
+
+
 def diff_runs(records: DataFrame, runs: DataFrame, run_id: str) -> DataFrame:
     """Status per record of a run: new, changed or unchanged against the previous run."""
     before = previous_run(runs, run_id).select("run_id")
     old = records.join(before, "run_id", "left_semi")
-    last = old.groupBy("source_url").agg(F.max_by(canonical("data"), F.struct("created_at", "record_id")).alias("_old"))
+    last = old.groupBy("source_url").agg(F.max(F.struct("created_at", "record_id", comparable_record("data").alias("data")))["data"].alias("_old"))
     now = records.where(F.col("run_id") == run_id)
     joined = spread_join(now, last.withColumn("_seen", F.lit(True)), "source_url", ["record_id"], "left")
-    status = F.when(F.col("_seen").isNull(), "new").when(canonical("data") == F.col("_old"), "unchanged").otherwise("changed")
+    status = F.when(F.col("_seen").isNull(), "new").when(comparable_record("data").eqNullSafe(F.col("_old")), "unchanged").otherwise("changed")
     return joined.select("record_id", "source_url", status.alias("status"))
 
 

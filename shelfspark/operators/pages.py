@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from shelfspark.functions.html_scan import SCAN_SCHEMA, scan_batches
 from shelfspark.functions.numbers import number_text
@@ -31,7 +31,9 @@ from shelfspark.functions.urls import (
     points,
     product_score,
     resolve_url,
+    normalize_host,
     total,
+    url_host,
     url_path,
 )
 from shelfspark.functions.values import (
@@ -426,7 +428,7 @@ def attribute_pairs() -> Column:
             trim_all(F.regexp_replace(e["text"], "^[^:]*:", "")).alias("value"),
         ),
     )
-    label = r"[A-Za-zА-Яа-яЁё0-9()\\\-\s]{2,}:"
+    label = r"[A-Za-zА-Яа-яЁё0-9()\\\-]{2,}:"
     inline = F.flatten(
         F.transform(
             F.filter("lines", lambda e: e["tag"] != "li"),
@@ -742,12 +744,18 @@ def score_urls(urls: DataFrame, c: str = "url") -> DataFrame:
     )
 
 
-def rank_urls(urls: DataFrame, limit: int, most: int = 1_000_000, c: str = "url") -> DataFrame:
-    """Distinct URLs, likely products first, then parse score, then the URL; the page limit is the feature."""
-    size = most if limit <= 0 else min(max(limit * 120, 600), most)
+def rank_urls(urls: DataFrame, n: int | None = None, c: str = "url", per_host: int | None = None) -> DataFrame:
+    """Distinct URLs, likely products first, then parse score, then the URL: all, the first n, or the first of each host."""
     scored = score_urls(urls.select(c).distinct(), c)
     first = F.col("likely") | (F.col("product_score") >= 18)
-    return scored.withColumn("first", first).orderBy(F.desc("first"), F.desc("parse_score"), F.asc(c)).limit(size)
+    order = [F.desc("first"), F.desc("parse_score"), F.asc(c)]
+    scored = scored.withColumn("first", first)
+    if per_host is not None:
+        # the rank limit is applied in the map tasks
+        place = Window.partitionBy("host").orderBy(*order)
+        scored = scored.withColumn("host", normalize_host(url_host(c))).withColumn("host_rank", F.row_number().over(place)).where(F.col("host_rank") <= per_host)
+    ranked = scored.orderBy(*order)
+    return ranked if n is None else ranked.limit(n)
 
 
 def union_candidates(*tables: DataFrame) -> DataFrame:
@@ -770,9 +778,9 @@ def classify_fetch(log: DataFrame) -> DataFrame:
     return log.withColumns({"block_reason": reason, "rate_limited": limited})
 
 
-def frontier(links: DataFrame, visited: DataFrame, n: int, max_depth: int = 4) -> DataFrame:
-    """Next URLs to fetch: unseen, scored, within depth; best score first, then the nearest."""
-    open_links = links.where(F.col("depth") <= max_depth).withColumn("score", in_place(discovery_score("url", "depth"))).where(F.col("score") >= -2)
+def frontier(links: DataFrame, visited: DataFrame, n: int, max_depth: int, min_score: int) -> DataFrame:
+    """Next URLs to fetch: unseen, scored, within depth and from a score on; best score first, then the nearest."""
+    open_links = links.where(F.col("depth") <= max_depth).withColumn("score", in_place(discovery_score("url", "depth"))).where(F.col("score") >= min_score)
     unseen = open_links.join(visited.select("url").distinct(), "url", "left_anti")
     best = unseen.groupBy("url").agg(F.max("score").alias("score"), F.min("depth").alias("depth"))
     return best.orderBy(F.desc("score"), "depth", "url").limit(n)

@@ -12,14 +12,14 @@ from shelfspark.operators.filters import MainFilter, main_condition, search_any_
 NOT_FOUND = 2147483647
 
 
-def clamp_page(page: int, limit: int, default: int = 20, most: int = 200) -> tuple[int, int]:
-    size = default if limit < 1 else min(limit, most)
-    return max(page, 1), size
+def page_bounds(page: int, limit: int, default: int = 20) -> tuple[int, int]:
+    """Page and page size as asked for; below 1 means the first page and the default size."""
+    return max(page, 1), default if limit < 1 else limit
 
 
-def paginate(df: DataFrame, order: Sequence[Column], page: int = 1, limit: int = 20, most: int = 200) -> DataFrame:
+def paginate(df: DataFrame, order: Sequence[Column], page: int = 1, limit: int = 20) -> DataFrame:
     """One page in a total order. Offset and limit sit on the sort, so Spark keeps only page*limit rows per task."""
-    page, size = clamp_page(page, limit, most=most)
+    page, size = page_bounds(page, limit)
     return df.orderBy(*order).offset((page - 1) * size).limit(size)
 
 
@@ -32,9 +32,9 @@ def after_key(df: DataFrame, order_col: str, id_col: str, last: tuple[object, ob
     return rest.orderBy(F.desc(order_col), id_col).limit(limit)
 
 
-def page_totals(df: DataFrame, limit: int = 20, most: int = 200) -> DataFrame:
+def page_totals(df: DataFrame, limit: int = 20) -> DataFrame:
     """Row total and number of pages of a filtered set."""
-    _, size = clamp_page(1, limit, most=most)
+    _, size = page_bounds(1, limit)
     total = F.count(F.lit(1))
     return df.agg(total.alias("total_items"), F.ceil(total / F.lit(size)).cast("bigint").alias("total_pages"))
 

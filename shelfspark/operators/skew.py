@@ -6,10 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-# Heavy keys are few by construction: each needs HEAVY_ROWS rows, and at most MAX_HEAVY are listed.
+# A key from this many rows on is cut into slices of about that size.
 HEAVY_ROWS = 5_000_000
-MAX_HEAVY = 1024
-MAX_SLICES = 512
+# Rows without a key match nothing; they are spread over this many slices.
+NULL_SLICES = 512
 
 
 def spread_join(
@@ -25,23 +25,18 @@ def spread_join(
 
     Keys with at least `heavy_rows` fact rows are cut into slices: a fact row
     picks its slice from a hash of `spread_by`, the keyed row is repeated once
-    per slice. The list of heavy keys holds at most MAX_HEAVY rows, so it can
-    be broadcast at any scale; other keys join as usual. Rows with a null key
-    match nothing and are spread over all slices. `weight` names a column of
+    per slice. The list of heavy keys has one row per `heavy_rows` fact rows at
+    most; the planner broadcasts it where its size allows and joins it like any
+    table else. Rows with a null key match nothing and are spread. `weight` names a column of
     `keyed` that already holds the row counts and saves the counting pass.
     """
     if weight is None:
         counts = facts.where(F.col(on).isNotNull()).groupBy(on).agg(F.count(F.lit(1)).alias("_rows"))
     else:
         counts = keyed.select(on, F.col(weight).alias("_rows"))
-    heavy = F.broadcast(
-        counts.where(F.col("_rows") >= heavy_rows)
-        .orderBy(F.desc("_rows"), F.asc(on))
-        .limit(MAX_HEAVY)
-        .select(on, F.least(F.ceil(F.col("_rows") / heavy_rows) + 1, F.lit(MAX_SLICES)).cast("int").alias("_slices"))
-    )
+    heavy = counts.where(F.col("_rows") >= heavy_rows).select(on, (F.ceil(F.col("_rows") / heavy_rows) + 1).cast("int").alias("_slices"))
     pick = F.pmod(F.xxhash64(*[F.col(c).cast("string") for c in spread_by]), F.coalesce("_slices", F.lit(1)))
-    null_pick = F.pmod(F.xxhash64(*[F.col(c).cast("string") for c in spread_by]), F.lit(MAX_SLICES))
+    null_pick = F.pmod(F.xxhash64(*[F.col(c).cast("string") for c in spread_by]), F.lit(NULL_SLICES))
     sliced = facts.join(heavy, on, "left").withColumn(
         "_slice", F.when(F.col(on).isNull(), null_pick).otherwise(pick).cast("int")
     )

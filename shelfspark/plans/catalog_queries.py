@@ -358,18 +358,18 @@ def a4_keys(t: Tables):
 
 @query(
     "a5_distinct_values",
-    with_shapes("SELECT trim(subject_name) AS value FROM (SELECT DISTINCT subject_name FROM source_catalog WHERE trim(subject_name) <> '') ORDER BY value LIMIT 100", "source_catalog"),
+    with_shapes("SELECT trim(subject_name) AS value FROM (SELECT DISTINCT subject_name FROM source_catalog WHERE trim(subject_name) <> '') ORDER BY value", "source_catalog"),
 )
 def a5(t: Tables):
-    return A.distinct_values(source_catalog(t), "subject_name", 100)
+    return A.distinct_values(source_catalog(t), "subject_name")
 
 
 @query(
     "a6_distinct_array_values",
-    with_shapes("SELECT trim(v) AS value FROM (SELECT DISTINCT unnest(genre_names) AS v FROM source_catalog) WHERE trim(v) <> '' ORDER BY value LIMIT 100", "source_catalog"),
+    with_shapes("SELECT trim(v) AS value FROM (SELECT DISTINCT unnest(genre_names) AS v FROM source_catalog) WHERE trim(v) <> '' ORDER BY value", "source_catalog"),
 )
 def a6(t: Tables):
-    return A.distinct_array_values(source_catalog(t), "genre_names", 100)
+    return A.distinct_array_values(source_catalog(t), "genre_names")
 
 
 FACETS = {"subject": "subject_name", "brand": "brand_name", "series": "serie_name", "publisher": "publisher_name"}
@@ -394,12 +394,12 @@ def a7(t: Tables):
     "a8_unique_authors",
     with_shapes(
         "SELECT guid, name FROM (SELECT r.guid AS guid, r.name AS name, row_number() OVER (PARTITION BY r.guid ORDER BY updated_at, id, r.name) AS rn"
-        " FROM (SELECT id, updated_at, unnest(author_refs) AS r FROM source_catalog) WHERE r.guid <> '' AND r.name <> '') WHERE rn = 1 ORDER BY name, guid LIMIT 40",
+        " FROM (SELECT id, updated_at, unnest(author_refs) AS r FROM source_catalog) WHERE r.guid <> '' AND r.name <> '') WHERE rn = 1 ORDER BY name, guid",
         "source_catalog",
     ),
 )
 def a8(t: Tables):
-    return A.unique_authors(source_catalog(t), 40)
+    return A.unique_authors(source_catalog(t))
 
 
 DOMAINS = ", ".join(domain_sql(c) for c in ["source_guid_nom", "source_guid", "cover_url", "covers['a']", "covers['b']"])
@@ -446,7 +446,7 @@ def a12(t: Tables):
 @query(
     "a14_detected_fields",
     with_shapes(
-        "SELECT DISTINCT unnest(json_keys(data)) AS field FROM (SELECT data FROM records ORDER BY created_at, record_id LIMIT 300)", "records"
+        "SELECT DISTINCT unnest(json_keys(data)) AS field FROM records", "records"
     ),
 )
 def a14(t: Tables):

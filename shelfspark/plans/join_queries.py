@@ -349,7 +349,7 @@ RUNS = (
 )
 LAST_RUN = "last_run AS (SELECT max(run_id) AS run_id FROM records)"
 PREVIOUS = (
-    "previous AS (SELECT run_id FROM (SELECT * FROM runs ORDER BY created_at DESC, run_id DESC LIMIT 10) WHERE run_id <> 'run-2024-01-28' AND status = 'finished' AND records > 0 ORDER BY created_at DESC, run_id DESC LIMIT 1)"
+    "previous AS (SELECT run_id FROM runs WHERE run_id <> 'run-2024-01-28' AND status = 'finished' AND records > 0 ORDER BY created_at DESC, run_id DESC LIMIT 1)"
 )
 
 
@@ -380,6 +380,23 @@ def j6(t: Tables):
     return J.diff_runs(records(t), runs(t), "run-2024-01-28")
 
 
+# Every fifth record has no data and every seventh data that no reader takes; equal ones are unchanged all the same.
+ODD_DATA = "CASE WHEN length(source_url) % 5 = 0 THEN NULL WHEN length(source_url) % 7 = 0 THEN concat('{', source_url) ELSE data END"
+
+
+@query(
+    "j6_diff_unreadable_records",
+    with_shapes(
+        f", {RUNS}, {PREVIOUS}, kept AS (SELECT * REPLACE ({ODD_DATA} AS data) FROM records), old AS (SELECT source_url, max(record_id) AS record_id FROM kept WHERE run_id IN (SELECT run_id FROM previous) GROUP BY source_url)"
+        f" SELECT n.record_id, n.source_url, CASE WHEN old.record_id IS NULL THEN 'new' WHEN n.data IS NOT DISTINCT FROM o.data OR ({SORTED_DATA.replace('(data', '(CASE WHEN json_valid(n.data) THEN n.data END')}) = ({SORTED_DATA.replace('(data', '(CASE WHEN json_valid(o.data) THEN o.data END')}) THEN 'unchanged' ELSE 'changed' END AS status"
+        " FROM kept n LEFT JOIN old ON n.source_url = old.source_url LEFT JOIN kept o ON o.record_id = old.record_id WHERE n.run_id = 'run-2024-01-28'",
+        "records",
+    ),
+)
+def j6_unreadable(t: Tables):
+    return J.diff_runs(records(t).withColumn("data", F.expr(ODD_DATA)), runs(t), "run-2024-01-28")
+
+
 RULES = {
     "source.isbn": ("isbn", ""),
     "source.name": ("title", "unused"),

@@ -153,8 +153,34 @@ def p7(t: Tables):
     " UNION ALL SELECT p_partkey, 'Формат', p_type, 'format' FROM part",
 )
 def p8(t: Tables):
-    page = MARKUP.replace("<div class=\"product-page\">", "<section class=\"product-page\">").replace("</span></div>", "</span></section>")
-    pages = P.scan_pages(t.part.selectExpr("p_partkey AS page_id", f"{page} AS html"))
+    pages = P.scan_pages(t.part.selectExpr("p_partkey AS page_id", f"{MARKUP} AS html"))
+    return P.attribute_rows(pages).select("page_id", "name", "value", "field")
+
+
+# Several labels in one text, and rows, cells and list items whose end tags are left out.
+INLINE = (
+    "concat('<div class=\"product-data\"><p>Автор: ', p_brand, ' Формат: ', p_type, ' Страниц: ', CAST(p_size AS STRING), '<p>ISBN: ', " + ISBN + ", '</div>')"
+)
+OPEN_TAGS = (
+    "concat('<div class=\"attributes\"><table><tr><td>ISBN<td>', " + ISBN + ", '<tr><th>Страниц<td>', CAST(p_size AS STRING), '</table><ul><li>Формат: ', p_type, '<li>Автор: ', p_brand, '</ul></div>')"
+)
+
+
+@query(
+    "p8_inline_rows",
+    "SELECT p_partkey AS page_id, unnest(['Автор', 'Формат', 'Страниц', 'ISBN']) AS name, unnest([p_brand, p_type, '' || p_size, " + ISBN + "]) AS value, unnest(['author_names', 'format', 'pages', 'isbn']) AS field FROM part",
+)
+def p8_inline(t: Tables):
+    pages = P.scan_pages(t.part.selectExpr("p_partkey AS page_id", f"{INLINE} AS html"))
+    return P.attribute_rows(pages).select("page_id", "name", "value", "field")
+
+
+@query(
+    "p8_rows_without_end_tags",
+    "SELECT p_partkey AS page_id, unnest(['ISBN', 'Страниц', 'Формат', 'Автор']) AS name, unnest([" + ISBN + ", '' || p_size, p_type, p_brand]) AS value, unnest(['isbn', 'pages', 'format', 'author_names']) AS field FROM part",
+)
+def p8_open(t: Tables):
+    pages = P.scan_pages(t.part.selectExpr("p_partkey AS page_id", f"{OPEN_TAGS} AS html"))
     return P.attribute_rows(pages).select("page_id", "name", "value", "field")
 
 
@@ -226,10 +252,19 @@ def p13_catalog(t: Tables):
 
 @query(
     "w5_rank_candidate_urls",
-    "SELECT url FROM (SELECT DISTINCT url, CASE WHEN contains(url, '?') THEN -1 ELSE 0 END + CASE WHEN length(url) - length(replace(url, '/', '')) >= 4 THEN 2 ELSE 0 END AS s FROM pages) ORDER BY s DESC, url LIMIT 600",
+    "SELECT url FROM (SELECT DISTINCT url, CASE WHEN contains(url, '?') THEN -1 ELSE 0 END + CASE WHEN length(url) - length(replace(url, '/', '')) >= 4 THEN 2 ELSE 0 END AS s FROM pages) ORDER BY s DESC, url",
 )
 def w5(t: Tables):
-    return P.rank_urls(t.pages, limit=3).select("url")
+    return P.rank_urls(t.pages).select("url")
+
+
+@query(
+    "w5_per_host",
+    "SELECT url, CAST(host_rank AS INTEGER) AS host_rank FROM (SELECT url, row_number() OVER (PARTITION BY regexp_replace(lower(regexp_extract(url, '://([^/?#]*)', 1)), '^www\\.', '') ORDER BY s DESC, url) AS host_rank"
+    " FROM (SELECT DISTINCT url, CASE WHEN contains(url, '?') THEN -1 ELSE 0 END + CASE WHEN length(url) - length(replace(url, '/', '')) >= 4 THEN 2 ELSE 0 END AS s FROM pages)) WHERE host_rank <= 2",
+)
+def w5_hosts(t: Tables):
+    return P.rank_urls(t.pages, per_host=2).select("url", "host_rank")
 
 
 @query(
@@ -277,4 +312,4 @@ def p14(t: Tables):
 def p15(t: Tables):
     """Links of the given pages not fetched yet, best discovery score first."""
     links = P.page_links(t.pages).select(F.col("dst").alias("url"), F.lit(2).alias("depth"))
-    return P.frontier(links, t.pages, 200)
+    return P.frontier(links, t.pages, 200, max_depth=4, min_score=-2)

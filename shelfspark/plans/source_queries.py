@@ -414,7 +414,7 @@ def m5(t: Tables):
 
 @query(
     "m6_flatten_nested",
-    "SELECT event_id AS id, CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) AS \"a.b.c\", event_type || ', x' AS list, event_type AS \"objs.0.n\", json_extract_string(props, '$.k') AS \"props.k\", CAST(5 AS INTEGER) AS leaves FROM events",
+    "SELECT event_id AS id, CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) AS \"a.b.c\", event_type || ', x' AS list, event_type AS \"objs.0.n\", json_extract_string(props, '$.k') AS \"props.k\", '{\"too\":{\"far\":1}}' AS \"a.b.deep\", CAST(6 AS INTEGER) AS leaves FROM events",
 )
 def m6(t: Tables):
     body = F.concat(
@@ -423,15 +423,4 @@ def m6(t: Tables):
     )
     rows = G.flatten_records(t.events.select(F.col("event_id").alias("id"), body.alias("data")))
     at = lambda k: F.element_at("flat", F.lit(k)).alias(k)
-    return rows.select("id", at("a.b.c"), at("list"), at("objs.0.n"), at("props.k"), F.size("flat").alias("leaves"))
-
-
-@query(
-    "m7_target_schema",
-    "SELECT side, CAST(max(n) AS BIGINT) AS targets, count(*) AS records FROM (SELECT unnest(['source', 'main']) AS side, unnest([21, 20]) AS n), events GROUP BY side",
-)
-def m7(t: Tables):
-    """Size of each declared target list, next to the records a mapping of it would fill."""
-    per_record = t.events.select(F.explode(F.array(F.lit("source"), F.lit("main"))).alias("side"))
-    size = F.when(F.col("side") == "source", len(G.SOURCE_TARGETS)).otherwise(len(G.MAIN_TARGETS))
-    return per_record.groupBy("side").agg(F.max(size).cast("bigint").alias("targets"), F.count(F.lit(1)).alias("records"))
+    return rows.select("id", at("a.b.c"), at("list"), at("objs.0.n"), at("props.k"), at("a.b.deep"), F.size("flat").alias("leaves"))

@@ -21,6 +21,13 @@ def test_heavy_keys_split_without_changing_the_join(spark):
         assert sorted(map(repr, spread.select(*plain.columns).collect())) == sorted(map(repr, plain.collect()))
 
 
+def test_more_heavy_keys_than_any_list_would_hold(spark):
+    facts = spark.range(6000).select("id", (F.col("id") % 1500).alias("key"))
+    keyed = spark.range(1500).select(F.col("id").alias("key"), (F.col("id") * 2).alias("v"))
+    got = spread_join(facts, keyed, "key", ["id"], heavy_rows=2)
+    assert got.count() == 6000 and got.where("v <> key * 2").isEmpty()
+
+
 def test_duplicates_are_symmetric_when_one_code_is_heavy(spark):
     df = spark.range(200).select("id", F.when(F.col("id") < 70, "978-1").otherwise(F.concat(F.lit("z"), "id")).alias("isbn"), F.lit(None).cast("string").alias("nomcode"))
     ids = {r.id for r in D.duplicate_ids(df, ["isbn", "nomcode"], heavy_rows=10).collect()}
@@ -83,9 +90,9 @@ def test_partial_links_prefer_the_longest_name(spark):
     assert got == {1: ["1", "2"], 2: ["1", "2"], 3: ["1", "3"], 4: None}
 
 
-def test_flatten_keeps_depth_and_joins_lists(spark):
+def test_flatten_keeps_what_lies_deeper_as_text(spark):
     row = spark.createDataFrame([('{"a":{"b":{"c":{"d":1}}},"l":[1,2.5,"x"],"o":[{"k":true}]}',)], "d string").select(flatten(parse("d"), 3).alias("m")).first()
-    assert row.m == {"l": "1, 2.5, x", "o.0.k": "true"}
+    assert row.m == {"a.b.c": '{"d":1}', "l": "1, 2.5, x", "o.0.k": "true"}
 
 
 def test_listing_pages_give_no_product(spark):
