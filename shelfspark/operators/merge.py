@@ -26,7 +26,7 @@ from shelfspark.functions.text import clean_array, non_blank, norm_code_ascii, n
 from shelfspark.functions.values import parse, source_price
 from shelfspark.operators.filters import NO_ID, sure
 from shelfspark.operators.skew import first_by
-from shelfspark.session import cut_lineage
+from shelfspark.session import cut_lineage, written
 
 # Identifiers no two main-catalog rows may share.
 UNIQUE_IN_MAIN = [("guidNom", "source_guid_nom"), ("id", "source_product_id")]
@@ -80,31 +80,36 @@ def _slot(target: Column) -> Column:
 def merge_slots(
     current: DataFrame, batch: DataFrame, row_id: str, always: Sequence[str], insert_only: Sequence[str]
 ) -> DataFrame:
-    """Full outer join of the table and a batch with one row per `_slot`.
+    """The table with a batch merged in, one batch row per `_slot`; `_new` tells which slots the table lacks.
 
     Empty incoming values keep what is stored, `always` columns are taken as
     they come, `insert_only` columns are set on new rows alone. `_action`
-    says inserted, updated or kept.
+    says inserted, updated or kept. The table meets the batch in a left join,
+    which the planner makes a broadcast where the batch is small: rows that
+    the batch doesn't touch then pass without an exchange.
     """
+    batch = written(batch, "merge-batch")
     left = current.select(_slot(F.col(row_id)).alias("_slot"), F.struct(*current.columns).alias("old"))
-    fields = [c for c in batch.columns if c != "_slot"]
-    right = batch.select("_slot", F.struct(*fields).alias("new"))
-    columns = []
+    fields = [c for c in batch.columns if c not in ("_slot", "_new")]
+    right = batch.where(~F.col("_new")).select("_slot", F.struct(*fields).alias("new"))
+    merged, fresh = [], []
     for f in current.schema.fields:
-        old = F.col("old")[f.name]
-        if f.name == row_id:
-            value = F.coalesce(old, F.col("new")[f.name]) if f.name in fields else old
-        elif f.name not in fields:
-            value = old
+        old, new = F.col("old")[f.name], F.col("new")[f.name]
+        if f.name not in fields:
+            value, first = old, F.lit(None).cast(f.dataType)
+        elif f.name == row_id:
+            value, first = F.coalesce(old, new), F.col(f.name)
         elif f.name in insert_only:
-            value = F.when(F.col("old").isNull(), F.col("new")[f.name]).otherwise(old)
+            value, first = old, F.col(f.name)
         elif f.name in always:
-            value = F.when(F.col("new").isNotNull(), F.col("new")[f.name]).otherwise(old)
+            value, first = F.when(F.col("new").isNotNull(), new).otherwise(old), F.col(f.name)
         else:
-            value = F.coalesce(filled(F.col("new")[f.name], f.dataType), old)
-        columns.append(value.alias(f.name))
-    action = F.when(F.col("old").isNull(), "inserted").when(F.col("new").isNotNull(), "updated").otherwise("kept")
-    return left.join(right, "_slot", "full_outer").select(*columns, action.alias("_action"))
+            value, first = F.coalesce(filled(new, f.dataType), old), filled(F.col(f.name), f.dataType)
+        merged.append(value.alias(f.name))
+        fresh.append(first.alias(f.name))
+    action = F.when(F.col("new").isNotNull(), "updated").otherwise("kept")
+    kept = left.join(right, "_slot", "left").select(*merged, action.alias("_action"))
+    return kept.unionByName(batch.where("_new").select(*fresh, F.lit("inserted").alias("_action")))
 
 
 def upsert(
@@ -121,10 +126,13 @@ def upsert(
     A key finds any stored row that carries it, also one whose own first
     identifier is another; rows that meet in one stored row apply in `order`.
     """
+    batch = written(batch, "merge-rows")
     found = locate(current, row_id, answers_to, batch)
     slotted = batch.join(found, "_key", "left").withColumn("_slot", F.coalesce(_slot(F.col("_target")), F.col("_key")))
-    folded = fold_rows(slotted.drop("_key", "_target"), "_slot", order, always)
-    keep = [c for c in folded.columns if c == "_slot" or c in current.columns]
+    # a slot's rows all have a target or none
+    slotted = slotted.withColumn("_new", F.col("_target").isNull())
+    folded = fold_rows(slotted.drop("_key", "_target"), "_slot", order, (*always, "_new"))
+    keep = [c for c in folded.columns if c in ("_slot", "_new") or c in current.columns]
     return merge_slots(current, folded.select(*keep), row_id, always, insert_only)
 
 
@@ -315,7 +323,10 @@ def upsert_entities(current: DataFrame, batch: DataFrame, order: Sequence[str])
     picked = batch.where(or_empty("guid") != "").groupBy("guid").agg(
         F.max_by(F.struct(*[c for c in fields if c != "guid"]), rank).alias("last")
     )
-    incoming = picked.select(_slot(F.col("guid")).alias("_slot"), "guid", "last.*")
+    picked = written(picked, "entities")
+    stored = current.select("guid").join(picked.select("guid"), "guid", "left_semi").distinct().withColumn("_stored", F.lit(True))
+    known = picked.join(stored, "guid", "left")
+    incoming = known.select(_slot(F.col("guid")).alias("_slot"), F.col("_stored").isNull().alias("_new"), "guid", "last.*")
     always = [c for c in fields if c not in ("guid", "synced_at")]
     return merge_slots(current, incoming, "guid", always, ("synced_at",))
 

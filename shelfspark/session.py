@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import io
 import os
+import re
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,18 +19,49 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # split a skewed join even when the next step groups by the same key
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # whole pages go to Python in batches of bounded size
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2048",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
 }
 
 _own_dirs: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings the plans rely on; partition counts stay the cluster's."""
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
+    ship_package(spark)
     return spark
 
 
+def packed_package() -> bytes:
+    """This package's sources as a zip file."""
+    root = Path(__file__).resolve().parent
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
+        for path in sorted(root.rglob("*.py")):
+            z.write(path, str(path.relative_to(root.parent)))
+    return buffer.getvalue()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the workers this package, once per application; local workers find it where the driver does.
+
+    The zip is handed to the driver's own file server, which executors fetch it from.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    folder = tempfile.mkdtemp(prefix="package-")
+    path = os.path.join(folder, f"{__package__}.zip")
+    with open(path, "wb") as f:
+        f.write(packed_package())
+    context.addPyFile(path)
+    _shipped.add(context.applicationId)
+
+
 def local_session(cores: str = "8", app: str = "shelfspark") -> SparkSession:
     """Session for tests and the benchmark; a cluster brings its own."""
     builder = (
@@ -44,13 +79,17 @@ def local_session(cores: str = "8", app: str = "shelfspark") -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach.
 
-    The cluster names it in spark.checkpoint.dir. Only where that is unset
-    (a laptop) is a fresh temporary folder made, once per application.
+    The cluster names it in spark.checkpoint.dir, or has set a checkpoint
+    folder on the context. Only a local master, whose one process holds all
+    executors, gets a fresh temporary folder, once per application.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
-    app = spark.sparkContext.applicationId
+    if not re.match(r"local(\[[^,]*(,[^,]*)?\])?$", context.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    app = context.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = tempfile.mkdtemp(prefix="run-", dir="/tmp")
     return _own_dirs[app]
@@ -61,6 +100,13 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """The rows as a table in the shared folder: computed once, of known size, and safe when executors are lost."""
+    path = fresh_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the result outlives the executors that made it."""
     context = df.sparkSession.sparkContext
