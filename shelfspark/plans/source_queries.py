@@ -217,6 +217,21 @@ def s4(t: Tables):
     return _csv_back(CSV.read_catalog_csv(t.spark, path))
 
 
+@query(
+    "s4_files_with_own_headings",
+    with_shapes("SELECT trim(name) AS name, CASE WHEN CAST(id AS BIGINT) % 2 = 0 THEN coalesce(trim(isbn), '') ELSE '' END AS isbn, price FROM main_catalog", "main_catalog"),
+)
+def s4_mixed(t: Tables):
+    """One folder, two layouts: a quoted heading that holds the delimiter, and another order behind semicolons."""
+    path = fresh_path(t.spark, "csv")
+    rows = CSV.catalog_csv_rows(main_catalog(t))
+    even = rows.where("CAST(id AS BIGINT) % 2 = 0").select(F.col("name").alias("Название"), F.lit("20, 30").alias("Размер, см"), F.col("price").alias("Цена"), F.col("isbn").alias("ISBN"))
+    odd = rows.where("CAST(id AS BIGINT) % 2 = 1").select("price", "name")
+    for name, part, sep in (("a", even, ","), ("b", odd, ";")):
+        part.write.option("header", True).option("sep", sep).option("quote", '"').option("escape", '"').csv(f"{path}/{name}")
+    return CSV.read_catalog_csv(t.spark, path, multi_line=False).select("name", "isbn", "price")
+
+
 @query("s5_write_catalog_csv", with_shapes(CSV_SQL, "main_catalog"))
 def s5(t: Tables):
     path = fresh_path(t.spark, "csv")

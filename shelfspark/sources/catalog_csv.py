@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import csv
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from shelfspark.functions.covers import covers_from_links
@@ -100,39 +103,74 @@ def sniff_delimiter(header: str) -> str:
     return ","
 
 
-def _header(spark: SparkSession, path: str, delimiter: str | None) -> tuple[str, list[str]]:
-    """Delimiter and headings, from the first line; nothing else reaches the driver."""
-    first = spark.read.text(path).head()
-    line = (first[0] if first else "").removeprefix("\ufeff")
-    sep = delimiter or sniff_delimiter(line)
-    # headings hold no line breaks; quotes around them are cosmetics
-    return sep, [h.strip().strip('"') for h in line.split(sep)]
+def _files(spark: SparkSession, path: str) -> list[tuple[str, str]]:
+    """(file, its first CSV record) of every data file under a path or pattern; the records' text is all that is read."""
+    jvm = spark._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    found, out = list(fs.globStatus(place) or []), []
+    while found:
+        status = found.pop()
+        name = status.getPath().getName()
+        if status.isDirectory():
+            found += [s for s in fs.listStatus(status.getPath()) if s.getPath().getName()[:1] not in ("_", ".")]
+        elif name[:1] not in ("_", "."):
+            reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(fs.open(status.getPath()), "UTF-8"))
+            record = reader.readLine()
+            while record is not None and record.count('"') % 2 and (more := reader.readLine()) is not None:
+                record += "\n" + more
+            reader.close()
+            if record is not None:
+                out.append((status.getPath().toString(), record))
+    return out
+
+
+def headings(record: str, delimiter: str | None = None) -> tuple[str, tuple[str, ...]]:
+    """Delimiter and cells of a heading record, by the CSV rules for quotes."""
+    line = record.removeprefix("\ufeff")
+    # delimiters inside quotes tell nothing
+    sep = delimiter or sniff_delimiter("".join(line.split('"')[::2]))
+    return sep, tuple(next(csv.reader([line], delimiter=sep), []))
+
+
+def read_catalog_csv(spark: SparkSession, path: str, delimiter: str | None = None, multi_line: bool = True) -> DataFrame:
+    """Catalog rows by header aliases: ragged rows allowed, blank and nameless rows dropped.
+
+    Each file goes by its own heading; files that share one are read together.
+    multi_line=False lets Spark split large files, where no cell holds a line
+    break.
+    """
+    groups: dict[tuple[str, tuple[str, ...]], list[str]] = {}
+    for name, record in _files(spark, path):
+        groups.setdefault(headings(record, delimiter), []).append(name)
+    parts = [_read_files(spark, sorted(names), sep, cells, multi_line) for (sep, cells), names in sorted(groups.items())]
+    if not parts:
+        return shape_rows(spark.createDataFrame([], "_c0 string"), {})
+    return reduce(DataFrame.unionByName, parts)
 
 
-def read_catalog_csv(spark: SparkSession, path: str, delimiter: str | None = None) -> DataFrame:
-    """Catalog rows by header aliases: ragged rows allowed, blank and nameless rows dropped."""
-    sep, headings = _header(spark, path, delimiter)
-    raw = [f"_c{i}" for i in range(len(headings))]
-    cells = (
+def _read_files(spark: SparkSession, paths: list[str], sep: str, cells: tuple[str, ...], multi_line: bool) -> DataFrame:
+    raw = [f"_c{i}" for i in range(len(cells))]
+    rows = (
         spark.read.option("sep", sep)
         .option("header", True)
         .option("enforceSchema", True)
         .option("mode", "PERMISSIVE")
-        .option("multiLine", True)
+        .option("multiLine", multi_line)
         .option("quote", '"')
         .option("escape", '"')
         .option("ignoreLeadingWhiteSpace", True)
         .schema(", ".join(f"{c} string" for c in raw))
-        .csv(path)
+        .csv(paths)
     )
     places: dict[str, str] = {}
-    for c, text in zip(raw, headings):
+    for c, text in zip(raw, cells):
         name = BY_HEADING.get(heading_key(text))
         if name:
             places[name] = c
         if heading_key(text) == "author":
             places["author_cover"] = c
-    return shape_rows(cells, places)
+    return shape_rows(rows, places)
 
 
 def shape_rows(cells: DataFrame, places: dict[str, str]) -> DataFrame:
