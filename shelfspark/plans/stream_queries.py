@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shelfspark.plans.catalog_queries import REVIEWS
 from shelfspark.plans.join_queries import FOLDED_CARTS, MATCHES, STOCK_BEST
 from shelfspark.plans.merge_queries import ORDER, UPSERTED, incoming_columns
 from shelfspark.plans.registry import Tables, query
@@ -62,24 +61,44 @@ def x3(t: Tables):
     return X.last_snapshot(t.spark, root, run)
 
 
-@query("x4_stream_ratings", f"SELECT product_id, CAST(sum(rating) AS BIGINT) AS rating_sum, count(*) AS review_count FROM ({REVIEWS}) GROUP BY product_id")
+def shuffled_events(t: Tables):
+    """The events as a stream of four files in no order of time, one file per batch."""
+    path = fresh_path(t.spark, "events")
+    t.events.repartition(4, F.xxhash64("event_id")).write.parquet(path)
+    return t.spark.readStream.schema(t.events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@query(
+    "x4_stream_ratings",
+    "SELECT product_id, CAST(sum(rating) AS BIGINT) AS rating_sum, count(*) AS review_count FROM (SELECT *, row_number() OVER (PARTITION BY user_id, product_id ORDER BY ts, review_id) AS r"
+    " FROM (SELECT user_id, event_id % 5 AS product_id, ts, event_id AS review_id, 1 + CAST(floor(value) AS BIGINT) % 5 AS rating FROM events)) WHERE r = 1 GROUP BY product_id",
+)
 def x4(t: Tables):
-    reviews = X.read_events(t.spark, t.folder, "events").selectExpr("user_id * 7 % 40 AS product_id", "1 + CAST(floor(value) AS BIGINT) % 5 AS rating")
+    """Many reviews of the same user and product; the first one counts, in whichever batch it comes."""
+    reviews = shuffled_events(t).selectExpr("user_id", "event_id % 5 AS product_id", "ts", "event_id AS review_id", "1 + CAST(floor(value) AS BIGINT) % 5 AS rating")
     root = fresh_path(t.spark, "ratings")
-    X.update_stream(X.stream_ratings(reviews), root).awaitTermination()
-    return X.latest(t.spark, root, ["product_id"])
+    X.stream_ratings(reviews, root).awaitTermination()
+    return X.ratings(X.partials(t.spark, root))
+
+
+def view_parts(t: Tables):
+    views = shuffled_events(t).where("event_type = 'view'").selectExpr("ts", "user_id AS post_id")
+    root = fresh_path(t.spark, "views")
+    X.stream_views(views, root).awaitTermination()
+    return X.partials(t.spark, root)
 
 
 @query(
     "x5_stream_view_counts",
-    "SELECT epoch_us(date_trunc('hour', ts)) // 1000000 AS window_start, user_id AS post_id, count(*) AS views FROM events WHERE event_type = 'view' GROUP BY ALL",
+    "SELECT epoch_us(date_trunc('hour', ts)) // 1000000 AS window_start, user_id AS post_id, CAST(count(*) AS BIGINT) AS views FROM events WHERE event_type = 'view' GROUP BY ALL",
 )
 def x5(t: Tables):
-    views = X.read_events(t.spark, t.folder, "events").where("event_type = 'view'").selectExpr("ts", "user_id AS post_id")
-    root = fresh_path(t.spark, "views")
-    X.update_stream(X.stream_views(views), root).awaitTermination()
-    out = X.latest(t.spark, root, ["window_start", "post_id"])
-    return out.withColumn("window_start", F.unix_timestamp("window_start"))
+    return X.view_counts(view_parts(t)).withColumn("window_start", F.unix_timestamp("window_start"))
+
+
+@query("x5_stream_view_totals", "SELECT user_id AS post_id, CAST(count(*) AS BIGINT) AS views FROM events WHERE event_type = 'view' GROUP BY user_id")
+def x5_totals(t: Tables):
+    return X.view_counts(view_parts(t), ["post_id"])
 
 
 @query(
@@ -101,10 +120,14 @@ def x6(t: Tables):
     return X.latest(t.spark, root, ["run_id"])
 
 
-@query("x7_stream_first_record", "SELECT DISTINCT concat('run-', substr(CAST(ts AS STRING), 1, 10)) AS run_id, concat('https://shop.example/item/', user_id, '/', event_type) AS source_url FROM events")
+@query(
+    "x7_stream_first_record",
+    with_shapes(
+        "SELECT record_id, run_id, source_url FROM (SELECT *, row_number() OVER (PARTITION BY run_id, source_url ORDER BY created_at, record_id) AS r FROM records) WHERE r = 1", "records"
+    ),
+)
 def x7(t: Tables):
-    stream = X.read_events(t.spark, t.folder, "events").selectExpr(*listed(record_columns()))
+    stream = shuffled_events(t).selectExpr(*listed(record_columns()))
     root = fresh_path(t.spark, "first")
-    X.update_stream(X.stream_first_record(stream), root, "append").awaitTermination()
-    rows = t.spark.read.option("recursiveFileLookup", True).parquet(f"{root}/out")
-    return rows.select("run_id", "source_url")
+    X.stream_first_record(stream, root).awaitTermination()
+    return X.first_records(X.partials(t.spark, root)).select("record_id", "run_id", "source_url")

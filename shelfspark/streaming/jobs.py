@@ -2,7 +2,8 @@
 
 Table-maintaining jobs use foreachBatch and write a new snapshot per batch
 under its batch id, so a batch that runs twice leaves the same snapshot.
-Counters are native stateful aggregations in update mode.
+Counts, sums and firsts are written as partial aggregates per batch and
+combined when read; run progress is a stateful aggregation in update mode.
 """
 
 from __future__ import annotations
@@ -117,21 +118,59 @@ def latest(spark: SparkSession, root: str, keys: Sequence[str]) -> DataFrame:
     return picked.select(*keys, "v.*")
 
 
-def stream_ratings(reviews: DataFrame) -> DataFrame:
-    """Running rating sum and count per product."""
-    return reviews.groupBy("product_id").agg(F.sum("rating").alias("rating_sum"), F.count(F.lit(1)).alias("review_count"))
+def partial_stream(stream: DataFrame, root: str, part: Callable[[DataFrame], DataFrame], interval: str | None = None) -> StreamingQuery:
+    """Partial aggregates of each batch, one folder per batch; a repeated batch replaces its folder.
 
+    For aggregates whose parts combine (sums, minima, firsts). The stream holds
+    no state, so no row is ever too late.
+    """
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        part(batch).write.mode("overwrite").parquet(f"{root}/out/batch-{batch_id}")
+
+    writer = stream.writeStream.foreachBatch(sink).option("checkpointLocation", f"{root}/checkpoint")
+    return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
+
+
+def partials(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.option("recursiveFileLookup", True).parquet(f"{root}/out")
+
+
+def _first(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Per key the row that comes first in `order`; a minimum, so each task sends one row per key."""
+    rest = [c for c in rows.columns if c not in keys and c not in order]
+    picked = rows.groupBy(*keys).agg(F.min(F.struct(*order, *rest)).alias("v"))
+    return picked.select(*keys, "v.*")
+
+
+REVIEW = ["user_id", "product_id"]
 
-def one_review_each(reviews: DataFrame, delay: str = "1 day") -> DataFrame:
-    """First review per user and product while the watermark holds its state."""
-    return reviews.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["user_id", "product_id"])
 
+def stream_ratings(reviews: DataFrame, root: str) -> StreamingQuery:
+    """Reviews (user_id, product_id, ts, review_id, rating): the first one of each user and product, per batch."""
+    return partial_stream(reviews, root, lambda batch: _first(batch, REVIEW, ["ts", "review_id"]))
 
-def stream_views(events: DataFrame, width: str = "1 hour", delay: str = "1 hour") -> DataFrame:
-    """Views per post and window; rows behind the watermark are dropped and their state with them."""
-    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
-    counted = timed.groupBy(F.window("ts", width), "post_id").agg(F.count(F.lit(1)).alias("views"))
-    return counted.select(F.col("window.start").alias("window_start"), "post_id", "views")
+
+def ratings(parts: DataFrame) -> DataFrame:
+    """Rating sum and count per product, one review per user."""
+    each = _first(parts, REVIEW, ["ts", "review_id"])
+    return each.groupBy("product_id").agg(F.sum("rating").alias("rating_sum"), F.count(F.lit(1)).alias("review_count"))
+
+
+def stream_views(events: DataFrame, root: str, width: str = "1 hour") -> StreamingQuery:
+    """Views per post and window of each batch, however late they come."""
+
+    def part(batch: DataFrame) -> DataFrame:
+        timed = batch.withColumn("ts", F.col("ts").cast("timestamp"))
+        counted = timed.groupBy(F.window("ts", width), "post_id").agg(F.count(F.lit(1)).alias("views"))
+        return counted.select(F.col("window.start").alias("window_start"), "post_id", "views")
+
+    return partial_stream(events, root, part)
+
+
+def view_counts(parts: DataFrame, keys: Sequence[str] = ("window_start", "post_id")) -> DataFrame:
+    """Views per window and post, or per post alone."""
+    return parts.groupBy(*keys).agg(F.sum("views").alias("views"))
 
 
 def stream_progress(events: DataFrame) -> DataFrame:
@@ -144,7 +183,13 @@ def stream_progress(events: DataFrame) -> DataFrame:
     )
 
 
-def stream_first_record(records: DataFrame, delay: str = "1 day") -> DataFrame:
-    """First record per run and URL, with state bounded by the watermark."""
-    timed = records.withColumn("created_at", F.col("created_at").cast("timestamp")).withWatermark("created_at", delay)
-    return timed.dropDuplicatesWithinWatermark(["run_id", "source_url"])
+FIRST_RECORD = ["run_id", "source_url"]
+
+
+def stream_first_record(records: DataFrame, root: str) -> StreamingQuery:
+    """First record per run and URL of each batch, by time, then id."""
+    return partial_stream(records, root, lambda batch: _first(batch, FIRST_RECORD, ["created_at", "record_id"]))
+
+
+def first_records(parts: DataFrame) -> DataFrame:
+    return _first(parts, FIRST_RECORD, ["created_at", "record_id"])
