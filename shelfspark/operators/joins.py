@@ -19,7 +19,7 @@ from shelfspark.functions.values import kind, parse
 from shelfspark.operators.filters import is_stock_syncable
 from shelfspark.operators.merge import upsert_main
 from shelfspark.operators.skew import HEAVY_ROWS, spread_join
-from shelfspark.session import cut_lineage
+from shelfspark.session import written
 
 MAIN_SOURCE_KEY = [("guidNom", "source_guid_nom"), ("guid", "source_guid"), ("nomcode", "source_nomcode")]
 
@@ -141,35 +141,24 @@ def copy_to_main(
     return upsert_main(main, chosen, order, as_of, category)
 
 
-def _substrings(c: str, longest: int) -> Column:
-    """Distinct substrings of a text up to a length; longer ones could equal nothing on the other side."""
+def _with_substrings(df: DataFrame, c: str, others: DataFrame, other: str) -> DataFrame:
+    """A row of `other` per distinct substring of `c` that is as long as some text of the other side, which alone can equal it."""
+    lengths = others.agg(F.collect_set(F.length(other))).scalar()
     size = F.length(F.col(c))
-    starts = F.sequence(F.lit(1), size)
-    return F.array_distinct(
-        F.flatten(
-            F.transform(
-                starts,
-                lambda i: F.transform(
-                    F.sequence(F.lit(1), F.least(size - i + 1, F.lit(longest))), lambda n: F.substring(F.col(c), i, n)
-                ),
-            )
-        )
-    )
-
-
-def _longest(df: DataFrame, c: str) -> int:
-    return df.agg(F.coalesce(F.max(F.length(c)), F.lit(1))).first()[0]
+    fitting = F.filter("_lengths", lambda n: n <= size)
+    parts = F.flatten(F.transform(fitting, lambda n: F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.substring(F.col(c), i, n))))
+    return df.withColumn("_lengths", lengths).withColumn(other, F.explode(F.array_distinct(parts))).drop("_lengths")
 
 
 def partial_matches(terms: DataFrame, names: DataFrame) -> DataFrame:
     """Best category name inside a term, or around it: the longest, then by name, then by id.
 
-    "Contains" becomes equality on substrings, so both directions are plain
-    hash joins over distinct terms and names and no pair is formed that does
-    not match. Only the two greatest lengths come to the driver.
+    "Contains" becomes equality on substrings of the lengths that occur on the
+    other side, so both directions are plain hash joins over distinct terms and
+    names and no pair is formed that does not match.
     """
-    inside = terms.select("term", F.explode(_substrings("term", _longest(names, "name"))).alias("name")).join(names, "name")
-    around = names.select("name", "category_id", F.explode(_substrings("name", _longest(terms, "term"))).alias("term"))
+    inside = _with_substrings(terms.select("term"), "term", names, "name").join(names, "name")
+    around = _with_substrings(names.select("name", "category_id"), "name", terms, "term")
     around = around.join(terms, "term", "left_semi")
     hits = inside.select("term", "name", "category_id").unionByName(around.select("term", "name", "category_id"))
     best = hits.groupBy("term").agg(F.min(F.struct((-F.length("name")).alias("size"), "name", "category_id")).alias("best"))
@@ -195,9 +184,9 @@ def link_categories(products: DataFrame, closure: DataFrame) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("rows"))
     )
     # distinct terms are read several times below; the products are scanned for them once
-    terms, names = cut_lineage(terms), cut_lineage(names)
+    terms, names = written(terms, "terms"), written(names, "names")
     exact = terms.join(names.withColumnRenamed("name", "term"), "term", "left").withColumnRenamed("category_id", "exact_id")
-    unmatched = exact.where(F.col("exact_id").isNull()).select("term")
+    unmatched = written(exact.where(F.col("exact_id").isNull()).select("term"), "unmatched")
     decided = exact.join(partial_matches(unmatched, names), "term", "left").select(
         "term", "rows", F.coalesce("exact_id", "partial_id").alias("id"), F.col("exact_id").isNotNull().alias("exact")
     )
