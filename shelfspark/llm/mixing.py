@@ -27,6 +27,8 @@ LIMIT = 3
 WEIGHTS = 3
 ROUNDS = 16
 SEED = 7
+#: Up to so many sources, the cells of the number line (4096 and two a source at most, 32 bytes each) are broadcast.
+BROADCAST_SOURCES = 100_000
 
 
 def word_count(text: str = "text") -> Column:
@@ -98,6 +100,8 @@ def slots(plan: DataFrame) -> DataFrame:
     draws = draws.withColumn("u", F.pmod(F.xxhash64(F.lit(SEED), "shard", "i"), F.lit(max(total, 1))))
     draws = draws.withColumn("cell", F.floor(F.col("u") / width))
     inside = (F.col("u") >= F.col("before")) & (F.col("u") < F.col("before") + F.col("slots"))
+    # the planner takes rows that an explode makes for few, so the join is chosen here
+    cells = F.broadcast(cells) if sources <= BROADCAST_SOURCES else cells.hint("merge")
     drawn = draws.join(cells, "cell").where(inside).groupBy("shard", "src").agg(F.count("*").alias("n"))
     # one row per shard and source: a source's window holds as many rows as there are shards
     earlier = Window.partitionBy("src").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
@@ -108,12 +112,14 @@ def slots(plan: DataFrame) -> DataFrame:
     plan = ordered_totals(plan, [F.col("src")], F.col("over"), "over_before")
     plan = stored(ordered_totals(plan, [F.col("src")], F.col("under"), "under_before"), "plan")
 
-    numbered = drawn.join(plan, "src").select("shard", "src", "slots", "over_before", F.explode(F.sequence("from", F.col("from") + F.col("n") - 1)).alias("k"))
+    # few rows make many slots: they are spread by number, or they would stay in one partition
+    spread = drawn.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "shard", "src")
+    numbered = spread.join(plan, "src").select("shard", "src", "slots", "over_before", F.explode(F.sequence("from", F.col("from") + F.col("n") - 1)).alias("k"))
     vacant = numbered.where("k >= slots").select("shard", (F.col("over_before") + F.col("k") - F.col("slots")).alias("place"))
     lacking = plan.where("under > 0").select(
         "src", F.explode(F.sequence(F.lit(0).cast("long"), F.col("under") - 1)).alias("i"), "got", "under_before"
     ).select("src", (F.col("got") + F.col("i")).alias("k"), (F.col("under_before") + F.col("i")).alias("place"))
-    dealt = numbered.where("k < slots").select("shard", "src", "k").union(vacant.join(lacking, "place").select("shard", "src", "k"))
+    dealt = numbered.where("k < slots").select("shard", "src", "k").union(vacant.join(lacking.hint("merge"), "place").select("shard", "src", "k"))
 
     dealt = dealt.join(plan.select("src", "full", "tail", "blocks", "passes", "rest"), "src")
     dealt = dealt.withColumn("pass", F.floor(F.col("k") / F.col("blocks")).cast("long")).withColumn("place", F.col("k") % F.col("blocks"))
