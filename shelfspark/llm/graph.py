@@ -64,9 +64,11 @@ def components(links: DataFrame) -> DataFrame:
         if not now[0]:
             break
         both = links.union(links.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # minima are written: a join with a written side can be split where a hub has most of the links
+        least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         links = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = links.groupBy("u").agg(F.min("v").alias("m"))
+        links = stored(links, "links")
+        least = stored(links.groupBy("u").agg(F.min("v").alias("m")), "least")
         near = links.join(least, "u")
         links = near.select("v", "m").where("v <> m").union(near.select("u", "m")).toDF("u", "v").distinct()
         links = stored(links, "links")

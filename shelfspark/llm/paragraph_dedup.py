@@ -293,7 +293,7 @@ def piece_links(units: DataFrame) -> DataFrame:
     blocks = again.where(F.col("n") > BUCKET).select("key", "uid", block.alias("block"), other)
     blocks = blocks.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("key"), "uid")
     small = found.where(F.col("n") <= BUCKET).select("key", "uid").union(again.where(F.col("n") <= BUCKET).select("key", "uid")).union(blocks)
-    pairs = small.join(sets, "uid").select("key", "uid", "shingles")
+    pairs = small.hint("merge").join(sets, "uid").select("key", "uid", "shingles")
     return pairs.repartition("key").sortWithinPartitions("key", "uid").mapInArrow(_links, "u long, v long")
 
 
