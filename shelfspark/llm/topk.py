@@ -133,7 +133,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     right = queries.select(columns).repartition(blocks).mapInArrow(_pack, schema)
     right = stored(right.withColumn("q", F.spark_partition_id()), "queries").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     right = right.select("q", F.col("salt").cast("long").alias("salt"), *(F.col(c).alias(f"q_{c}") for c in ("ids", "rows", "data", "width")))
-    met = left.join(right, ["q", "salt"]).select("ids", "rows", "data", "width", "q_ids", "q_rows", "q_data", "q_width")
+    # the planner doesn't see that each query block comes once per salt, and must not broadcast them
+    met = left.join(right.hint("merge"), ["q", "salt"]).select("ids", "rows", "data", "width", "q_ids", "q_rows", "q_data", "q_width")
     found = met.mapInArrow(_meet(k), "query_id long, query_row long, vec_id long, score long")
     # one row per block at most k times: few rows of a query meet here
     best = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
