@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from shelfspark.functions.values import merge_missing
 from shelfspark.operators import commerce as K, pages as P
+from shelfspark.functions import urls as U
 from shelfspark.functions.urls import discovery_score
 from shelfspark.plans.registry import Tables, query
 from shelfspark.plans.scalar_queries import clean_sql
@@ -60,7 +61,7 @@ def p1(t: Tables):
     return out.select("page_id", "extraction", *shown(F.col("record"), "title", "isbn", "price"))
 
 
-@query("p1_given_pages_products")
+@query("p1_given_pages_products", "SELECT page_id, url, '' AS extraction, '' AS title, '' AS source_url FROM pages WHERE contains(lower(html), 'schema.org/product') OR contains(lower(html), '\"@type\"')")
 def p1_given(t: Tables):
     return P.extract_products(t.pages).select("page_id", "url", "extraction", *shown(F.col("record"), "title", "source_url"))
 
@@ -78,10 +79,12 @@ def p2(t: Tables):
 
 @query(
     "w8_best_structured_candidate",
-    "SELECT p_partkey AS page_id, 7 AS score, CAST(2 AS BIGINT) AS candidates FROM part",
+    "SELECT p_partkey AS page_id, CAST(4 + CASE WHEN p_size % 2 = 0 THEN 2 ELSE 0 END + CASE WHEN p_size % 3 = 0 THEN 1 ELSE 0 END AS INTEGER) AS score, CAST(2 AS BIGINT) AS candidates FROM part",
 )
 def w8(t: Tables):
-    pages = t.part.selectExpr("p_partkey AS page_id", f"{PAGE_URL} AS url", f"{JSON_LD} AS html")
+    """Titles alone against a candidate whose price and image come and go with the size."""
+    varied = f"replace(replace({JSON_LD}, CASE WHEN p_size % 2 = 0 THEN '~' ELSE '\"price\"' END, '\"was\"'), CASE WHEN p_size % 3 = 0 THEN '~' ELSE '\"image\"' END, '\"was\"')"
+    pages = t.part.selectExpr("p_partkey AS page_id", f"{PAGE_URL} AS url", f"{varied} AS html")
     all_of = P.json_ld_candidates(pages)
     return P.best_candidate(all_of).select("page_id", "score").join(all_of.groupBy("page_id").agg(F.count(F.lit(1)).alias("candidates")), "page_id")
 
@@ -239,14 +242,63 @@ def p13(t: Tables):
     return scored.select("page_id", "product_score", "likely")
 
 
-@query("p13_catalog_url_scores")
+def _any(text: str, tokens) -> str:
+    return "(" + " OR ".join(f"contains({text}, '{x}')" for x in tokens) + ")"
+
+
+def _worth(*rules: tuple[str, int]) -> str:
+    return " + ".join(f"CASE WHEN {condition} THEN {points} ELSE 0 END" for condition, points in rules)
+
+
+def _re(text: str, pattern: str) -> str:
+    return f"regexp_matches({text}, '{pattern}')"
+
+
+def scores_sql(source: str, depth: str) -> str:
+    """product_score, likely, parse_score and discovery_score of the urls of a statement, its other columns kept."""
+    books = lambda c: f"NOT contains({c}, '/catalog/books/') AND NOT contains({c}, '/catalogue/books/')"
+    roots = ", ".join(f"'{x}'" for x in U.ROOT_PAGES)
+    likely = (
+        f"CASE WHEN trim(url) = '' THEN false WHEN contains(path, '/catalog/product/') OR {_re('path', U.P_BOOK_DETAILS)} OR {_re('path', U.P_CATALOG_SLUG)} THEN true"
+        f" WHEN ({_re('path', U.P_BOOK_DEEP)} OR {_re('path', U.P_BOOK_SINGLE)}) AND {books('path')} THEN true"
+        f" WHEN {_re('path', U.P_CATALOG_DEEP)} AND NOT contains(path, '/filter/') AND NOT contains(path, '/search/') THEN true WHEN {_any('path', U.LISTING_PATHS)} THEN false"
+        f" WHEN {_any('low', ['route=product/product', 'product_id='])} OR {_any('path', U.ITEM_PATHS)} THEN true"
+        f" WHEN (contains(path, '/book/') OR contains(path, '/p/')) AND {_re('path', U.P_TRAILING_ID)} THEN true ELSE slug END"
+    )
+    product = _worth(
+        (_re("low", U.P_PRODUCT_WORD), 3), ("contains(low, '/catalog/product/')", 18), (_re("path", U.P_BOOK_DETAILS), 14), (_re("low", U.P_CATALOG_SLUG), 18),
+        (f"{_re('low', U.P_BOOK_DEEP)} AND {books('low')}", 7), (f"{_re('path', U.P_BOOK_SINGLE)} AND {books('path')}", 4), (_re("low", U.P_CATALOG_DEEP), 8),
+        (_any("low", ["/product/", "/products/"]), 16), (_any("low", ["route=product/product", "product_id="]), 16), (f"{_any('low', ['/book/', '/books/'])} AND {books('low')}", 3),
+        (_any("low", ["/item/", "/dp/"]), 8), ("contains(low, 'isbn')", 5), *[(f"contains(low, '{x}')", -8) for x in U.DEMOTED_TOKENS],
+        (f"contains(low, '/catalog/') AND NOT contains(low, '/catalog/product/') AND NOT {_re('low', U.P_CATALOG_SLUG)} AND NOT {_re('low', U.P_CATALOG_DEEP)}", -8),
+        ("slug", 9), ("blocked", -10), ("contains(low, '?')", -1), (_re("low", r"\.(jpg|png)$"), -10), ("length(low) - length(replace(low, '/', '')) >= 4", 2),
+    )
+    shaped = f"contains(low, '/catalog/product/') OR {_re('low', U.P_CATALOG_SLUG)} OR {_re('low', U.P_BOOK_DEEP)} OR {_re('low', U.P_CATALOG_DEEP)} OR {_any('low', U.PRODUCT_URL_TOKENS)}"
+    listing = f"CASE WHEN likely THEN false WHEN {_re('low', U.P_PAGINATION)} THEN true WHEN {_any('low', U.NON_PRODUCT_TOKENS)} THEN NOT {_any('low', ['/product/', '/book/'])} ELSE false END"
+    parse = "product_score + " + _worth(("likely", 20), (shaped, 6), (listing, -30), (_any("low", U.EDITORIAL_TOKENS), -25))
+    found = "product_score + " + _worth(
+        *[(f"contains(low, '{x}')", 2) for x in U.DISCOVERY_GOOD], *[(f"contains(low, '{x}')", -6) for x in U.DISCOVERY_BAD], *[(f"contains(low, '{x}')", -10) for x in U.DISCOVERY_WORSE], ("likely", 8)
+    )
+    return (
+        f"(SELECT *, CAST({parse} AS INTEGER) AS parse_score, CAST({found} + CASE WHEN {depth} <= 1 THEN 2 ELSE -{depth} END AS INTEGER) AS discovery_score FROM (SELECT *, CAST({product} AS INTEGER) AS product_score, {likely} AS likely FROM ("
+        f"SELECT *, {_re('path', U.P_ROOT_SLUG)} AND NOT blocked AS slug FROM (SELECT *, trim(path, '/') = '' OR trim(path, '/') IN ({roots}) AS blocked FROM ("
+        f"SELECT *, lower(url) AS low, lower(coalesce(nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), ''), url)) AS path FROM ({source}))))))"
+    )
+
+
+SHAPED_URLS = (
+    "CASE p_partkey % 8 WHEN 0 THEN 'https://a.example/catalog/product/' WHEN 1 THEN 'https://a.example/books/details/' WHEN 2 THEN 'http://a.example/category/' WHEN 3 THEN 'https://a.example/blog/'"
+    " WHEN 4 THEN 'https://a.example/index.php?route=product/product&product_id=' WHEN 5 THEN 'https://a.example/some-long-slug-' WHEN 6 THEN 'https://a.example/page/' ELSE 'https://a.example/book/' END"
+)
+
+
+@query(
+    "p13_catalog_url_scores",
+    "SELECT id, url, product_score, parse_score, likely, discovery_score FROM " + scores_sql(f"SELECT p_partkey AS id, concat({SHAPED_URLS}, CAST(p_partkey AS VARCHAR)) AS url FROM part", "2"),
+)
 def p13_catalog(t: Tables):
     """All three scores over addresses of many shapes, one per part."""
-    shapes = (
-        "CASE p_partkey % 8 WHEN 0 THEN 'https://a.example/catalog/product/' WHEN 1 THEN 'https://a.example/books/details/' WHEN 2 THEN 'http://a.example/category/' WHEN 3 THEN 'https://a.example/blog/'"
-        " WHEN 4 THEN 'https://a.example/index.php?route=product/product&product_id=' WHEN 5 THEN 'https://a.example/some-long-slug-' WHEN 6 THEN 'https://a.example/page/' ELSE 'https://a.example/book/' END"
-    )
-    urls = t.part.selectExpr("p_partkey AS id", f"concat({shapes}, CAST(p_partkey AS STRING)) AS url")
+    urls = t.part.selectExpr("p_partkey AS id", f"concat({SHAPED_URLS}, CAST(p_partkey AS STRING)) AS url")
     return P.score_urls(urls).withColumn("discovery_score", discovery_score("url", F.lit(2)))
 
 
@@ -308,7 +360,11 @@ def p14(t: Tables):
     return P.classify_fetch(log).select("id", "block_reason", "rate_limited")
 
 
-@query("p15_crawl_frontier")
+@query(
+    "p15_crawl_frontier",
+    "SELECT url, discovery_score AS score, CAST(2 AS INTEGER) AS depth FROM " + scores_sql(f"SELECT DISTINCT dst AS url FROM ({LINKS_SQL}) WHERE dst NOT IN (SELECT url FROM pages)", "2")
+    + " WHERE discovery_score >= -2 ORDER BY score DESC, url LIMIT 200",
+)
 def p15(t: Tables):
     """Links of the given pages not fetched yet, best discovery score first."""
     links = P.page_links(t.pages).select(F.col("dst").alias("url"), F.lit(2).alias("depth"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shelfspark.operators import mapping as G
+from shelfspark.operators import mapping as G, search as S
 from shelfspark.plans.join_queries import RUNS, runs
 from shelfspark.plans.registry import Tables, query
 from shelfspark.plans.scalar_queries import clean_list_sql
@@ -410,8 +410,97 @@ def m4(t: Tables):
     main = main_catalog(t).select(
         "id", "source_product_id", "source_guid_nom", "source_guid", "source_nomcode", "isbn", "isbn_normalized", "name", "brand_name", "price", "updated_at", F.col("updated_at").alias("created_at")
     )
-    out = G.sync_run(records(t), runs(t), RULES, source, main, ["created_at", "record_id"], F.lit(2000000000).cast("bigint"))
-    return out["counters"]
+    return synced(t, source, main)["counters"]
+
+
+def synced(t: Tables, source, main):
+    return G.sync_run(records(t), runs(t), RULES, source, main, ["created_at", "record_id"], F.lit(2000000000).cast("bigint"))
+
+
+M4_SOURCE = ["id", "guid_nom", "guid", "nomcode", "isbn", "name", "brand_name", "updated_at"]
+
+
+@query(
+    "m4_merged_tables",
+    with_shapes(
+        f", {RUNS}, used AS (SELECT json_extract_string(data, '$.title') AS title, json_extract_string(data, '$.isbn') AS isbn, created_at, record_id FROM records WHERE run_id IN (SELECT run_id FROM runs WHERE status = 'finished')),"
+        " ids AS (SELECT *, 'source-' || substr(sha1(title), 1, 16) AS g FROM used),"
+        " firsts AS (SELECT g, arg_min(isbn, (created_at, record_id)) FILTER (isbn <> '') AS any_isbn, arg_min(isbn, (created_at, record_id)) AS first_isbn, arg_max(isbn, (created_at, record_id)) FILTER (isbn <> '') AS last_isbn, min(title) AS title FROM ids GROUP BY g)"
+        " SELECT 'source' AS side, id, guid_nom AS key, isbn, name, brand_name FROM source_catalog UNION ALL SELECT 'main', id, source_guid_nom, isbn, name, brand_name FROM main_catalog"
+        " UNION ALL SELECT 'source', NULL, g, nullif(first_isbn, ''), title, 'House' FROM firsts UNION ALL SELECT 'main', NULL, g, last_isbn, title, 'House' FROM firsts",
+        "records", "source_catalog", "main_catalog",
+    ),
+)
+def m4_tables(t: Tables):
+    """Both catalogs after the sync: untouched rows as they were, new ones with the first (source) or last (main) values."""
+    source = source_catalog(t).select(*M4_SOURCE)
+    main = main_catalog(t).select(
+        "id", "source_product_id", "source_guid_nom", "source_guid", "source_nomcode", "isbn", "isbn_normalized", "name", "brand_name", "price", "updated_at", F.col("updated_at").alias("created_at")
+    )
+    out = synced(t, source, main)
+    fields = ["isbn", "name", "brand_name"]
+    return (
+        out["source"].select(F.lit("source").alias("side"), F.col("id").cast("string").alias("id"), F.col("guid_nom").alias("key"), *fields)
+        .unionByName(out["main"].select(F.lit("main").alias("side"), F.col("id").cast("string").alias("id"), F.col("source_guid_nom").alias("key"), *fields))
+    )
+
+
+FEED_ROWS = "SELECT 'own' || s_nationkey AS row_domain, s_name AS name, CAST(0 AS INTEGER) AS item_index FROM supplier UNION ALL SELECT 'shop' || (s_suppkey % 5) || '.example', 'Item ' || s_suppkey, 1 FROM supplier"
+
+
+@query("s3_read_client_feed_files", FEED_ROWS)
+def s3_files(t: Tables):
+    """Whole-document feed files, named by a comma list that holds a pattern and a path twice."""
+    path = fresh_path(t.spark, "feed")
+    item = lambda **f: F.struct(*[c.alias(n) for n, c in f.items()])
+    bucket = F.struct(
+        F.concat(F.lit(" shop"), (F.col("s_suppkey") % 5).cast("string"), F.lit(".example")).alias("domain"),
+        F.array(
+            item(domain=F.concat(F.lit("own"), F.col("s_nationkey").cast("string")), name=F.col("s_name")),
+            item(domain=F.lit(""), name=F.concat(F.lit("Item "), F.col("s_suppkey").cast("string"))),
+        ).alias("items"),
+    )
+    rows = t.supplier.select("s_suppkey", F.to_json(F.struct(F.array(bucket).alias("domains"))).alias("value"))
+    # one document per file: each holds the domains of up to 100 suppliers
+    files = rows.select(F.concat(F.pmod("s_suppkey", F.lit(2)).cast("string"), F.lit("-"), F.floor(F.col("s_suppkey") / 200).cast("string")).alias("part"), F.from_json("value", CF.FEED_SCHEMA).alias("d"))
+    merged = files.groupBy("part").agg(F.to_json(F.struct(F.flatten(F.collect_list("d.domains")).alias("domains"))).alias("value"))
+    merged.write.partitionBy("part").text(path)
+    found = CF.read_client_feed(t.spark, f"{path}/part=0-*/*, {path}/part=1-*/* ,{path}/part=0-*/*")
+    return found.select("row_domain", "name", "item_index")
+
+
+@query(
+    "s10_read_category_seed",
+    "SELECT 'root' AS level, r_name AS name FROM region UNION ALL SELECT 'child', n_name FROM nation",
+)
+def s10_file(t: Tables):
+    """One seed file per region, read whole."""
+    nested = t.nation.groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct(F.col("n_name").alias("name")))).alias("children"))
+    docs = t.region.join(nested, F.col("r_regionkey") == F.col("n_regionkey"), "left").select(
+        F.to_json(F.array(F.struct(F.col("r_name").alias("name"), "children"))).alias("value"), "r_regionkey"
+    )
+    path = fresh_path(t.spark, "seed")
+    docs.write.partitionBy("r_regionkey").text(path)
+    flat = TR.read_category_seed(t.spark, path + "/*/*")
+    return flat.select(F.when(F.col("parent_id") == "0", "root").otherwise("child").alias("level"), "name")
+
+
+@query("s11_read_url_texts", "SELECT DISTINCT url FROM pages")
+def s11_text(t: Tables):
+    """Sitemaps that are no XML: addresses between other words, several on a line."""
+    path = fresh_path(t.spark, "url-text")
+    t.pages.select(F.concat(F.lit("see <"), "url", F.lit("> or \""), "url", F.lit("\" now"))).write.text(path)
+    return TR.read_url_texts(t.spark, path)
+
+
+@query(
+    "f13_after_key",
+    "SELECT event_id, user_id FROM events WHERE (ts, -event_id) < ((SELECT ts FROM events WHERE event_id = 50), -50) ORDER BY ts DESC, event_id LIMIT 40",
+)
+def f13_after(t: Tables):
+    """The forty rows behind a given one, newest first."""
+    last = t.events.where("event_id = 50").first()
+    return S.after_key(t.events, "ts", "event_id", (last.ts, 50), 40).select("event_id", "user_id")
 
 
 @query(
