@@ -26,7 +26,7 @@ from shelfspark.llm.common import prepare, stored, table
 
 WINDOW = 96
 OVERLAP = 24
-FEATURES = 1 << 15
+FEATURES = 1 << 14
 SAMPLE = 1000
 LINES = 4000
 CONFIRM = 0.6
