@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import json
+from html.entities import html5
 
 from pyspark.sql import Column, functions as F
 
@@ -15,22 +16,11 @@ SPACE_CLASS = (
 # Spellings read as true.
 TRUE_WORDS = ["1", "true", "yes", "y", "on", "да", "истина"]
 
-# Named entities that product pages carry.
-ENTITIES = {
-    "&nbsp;": "\u00a0",
-    "&lt;": "<",
-    "&gt;": ">",
-    "&quot;": '"',
-    "&#34;": '"',
-    "&#39;": "'",
-    "&apos;": "'",
-    "&laquo;": "«",
-    "&raquo;": "»",
-    "&mdash;": "—",
-    "&ndash;": "–",
-    "&hellip;": "…",
-    "&amp;": "&",
-}
+# Every named entity of the HTML standard, as the standard library lists them.
+NAMED_ENTITIES = json.dumps({name.rstrip(";"): text for name, text in html5.items() if name.endswith(";")})
+ENTITY = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
+# What the standard reads for the numbers 128 to 159.
+LOW_CONTROLS = bytes(range(128, 160)).decode("cp1252", "replace")
 
 
 def col(c: Column | str) -> Column:
@@ -104,8 +94,28 @@ def slug_label(c: Column | str) -> Column:
 
 
 def unescape(c: Column | str) -> Column:
-    """Entities to characters; the ampersand goes last so nothing is decoded twice."""
-    return reduce(lambda acc, e: F.replace(acc, F.lit(e[0]), F.lit(e[1])), ENTITIES.items(), col(c))
+    """Named and numeric entities to characters, each once; what is none stays as it is."""
+    text = col(c)
+    named = F.from_json(F.lit(NAMED_ENTITIES), "map<string,string>")
+
+    def number(body: Column) -> Column:
+        code = F.when(F.lower(body).startswith("#x"), F.conv(F.substring(body, 3, 6), 16, 10)).otherwise(F.substring(body, 2, 7)).cast("int")
+        known = (code < 0xD800) | ((code > 0xDFFF) & (code <= 0x10FFFF))
+        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        return (
+            F.when((code == 0) | ~known, F.lit("\ufffd"))
+            .when(code.between(128, 159), F.substring(F.lit(LOW_CONTROLS), code - 127, F.lit(1)))
+            .otherwise(char)
+        )
+
+    def decoded(piece: Column) -> Column:
+        body = F.regexp_extract(piece, ENTITY, 1)
+        value = F.when(body.startswith("#"), number(body)).when(body != "", F.element_at(named, body))
+        return F.coalesce(F.concat(value, F.substring(piece, F.length(body) + 2, F.length(piece))), F.concat(F.lit("&"), piece))
+
+    pieces = F.split(text, "&")
+    whole = F.array_join(F.transform(pieces, lambda p, i: F.when(i == 0, p).otherwise(decoded(p))), "")
+    return F.when(F.contains(text, F.lit("&")), whole).otherwise(text)
 
 
 def clean_text(c: Column | str) -> Column:

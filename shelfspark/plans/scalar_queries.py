@@ -15,10 +15,17 @@ def trim_sql(c: str) -> str:
     return f"regexp_replace({c}, '^{WS}+|{WS}+$', '', 'g')"
 
 
+# The entities that occur in the given pages and in the texts of these queries; the ampersand goes last.
+PAGE_ENTITIES = {
+    "&nbsp;": "\u00a0", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#34;": '"', "&#39;": "'", "&apos;": "'", "&laquo;": "«", "&raquo;": "»",
+    "&mdash;": "—", "&ndash;": "–", "&hellip;": "…", "&copy;": "©", "&middot;": "·", "&amp;": "&",
+}
+
+
 def clean_sql(c: str) -> str:
     """Oracle form of clean_text."""
     out = c
-    for entity, char in X.ENTITIES.items():
+    for entity, char in PAGE_ENTITIES.items():
         quoted = char.replace("'", "''")
         out = f"replace({out}, '{entity}', '{quoted}')"
     return trim_sql(f"regexp_replace({out}, '{WS}+', ' ', 'g')")
@@ -310,6 +317,16 @@ def c24(t: Tables):
     return t.pages.select(F.col("page_id").alias("id"), X.clean_text("html").alias("value"))
 
 
+@query(
+    "c24_entities",
+    "SELECT p_partkey AS id, p_name || '— é ’ © « » & &lt; &nosuch; a&b 😀 € �' AS value FROM part",
+)
+def c24_entities(t: Tables):
+    """Named and numeric entities of all forms, once decoded, next to text that only looks like one."""
+    text = F.concat("p_name", F.lit("&#8212; &eacute; &rsquo; &copy; &#171; &#xBB; &amp; &amp;lt; &nosuch; a&b &#x1F600; &#128; &#xD800;"))
+    return t.part.select(F.col("p_partkey").alias("id"), X.clean_text(text).alias("value"))
+
+
 HOST_RE = "'[a-z0-9-]+(\\.[a-z0-9-]+)+'"
 
 
