@@ -172,6 +172,31 @@ def is_product_type(v: Column) -> Column:
     return F.coalesce(F.exists(kinds, lambda k: F.lower(trim_all(k)).isin("product", "book")), F.lit(False))
 
 
+# Types that are no product, and keys that mark one, by weight.
+PAGE_TYPES = ["website", "webpage", "organization", "localbusiness", "store", "breadcrumblist", "itemlist", "searchaction", "thing"]
+STRONG_KEYS = ["offers", "price", "sku", "isbn", "gtin", "gtin13", "gtin14", "productid", "availability"]
+SOFT_KEYS = ["aggregaterating", "review", "author", "publisher", "brand", "numberofpages", "bookformat", "description", "image"]
+
+
+def is_product_like(v: Column) -> Column:
+    """A product by its type, or a named object with two strong marks, or a strong and a soft one, unless its types are all of pages."""
+
+    def count(keys: Column, marks: list[str]) -> Column:
+        return F.size(F.array_intersect(keys, F.array(*map(F.lit, marks))))
+
+    def body(item: Column) -> Column:
+        kinds = F.transform(F.coalesce(F.try_variant_get(item, "$.@type", "array<string>"), F.array(F.try_variant_get(item, "$.@type", "string"))), lambda k: F.lower(k))
+        kinds = F.filter(kinds, lambda k: or_empty(k) != "")
+        keys = F.transform(F.map_keys(F.try_variant_get(item, "$", "map<string,variant>")), lambda k: F.regexp_replace(F.lower(k), "[^a-z0-9]", ""))
+        typed = F.exists(kinds, lambda k: k.rlike("product|book"))
+        refused = (F.size(kinds) > 0) & (F.size(F.array_except(kinds, F.array(*map(F.lit, PAGE_TYPES)))) == 0)
+        named = F.arrays_overlap(keys, F.array(F.lit("name"), F.lit("title")))
+        marked = (count(keys, STRONG_KEYS) >= 2) | ((count(keys, STRONG_KEYS) >= 1) & (count(keys, SOFT_KEYS) >= 1))
+        return F.coalesce(typed | (~refused & named & marked), F.lit(False))
+
+    return let(v, body)
+
+
 def _image(v: Column) -> Column:
     def one(x: Column) -> Column:
         link = F.when(kind(x) == "OBJECT", F.try_variant_get(x, "$.url", "string")).when(kind(x) == "STRING", F.try_variant_get(x, "$", "string"))
@@ -226,10 +251,10 @@ def record_score(record: Column) -> Column:
     )
 
 
-def json_ld_candidates(pages: DataFrame) -> DataFrame:
-    """(page_id, url, position, record, score) for every product object of every page."""
+def json_ld_candidates(pages: DataFrame, by_marks: bool = False) -> DataFrame:
+    """(page_id, url, position, record, score) for every product object of every page; with by_marks also untyped ones that look like one."""
     items = pages.select("page_id", "url", F.posexplode(json_ld_items("html")).alias("position", "item"))
-    products = items.where(is_product_type(at(F.col("item"), "@type")))
+    products = items.where(is_product_like(F.col("item")) if by_marks else is_product_type(at(F.col("item"), "@type")))
     records = products.select("page_id", "url", "position", in_place(json_ld_record(F.col("item"), F.col("url"))).alias("record"))
     named = records.where(F.col("record").isNotNull())
     return named.withColumn("score", record_score(F.col("record")))

@@ -77,6 +77,23 @@ def p2(t: Tables):
     return best.select("page_id", *shown(F.col("record"), "title", "isbn", "brand", "price", "currency", "image", "size.value"), (F.col("position") + 1).alias("position"))
 
 
+# Untyped objects: strong marks by the size, one soft mark by the part, and a page type that refuses them.
+MARKS = (
+    "concat('<script type=\"application/ld+json\">[{\"name\": \"', p_name, '\"', CASE WHEN p_size % 2 = 0 THEN ', \"SKU\": \"s\"' ELSE '' END, CASE WHEN p_size % 3 = 0 THEN ', \"offers\": {\"price\": 1}' ELSE '' END,"
+    " CASE WHEN p_partkey % 2 = 0 THEN ', \"author\": \"A\"' ELSE '' END, '}, {\"@type\": \"Thing\", \"name\": \"n\", \"sku\": \"s\", \"price\": 1}, {\"@type\": [\"Thing\", \"AudioBook\"], \"name\": \"', p_name, '\"}, {\"sku\": \"s\", \"price\": 1}]</script>')"
+)
+
+
+@query(
+    "p2_key_markers",
+    "SELECT p_partkey AS page_id, CAST(0 AS INTEGER) AS position, p_name AS title FROM part WHERE p_size % 6 = 0 OR (p_partkey % 2 = 0 AND (p_size % 2 = 0 OR p_size % 3 = 0)) UNION ALL SELECT p_partkey, 2, p_name FROM part",
+)
+def p2_marks(t: Tables):
+    pages = t.part.selectExpr("p_partkey AS page_id", f"{PAGE_URL} AS url", f"{MARKS} AS html")
+    found = P.json_ld_candidates(pages, by_marks=True)
+    return found.select("page_id", "position", P.get(F.col("record"), "title").alias("title"))
+
+
 @query(
     "w8_best_structured_candidate",
     "SELECT p_partkey AS page_id, CAST(4 + CASE WHEN p_size % 2 = 0 THEN 2 ELSE 0 END + CASE WHEN p_size % 3 = 0 THEN 1 ELSE 0 END AS INTEGER) AS score, CAST(2 AS BIGINT) AS candidates FROM part",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from shelfspark.functions.values import parse, source_price
 from shelfspark.operators import mapping as G, search as S
 from shelfspark.plans.join_queries import RUNS, runs
 from shelfspark.plans.registry import Tables, query
@@ -140,6 +141,20 @@ NORM_SQL = (
 )
 
 
+@query(
+    "m8_raw_item",
+    f"WITH {NORM_SQL} SELECT guid_nom, row_domain AS domain, url AS source_url, nullif(gt, '') AS gtin, nullif(ib, '') AS isbn, nullif(code, '') AS code, CASE WHEN price > 0 THEN price END AS price,"
+    " CASE WHEN cost > 0 AND (NOT price > 0 OR abs(price - cost) >= 1e-6) THEN cost END AS cost, coalesce(CASE WHEN cost > 0 THEN cost END, CASE WHEN price > 0 THEN price END) AS main_price,"
+    " CASE WHEN nm = '' THEN 'Unnamed product ' || l_linenumber ELSE nm END AS name FROM cand",
+)
+def m8_raw(t: Tables):
+    """The raw item of every feed row, nameless ones included, and the price a copy to the main catalog finds in it."""
+    rows = CF.normalize_feed(feed_items(t), keep_empty_name=True)
+    read = lambda k, n, kind="string": F.get_json_object("raw", f"$.{k}").cast(kind).alias(n)
+    names = [("SOURCE_DOMAIN", "domain"), ("SOURCE_URL", "source_url"), ("GTIN", "gtin"), ("ISBN", "isbn"), ("CODE", "code")]
+    return rows.select("guid_nom", *[read(k, n) for k, n in names], read("PRICE", "price", "double"), read("COST", "cost", "double"), source_price(parse("raw")).alias("main_price"), "name")
+
+
 @query(
     "m8_normalize_client_item",
     f"WITH {NORM_SQL} SELECT guid_nom, guid, nomcode, isbn_out AS isbn, nm AS name, price_out AS price, split_part(path, '|', 1) AS subject_name, split_part(path, '|', 2) AS niche_name,"

@@ -53,11 +53,53 @@ def read_client_feed_lines(spark: SparkSession, path: str) -> DataFrame:
     return flatten_feed(docs.withColumn("file", F.input_file_name()))
 
 
-def normalize_feed(items: DataFrame) -> DataFrame:
-    """Feed items to catalog candidates with identifiers, price, path and quality score.
+# Fixed value: the kind that converted items carry.
+SOURCE_KIND = "products_client_all"
+
+
+def raw_item(items: DataFrame, no_dashes) -> Column:
+    """The item as publisher JSON: source labels, identifiers once each, PRICE and COST; empty ones are left out."""
+    code_isbn = F.when(F.lower(field("code_type")) == "isbn", no_dashes(F.col("_code")))
+    code_ean = F.when(F.lower(field("code_type")) == "ean", no_dashes(F.col("_code")))
+    named = [("ISBN", code_isbn), ("EAN", code_ean), ("ISBN", F.col("_isbn")), ("EAN", F.col("_ean")), ("GTIN", F.col("_gtin")), ("BARCODE", F.col("_barcode")), ("CODE", F.col("_code"))]
+    shown: dict[str, Column] = {}
+    earlier: list[Column] = []
+    for key, value in named:
+        fresh = _filled(F.coalesce(value, F.lit("")))
+        for other in earlier:
+            fresh = F.when(~F.coalesce(F.upper(fresh) == F.upper(other), F.lit(False)), fresh)
+        shown[key] = F.coalesce(fresh, shown[key]) if key in shown else fresh
+        earlier.append(value)
+    price, cost = positive(F.col("price")), positive(F.col("cost"))
+    known = set(items.columns)
+    lists = {k: F.col(c) for k, c in (("REQUIRED", "required_fields"), ("MISSING_REQUIRED", "missing_required")) if c in known}
+    if "MISSING_REQUIRED" in lists:
+        lists["MISSING_REQUIRED"] = F.when(F.size(lists["MISSING_REQUIRED"]) > 0, lists["MISSING_REQUIRED"])
+    parts = {
+        "SOURCE_KIND": F.lit(SOURCE_KIND),
+        "SOURCE_DOMAIN": F.col("row_domain"),
+        "SOURCE_URL": F.col("_url"),
+        "SOURCE_LABEL": field("source"),
+        "CODE_TYPE": field("code_type"),
+        "CATEGORY": field("category"),
+        "AVAILABILITY": field("availability"),
+        "CURRENCY": field("currency"),
+        "REQUIRED_OK": F.coalesce("required_ok", F.lit(False)),
+        **lists,
+        "ERROR": _filled(field("error")),
+        **shown,
+        "PRICE": price,
+        "COST": F.when(price.isNull() | (F.abs(price - cost) >= 1e-6), cost),
+    }
+    return F.to_json(F.struct(*[c.alias(k) for k, c in parts.items()]))
+
+
+def normalize_feed(items: DataFrame, keep_empty_name: bool = False) -> DataFrame:
+    """Feed items to catalog candidates with identifiers, price, path, raw item and quality score.
 
     Rows keep `skip`, the reason a row takes no part, and `synthetic`, whether
-    its identifier had to be made up from the URL or name.
+    its identifier had to be made up from the URL or name. With
+    `keep_empty_name` an item without a name gets one from its place.
     """
 
     def squeezed(c: str) -> Column:
@@ -96,6 +138,10 @@ def normalize_feed(items: DataFrame) -> DataFrame:
             "path": path,
         }
     )
+    named = named.withColumn("raw", raw_item(items, no_dashes))
+    if keep_empty_name:
+        unnamed = F.concat(F.lit("Unnamed product "), (F.col("item_index") + 1).cast("string"))
+        named = named.withColumn("_name", F.coalesce(_filled(F.col("_name")), unnamed))
     shaped = named.select(
         "file",
         "domain_index",
@@ -120,6 +166,7 @@ def normalize_feed(items: DataFrame) -> DataFrame:
         F.col("price_out").alias("price"),
         F.coalesce("required_ok", F.lit(False)).alias("required_ok"),
         F.col("_url").alias("source_url"),
+        "raw",
     )
     return shaped.withColumn("score", quality_score())
 
