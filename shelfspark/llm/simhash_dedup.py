@@ -157,13 +157,16 @@ def fingerprint_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
         rows = rest.select("fp", F.explode(F.element_at(deal, F.col("mask"))).alias("mask"))
         rows = rows.withColumn("bits", F.col("fp").bitwiseAND(F.col("mask")))
         sizes = rows.groupBy("mask", "bits").agg(F.count("*").alias("n")).where("n > 1")
-        rows = rows.join(sizes, ["mask", "bits"])
+        # a written side leaves the join free to split a large shard
+        rows = rows.join(stored(sizes, "shard-sizes"), ["mask", "bits"])
         if level == 2:
             cold.append(rows.select("mask", "bits", "fp"))
         else:
             rows = stored(rows, "shards")
             cold.append(rows.where(F.col("n") <= SHARD).select("mask", "bits", "fp"))
             rest = rows.where(F.col("n") > SHARD).select("fp", "mask")
+            if rest.isEmpty():
+                break
     dealt = reduce(DataFrame.union, cold).repartition("mask", "bits").sortWithinPartitions("mask", "bits", "fp")
     return dealt.mapInArrow(_shard_links(radius), "u long, v long")
 
