@@ -33,7 +33,7 @@ HEADLINE = [
 
 def main() -> None:
     from shelfspark.plans import QUERIES
-    from shelfspark.session import local_session
+    from shelfspark.session import clear_written, local_session
 
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     spark = local_session(os.environ.get("BENCH_CPUS", "8"), "bench")
@@ -44,6 +44,7 @@ def main() -> None:
         # every row and column is computed, nothing is sent to the driver
         QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)
+    clear_written(spark)
     total = round(sum(seconds.values()), 3)
     print(json.dumps({"metric": "headline_total", "value": total, "unit": "sec", "queries": seconds, "sf": os.path.basename(folder.rstrip("/")).removeprefix("sf")}))
 

@@ -96,8 +96,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    """Unused path under the shared folder for a written table or a stream."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """Unused path under the application's part of the shared folder, for a written table or a stream."""
+    return f"{_written_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def _written_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+
+
+def clear_written(spark: SparkSession) -> None:
+    """Delete all that this application has written to the shared folder; for the end of a job, when no result is read any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(_written_dir(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:

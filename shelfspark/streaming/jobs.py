@@ -38,12 +38,17 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def fold_stream(stream: DataFrame, root: str, start: DataFrame, fold: Fold, interval: str | None = None) -> StreamingQuery:
     """Keep a table folded over a stream: snapshot n is fold(snapshot n-1, batch n).
 
     A finished snapshot is never written again, and a half-written one is
-    replaced, so recovery after a lost driver or executor is exact. The table
-    before the first batch is `start`.
+    replaced, so recovery after a lost driver or executor is exact. The last
+    two are kept. The table before the first batch is `start`.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
@@ -52,6 +57,8 @@ def fold_stream(stream: DataFrame, root: str, start: DataFrame, fold: Fold, inte
             return
         before = spark.read.parquet(snapshot(root, batch_id - 1)) if batch_id > 0 else start
         fold(before, batch).write.mode("overwrite").parquet(snapshot(root, batch_id))
+        # the one before stays: a repeated batch starts from it
+        _delete(spark, snapshot(root, batch_id - 2))
 
     writer = stream.writeStream.foreachBatch(apply).option("checkpointLocation", f"{root}/checkpoint")
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()

@@ -4,6 +4,7 @@ import os
 import subprocess
 import sys
 import time
+from pathlib import Path
 
 import pytest
 
@@ -64,6 +65,16 @@ def test_a_cluster_must_name_its_folder(spark):
     assert session.shared_dir(spark)
 
 
+def test_written_tables_can_be_cleared(spark):
+    kept = session.written(spark.range(3), "kept")
+    folder = os.path.dirname(kept.inputFiles()[0].removeprefix("file://"))
+    assert kept.count() == 3 and spark.sparkContext.applicationId in folder
+    other = Path(session.shared_dir(spark)) / "not-ours"
+    other.mkdir(exist_ok=True)
+    session.clear_written(spark)
+    assert not os.path.exists(folder) and other.exists()
+
+
 def test_workers_get_the_package():
     """A page job started outside the repository, with the package on the driver's path alone."""
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))

@@ -1,5 +1,6 @@
 """Splitting of heavy keys, cycles, carts and streams on small inputs."""
 
+import os
 import random
 
 from pyspark.sql import functions as F
@@ -79,6 +80,7 @@ def test_cart_stream_carries_over_batches_and_resumes(spark):
         spark.createDataFrame(events[start:start + 30], CART).coalesce(1).write.mode("append").parquet(source)
         run = X.stream_carts(spark.readStream.schema(CART).parquet(source), root, empty)
         run.awaitTermination()
+    assert sorted(p for p in os.listdir(root) if p.startswith("snapshot")) == ["snapshot-1", "snapshot-2"]
     got = {(r.user_id, r.product_id): r.quantity for r in X.last_snapshot(spark, root, run).collect()}
     assert got == simulate_carts(events)
 
