@@ -108,10 +108,17 @@ def _templates(spark: SparkSession) -> DataFrame:
     return spark.range(1).select(F.inline(F.array(*rows))).select("number", "family", word_array(F.col("text")).alias("words"))
 
 
-def _likeness(words: Column, family: str, spark: SparkSession) -> Column:
-    """The largest share of a template of the family that the words hold."""
-    known = [r[0] for r in _templates(spark).where(F.col("family") == family).select(_triples(F.col("words"))).collect()]
-    shares = [F.size(F.array_intersect(words, F.array(*map(F.lit, t)))) / F.lit(len(t)) for t in known]
+def _template_shingles(spark: SparkSession) -> dict[str, list[list[str]]]:
+    """The shingles of each family's templates, as the words of documents are cut."""
+    known: dict[str, list[list[str]]] = {f: [] for f in TEMPLATES}
+    for r in _templates(spark).select("family", _triples(F.col("words")).alias("triples")).collect():
+        known[r.family].append(r.triples)
+    return known
+
+
+def _likeness(triples: Column, templates: list[list[str]]) -> Column:
+    """The largest share of a template that the shingles hold."""
+    shares = [F.size(F.array_intersect(triples, F.array(*map(F.lit, t)))) / F.lit(len(t)) for t in templates]
     return F.greatest(*shares) if len(shares) > 1 else shares[0]
 
 
@@ -151,7 +158,7 @@ def training_rows(docs: DataFrame) -> DataFrame:
     around = templates.join(dealt, "number")
     before = around.select(F.concat("around", "words").alias("words"), number.alias("label"))
     after = around.select(F.concat("words", "around").alias("words"), number.alias("label"))
-    share = F.array(*(_likeness(F.col("triples"), f, spark) for f in families))
+    share = F.array(*(_likeness(F.col("triples"), known) for known in _template_shingles(spark).values()))
     own = lines.select("words", _triples(F.col("words")).alias("triples")).select("words", share.alias("share"))
     most = F.array_max("share")
     own = own.select("words", F.when(most >= CONFIRM, F.array_position("share", most) - 1).otherwise(len(families)).alias("label"))
@@ -182,7 +189,7 @@ class LicenceModel:
 
     def predicted(self, rows: DataFrame) -> DataFrame:
         """`rows` (with words) and family (null: unknown), probability and confirmed."""
-        spark = rows.sparkSession
+        templates = _template_shingles(rows.sparkSession)
         slope, base = float(self.known.coefficients[0]), float(self.known.intercept)
         scored = self.classes.transform(_featured(rows)).drop("features", "rawPrediction", "prediction")
         known = scored.withColumn("_each", vector_to_array("probability")).withColumn("_odds", _odds(F.col("probability"))).drop("probability")
@@ -192,8 +199,8 @@ class LicenceModel:
         family = F.when((F.col("probability") >= 0.5) & (F.size("words") > 0), F.element_at(F.array(*map(F.lit, TEMPLATES)), best))
         known = known.withColumn("family", family).withColumn("_triples", F.when(F.col("family").isNotNull(), _triples(F.col("words"))))
         like = F.lit(None).cast("double")
-        for f in TEMPLATES:
-            like = F.when(F.col("family") == f, _likeness(F.col("_triples"), f, spark)).otherwise(like)
+        for family, known_templates in templates.items():
+            like = F.when(F.col("family") == family, _likeness(F.col("_triples"), known_templates)).otherwise(like)
         return known.withColumn("confirmed", F.coalesce(like >= CONFIRM, F.lit(False))).drop("_each", "_odds", "_triples")
 
 
