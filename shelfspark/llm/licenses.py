@@ -1,7 +1,8 @@
 """Licence scans: a paragraph classifier over word n-grams, a calibrated unknown class, templates that confirm.
 
 A paragraph is a line; a long one is read in windows of `WINDOW` words that overlap by `OVERLAP`, so a notice of up to
-that many words is whole in one of them. Features are the words and word pairs of a window, hashed into a sparse vector.
+that many words is whole in one of them. Features are the words and word pairs of a window that are among the `FEATURES`
+most frequent of the training rows, as a sparse vector.
 A multinomial logistic regression tells the licence families and the unknown class apart; a second one of one variable,
 fitted on rows the first hasn't seen, turns its odds of a licence into a calibrated probability, and under one half a
 window is unknown. A prediction is confirmed if the window holds enough of the three-word shingles of one of the family's
@@ -17,7 +18,7 @@ DataFrame functions and Spark's own estimators only.
 from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import HashingTF, NGram
+from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, NGram
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +27,7 @@ from shelfspark.llm.common import prepare, stored, table
 
 WINDOW = 96
 OVERLAP = 24
-FEATURES = 1 << 14
+FEATURES = 4096
 SAMPLE = 1000
 LINES = 4000
 CONFIRM = 0.6
@@ -132,9 +133,9 @@ def windows(docs: DataFrame, keep: list[Column]) -> DataFrame:
     return spread.withColumn("words", F.slice("_words", F.col("window") * step + 1, WINDOW)).drop("_text", "_words")
 
 
-def _featured(rows: DataFrame) -> DataFrame:
-    paired = NGram(n=2, inputCol="words", outputCol="_pairs").transform(rows).withColumn("_terms", F.concat("words", "_pairs"))
-    return HashingTF(numFeatures=FEATURES, binary=True, inputCol="_terms", outputCol="features").transform(paired).drop("_terms", "_pairs")
+def _with_terms(rows: DataFrame) -> DataFrame:
+    paired = NGram(n=2, inputCol="words", outputCol="_pairs").transform(rows)
+    return paired.withColumn("_terms", F.concat("words", "_pairs")).drop("_pairs")
 
 
 def _odds(probability: Column) -> Column:
@@ -166,32 +167,32 @@ def training_rows(docs: DataFrame) -> DataFrame:
 
 
 class LicenceModel:
-    """The classifier and its calibration."""
+    """The vocabulary, the classifier and its calibration."""
 
-    def __init__(self, classes: LogisticRegressionModel, known: LogisticRegressionModel) -> None:
-        self.classes, self.known = classes, known
+    def __init__(self, terms: CountVectorizerModel, classes: LogisticRegressionModel, known: LogisticRegressionModel) -> None:
+        self.terms, self.classes, self.known = terms, classes, known
 
     @classmethod
     def fit(cls, docs: DataFrame) -> LicenceModel:
         rows = training_rows(docs).withColumn("label", F.col("label").cast("double"))
         rows = stored(rows.withColumn("fold", F.pmod(F.xxhash64("words"), F.lit(3))).orderBy(F.xxhash64("words"), "label").coalesce(4), "training")
-        ready = _featured(rows)
         # every class must be known to the first model: a row of weight 0 stands for what a fold lacks
         classes = LogisticRegression(maxIter=60, regParam=1e-3, family="multinomial", standardization=False)
         every = rows.sparkSession.range(len(CLASSES)).select(F.array(F.lit("")).alias("words"), F.col("id").cast("double").alias("label"), F.lit(0.0).alias("weight"))
-        taught = _featured(rows.where("fold <> 0").select("words", "label", F.lit(1.0).alias("weight")).union(every))
-        model = classes.setWeightCol("weight").fit(taught)
-        held = model.transform(ready.where("fold = 0")).select(
+        taught = _with_terms(rows.where("fold <> 0").select("words", "label", F.lit(1.0).alias("weight")).union(every))
+        terms = CountVectorizer(vocabSize=FEATURES, binary=True, inputCol="_terms", outputCol="features").fit(taught)
+        model = classes.setWeightCol("weight").fit(terms.transform(taught))
+        held = model.transform(terms.transform(_with_terms(rows.where("fold = 0")))).select(
             array_to_vector(F.array(_odds(F.col("probability")))).alias("features"), (F.col("label") < len(CLASSES) - 1).cast("double").alias("label")
         )
         # on rows that are told apart without error the slope would grow without end; the penalty bounds it
-        return cls(model, LogisticRegression(maxIter=60, regParam=1e-2, standardization=False).fit(held))
+        return cls(terms, model, LogisticRegression(maxIter=60, regParam=1e-2, standardization=False).fit(held))
 
     def predicted(self, rows: DataFrame) -> DataFrame:
         """`rows` (with words) and family (null: unknown), probability and confirmed."""
         templates = _template_shingles(rows.sparkSession)
         slope, base = float(self.known.coefficients[0]), float(self.known.intercept)
-        scored = self.classes.transform(_featured(rows)).drop("features", "rawPrediction", "prediction")
+        scored = self.classes.transform(self.terms.transform(_with_terms(rows))).drop("_terms", "features", "rawPrediction", "prediction")
         known = scored.withColumn("_each", vector_to_array("probability")).withColumn("_odds", _odds(F.col("probability"))).drop("probability")
         families = F.slice("_each", 1, len(TEMPLATES))
         best = F.array_position(families, F.array_max(families)).cast("int")
