@@ -274,3 +274,58 @@ def redacted(docs: DataFrame) -> DataFrame:
 
 def op7_pii(spark, sf_dir):
     return personal_data(table(spark, sf_dir, "documents"))
+
+
+_CUE = "|".join(form for c in CUES for form in (c, c.capitalize(), c.upper()))
+_AT, _DOT = ("(?:" + "|".join(f"\\{s[0]}{s[1:-1]}\\{s[-1]}" for s in signs) + ")" for signs in (AT_SIGNS, DOTS))
+
+#: The same spans as regular expressions; the last one's span is its group.
+PATTERNS = (
+    r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
+    r"[0-9](?:[\x20-]?[0-9])+",
+    r"\+[0-9][\x20().0-9-]+[0-9]",
+    r"(?:https?|ftp)://[^\x00-\x20/?#@:]+:[^\x00-\x20/?#@]*@[A-Za-z0-9.-]+",
+    rf"[A-Za-z0-9._%+-]+ ?{_AT} ?[A-Za-z0-9-]+(?:(?:\.| ?{_DOT} ?)[A-Za-z0-9-]+)+",
+    rf"(?:{_CUE})[ :#=.]{{1,3}}([A-Z]{{0,2}}[0-9]{{2}}(?: ?[A-Z]{{4}})?(?:[ -]?[0-9])+)",
+)
+
+
+def _found_sql(kind: int, pattern: str) -> str:
+    """(rid, kind, start, m) of one kind: matches and the gaps between them give the places."""
+    group = 1 if kind == len(KINDS) - 1 else 0
+    return (
+        f"SELECT rid, {kind} AS kind, unnest(list_transform(range(1, len(ms) + 1), lambda i: {{'start': list_sum(list_transform(gaps[1:i], lambda g: length(g)))"
+        " + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) + length(ms[i]) - length(own[i]), 'm': own[i]})) AS s"
+        f" FROM (SELECT rid, regexp_extract_all(t, '{pattern}') AS ms, regexp_extract_all(t, '{pattern}', {group}) AS own, string_split_regex(t, '{pattern}') AS gaps FROM d)"
+    )
+
+
+_DIGITS_SQL = "regexp_replace(s.m, '[^0-9]', '', 'g')"
+_PLAIN_SQL = "regexp_replace(s.m, '[ -]', '', 'g')"
+_LUHN_SQL = (
+    f"list_sum(list_transform(range(1, length({_DIGITS_SQL}) + 1), lambda i: CAST(substr({_DIGITS_SQL}, -i, 1) AS INTEGER) * (1 + (i - 1) % 2)"
+    f" - CASE WHEN CAST(substr({_DIGITS_SQL}, -i, 1) AS INTEGER) * (1 + (i - 1) % 2) > 9 THEN 9 ELSE 0 END)) % 10 = 0"
+)
+_IBAN_SQL = (
+    f"list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split(substr({_PLAIN_SQL}, 5) || substr({_PLAIN_SQL}, 1, 4), ''), lambda c: CAST(CASE WHEN c <= '9' THEN ascii(c) - 48 ELSE ascii(c) - 55 END AS BIGINT))),"
+    " lambda a, v: (a * (CASE WHEN v > 9 THEN 100 ELSE 10 END) + v) % 97) = 1"
+)
+ORACLE_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+found AS ({" UNION ALL ".join(_found_sql(k, p) for k, p in enumerate(PATTERNS))}),
+valid AS (
+  SELECT rid, kind, concat_ws(':', [{", ".join(f"'{k}'" for k in KINDS)}][kind + 1], s.start, s.start + length(s.m)) AS span, s.start AS start FROM found
+  WHERE CASE kind
+    WHEN 1 THEN len(list_filter(string_split(s.m, '.'), lambda p: length(ltrim(p, '0')) > 3 OR coalesce(TRY_CAST(nullif(ltrim(p, '0'), '') AS INTEGER), 0) > 255)) = 0
+    WHEN 2 THEN length({_DIGITS_SQL}) BETWEEN 14 AND 19 AND {_LUHN_SQL}
+    WHEN 3 THEN length({_DIGITS_SQL}) BETWEEN 10 AND 15
+    WHEN 6 THEN length({_DIGITS_SQL}) BETWEEN 6 AND 30 AND (NOT regexp_matches({_PLAIN_SQL}, '^[A-Z]{{2}}') OR {_IBAN_SQL})
+    ELSE true END
+), each AS (
+  SELECT rid, {", ".join(f"count(*) FILTER (kind = {k}) AS n_{KINDS[k]}" for k in range(BASE))},
+    string_agg(span, ',' ORDER BY start, kind) FILTER (kind < {BASE}) AS base, string_agg(span, ',' ORDER BY start, kind) AS spans FROM valid GROUP BY rid
+)
+SELECT doc_id, {", ".join(f"coalesce(n_{KINDS[k]}, 0) AS n_{KINDS[k]}" for k in range(BASE))}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN each USING (rid)
+"""

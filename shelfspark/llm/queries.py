@@ -15,4 +15,4 @@ QUERIES = {
     "op10_paragraph_dedup": paragraph_dedup.op10_paragraph_dedup,
 }
 
-ORACLE: dict[str, str] = {"op5_exact_topk": topk.ORACLE_SQL}
+ORACLE: dict[str, str] = {"op5_exact_topk": topk.ORACLE_SQL, "op7_pii": pii.ORACLE_SQL}

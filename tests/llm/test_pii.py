@@ -83,3 +83,19 @@ def test_redaction_hides_spans_and_keeps_rows(docs_of):
     assert op.redacted(docs).columns == docs.columns
     assert got[1].text == "write to [EMAIL], call [PHONE] now" and got[1].n_chars == len(got[1].text)
     assert got[2].text is None and got[3].text == "" and got[4].text == "nothing here" and got[5].text == "account: [ACCOUNT]"
+
+
+def test_the_statement_finds_the_same(tmp_path):
+    import duckdb
+
+    r = random.Random(11)
+    texts = ["".join(r.choice(PARTS) for _ in range(r.randint(0, 25))) for _ in range(3000)] + [None, "IBAN: DE89 3704 0044 0532 0130 00", "account 1234567", "9" * 40, "1.2.3.256"]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    got = {row[0]: row[1:] for row in con.execute(op.ORACLE_SQL).fetchall()}
+    for i, t in enumerate(texts):
+        spans = op.find(t)
+        counts = tuple(sum(s[1] == k for s in spans) for k in range(4))
+        base = hashlib.sha256(written([s for s in spans if s[1] < 4]).encode()).hexdigest()
+        assert got[i] == (*counts, base, written(spans)), t
