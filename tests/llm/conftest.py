@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import types as T
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -34,5 +33,3 @@ def folder_of(spark, tmp_path_factory):
 def rows(df, *columns):
     return sorted((tuple(r[c] for c in columns or df.columns) for r in df.collect()), key=repr)
 
-
-__all__ = ["T", "rows"]
