@@ -155,13 +155,13 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from flush(words, lines, owners, offsets)
 
 
-def band_keys(shingles: np.ndarray, begins: np.ndarray) -> np.ndarray:
+def band_keys(shingles: np.ndarray, begins: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
     """One row of keys per piece, one column per band."""
     keys = []
-    for band in range(BANDS):
+    for band in range(bands):
         key = np.full(len(begins), band + 1, np.uint64)
-        for row in range(ROWS):
-            seed = np.uint64((2 * (band * ROWS + row) + 1) * int(_GOLDEN) % 2**64)
+        for row in range(rows):
+            seed = np.uint64((2 * (band * rows + row) + 1) * int(_GOLDEN) % 2**64)
             key = _mix(key + np.minimum.reduceat(_mix(shingles.astype(np.uint64) + seed), begins))
         keys.append(key)
     return np.stack(keys, axis=1)
