@@ -203,17 +203,27 @@ def identify(docs: DataFrame) -> DataFrame:
     return predicted(docs, model, [F.col("doc_id"), F.coalesce(split(docs) == 2, F.lit(False)).alias("held_out")])
 
 
-#: Below this corrected share of known trigrams a text is in no learned language.
+#: A text that reaches less than this share of what its language's own texts usually reach is in no learned language.
 MIN_SCORE = 0.3
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The documents whose language is known: lang_pred isn't `und` and the score is MIN_SCORE or more. Columns stay."""
+    """The documents whose language is known: lang_pred isn't `und` and the score is MIN_SCORE of the language's or more.
+
+    A language's score is the median of the documents that are labelled with it and recognised: a profile holds the frequent
+    trigrams alone, so how much of a clean text it covers depends on the script and on the size of the corpus. Where no
+    row has a label, nothing can be learned, and the documents that have letters stay. Columns stay.
+    """
     prepare(docs.sparkSession)
-    model = learn(docs.select("text", F.col("lang").cast("string").alias("lang")))
+    label = F.col("lang").cast("string")
+    model = learn(docs.select("text", label.alias("lang")))
+    if not model.langs:
+        return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
-    judged = predicted(docs, model, [row])
-    return judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MIN_SCORE)).select("row.*")
+    judged = stored(predicted(docs, model, [row, label.alias("label")]), "judged")
+    own = judged.where(F.col("label") == F.col("lang_pred")).groupBy("lang_pred").agg(F.percentile_approx("score", 0.5).alias("usual"))
+    rated = judged.where(F.col("lang_pred") != UNKNOWN).join(F.broadcast(own), "lang_pred", "left")
+    return rated.where(F.col("score") >= MIN_SCORE * F.coalesce("usual", F.lit(1.0))).select("row.*")
 
 
 def op3_language_id(spark, sf_dir):
