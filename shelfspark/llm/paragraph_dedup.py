@@ -60,14 +60,14 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def pieces(hashes: np.ndarray, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def pieces(hashes: np.ndarray, lines: np.ndarray, long_line: int = LONG_LINE) -> tuple[np.ndarray, np.ndarray]:
     """(starts, lengths) of the pieces of consecutive lines; hashes: one per word, lines: words of each line, none 0."""
     n = len(hashes)
     line = np.repeat(np.arange(len(lines)), lines)
     first = np.cumsum(lines) - lines
     follow = np.where(np.append(line[1:] == line[:-1], False), np.append(hashes[1:], np.uint64(0)), np.uint64(0))
     pair = _mix(hashes * np.uint64(3) + follow)
-    cut = lines[line] > LONG_LINE
+    cut = lines[line] > long_line
     for d in range(1, min(REACH, n - 1) + 1):
         same = line[d:] == line[:-d]
         cut[d:] &= ~same | (pair[d:] <= pair[:-d])
@@ -297,9 +297,11 @@ def piece_links(units: DataFrame) -> DataFrame:
     return pairs.repartition("key").sortWithinPartitions("key", "uid").mapInArrow(_links, "u long, v long")
 
 
-def repeated_passages(docs: DataFrame) -> DataFrame:
+def repeated_passages(docs: DataFrame, cut=_units, linked=piece_links) -> DataFrame:
     """(doc_id, from_word, words, component_id, removed): every piece whose class occurs in several documents.
 
+    cut: makes the pieces of (doc_id, rid, text) batches; linked: the links between them.
+
     from_word counts the document's white-space separated words from 0. component_id is the smallest doc_id of the class
     (null if none has one). One piece of each class stays: that of the smallest doc_id, nulls last, then the first row and
     word; all others are removed. Rows that repeat a document are documents of their own, so all but one lose their
@@ -307,17 +309,13 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     """
     prepare(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("rid"), "text")
-    units = stored(texts.mapInArrow(_units, _UNIT).withColumn("pid", F.monotonically_increasing_id()), "units")
-    classes = components(piece_links(units)).withColumnRenamed("node", "uid")
+    units = stored(texts.mapInArrow(cut, _UNIT).withColumn("pid", F.monotonically_increasing_id()), "units")
+    classes = components(linked(units)).withColumnRenamed("node", "uid")
     classed = units.drop("shingles", "pid").join(classes, "uid", "left").withColumn("class", F.coalesce("root", "uid"))
     several = classed.groupBy("class").agg(F.min("rid").alias("a"), F.max("rid").alias("b")).where("a < b").select("class")
     several = stored(several, "several")
     repeated = stored(classed.join(several, "class").select("doc_id", "rid", "from_word", "words", "class"), "repeated")
-    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid", "from_word")
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid", "from_word", "words")
     firsts = stored(repeated.groupBy("class").agg(F.min(rank).alias("first")), "firsts")
-    stays = (F.col("rid") == F.col("first.rid")) & (F.col("from_word") == F.col("first.from_word"))
+    stays = (F.col("rid") == F.col("first.rid")) & (F.col("from_word") == F.col("first.from_word")) & (F.col("words") == F.col("first.words"))
     return repeated.join(firsts, "class").select("doc_id", "from_word", "words", F.col("first.doc_id").alias("component_id"), (~stays).alias("removed"))
-
-
-def op10_paragraph_dedup(spark, sf_dir):
-    return repeated_passages(table(spark, sf_dir, "documents"))

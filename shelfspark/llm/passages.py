@@ -1,0 +1,98 @@
+"""Repeated passages whatever the line layout: units by lines, by paragraphs and by the words alone.
+
+Three kinds of units are compared whole, by five-word shingles as in `paragraph_dedup`:
+- lines of `MIN_LINE` words or more;
+- paragraphs of as many words: the lines between blank lines, joined, so a wrapped paragraph equals an unwrapped one;
+- pieces of the document's whole word stream, cut where its own words say so: line breaks have no part in it, so a passage
+  inside longer text meets its copy however either is wrapped. They have 17 words on average.
+Units of the same words of a document are one. Units overlap; what goes is the union of the removed ones. Each class keeps
+the unit of the lowest rank, so what is removed always has a copy of lower rank.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from shelfspark.llm.common import stored, table
+from shelfspark.llm.near_copies import linked
+from shelfspark.llm.paragraph_dedup import MIN_LINE, PIECE_WORDS, _bands, _colliding, _describe, pieces, repeated_passages
+
+
+def spans(hashes: np.ndarray, docs: np.ndarray, lines: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, lengths) of all units of consecutive documents; docs, lines and blocks: words of each, none 0."""
+    starts, lengths = pieces(hashes, docs, 0)
+    for whole in (lines, blocks):
+        long = whole >= MIN_LINE
+        starts = np.append(starts, (np.cumsum(whole) - whole)[long])
+        lengths = np.append(lengths, whole[long])
+    _, first = np.unique(np.stack([starts, lengths]), axis=1, return_index=True)
+    return starts[first], lengths[first]
+
+
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The units of every text. Input: doc_id, rid, text. A task holds the hashes of one text at least."""
+
+    def hashed(words):
+        return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+
+    def flush(hashes, docs, lines, blocks, owners):
+        docs = np.array(docs, np.int64)
+        starts, lengths = spans(hashes, docs, np.array(lines, np.int64), np.array(blocks, np.int64))
+        ends = np.cumsum(docs)
+        # units go out in groups of bounded size
+        group = np.cumsum(lengths) // PIECE_WORDS
+        for g in np.unique(group):
+            own, size = starts[group == g], lengths[group == g]
+            of = np.searchsorted(ends, own, "right")
+            identity, shingles, begins = _describe(hashes, own, size)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(begins, len(shingles)).astype(np.int32)), pa.array(shingles.view(np.int32)))
+            ids = [pa.array([owners[i][k] for i in of], pa.int64()) for k in (0, 1)]
+            columns = [*ids, pa.array(own - (ends - docs)[of]), pa.array(size.astype(np.int32)), pa.array(identity.view(np.int64)), lists]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "rid", "from_word", "words", "uid", "shingles"])
+
+    for batch in batches:
+        hashes, docs, lines, blocks, owners = [], [], [], [], []
+        for doc, rid, text in zip(*(c.to_pylist() for c in batch.columns)):
+            words, count, block = [], 0, 0
+            for line in (text or "").lower().splitlines():
+                found = line.split()
+                if found:
+                    lines.append(len(found))
+                    block += len(found)
+                    words += found
+                elif block:
+                    blocks.append(block)
+                    block = 0
+                if len(words) >= PIECE_WORDS:
+                    hashes.append(hashed(words))
+                    count += len(words)
+                    words = []
+            if block:
+                blocks.append(block)
+            if count + len(words):
+                hashes.append(hashed(words))
+                docs.append(count + len(words))
+                owners.append((doc, rid))
+            if sum(docs) >= PIECE_WORDS:
+                yield from flush(np.concatenate(hashes), docs, lines, blocks, owners)
+                hashes, docs, lines, blocks, owners = [], [], [], [], []
+        if docs:
+            yield from flush(np.concatenate(hashes), docs, lines, blocks, owners)
+
+
+def unit_links(units: DataFrame) -> DataFrame:
+    """(u, v): links between units (pid, uid, shingles), enough to connect all that collide and are similar."""
+    found = _colliding(units.select("uid", "shingles").mapInArrow(_bands, "key long, uid long"))
+    once = units.groupBy("uid").agg(F.min("pid").alias("pid")).join(found.select("uid").distinct(), "uid")
+    distinct = F.array_sort(F.array_distinct("shingles")).alias("shingles")
+    return linked(found, stored(units.join(once.select("pid"), "pid").select("uid", distinct), "sets"))
+
+
+def op10_paragraph_dedup(spark, sf_dir):
+    return repeated_passages(table(spark, sf_dir, "documents"), _units, unit_links)

@@ -1,6 +1,6 @@
 """Registered queries of the operators and the DuckDB statement each must equal, where SQL can say it."""
 
-from shelfspark.llm import chat, decontaminate, language_id, licenses, mixing, paragraph_dedup, pii, simhash_dedup, topk, url_filter
+from shelfspark.llm import chat, decontaminate, language_id, licenses, mixing, passages, pii, simhash_dedup, topk, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -12,7 +12,7 @@ QUERIES = {
     "op7_pii": pii.op7_pii,
     "op8_mixing": mixing.op8_mixing,
     "op9_decontamination": decontaminate.op9_decontamination,
-    "op10_paragraph_dedup": paragraph_dedup.op10_paragraph_dedup,
+    "op10_paragraph_dedup": passages.op10_paragraph_dedup,
 }
 
 ORACLE: dict[str, str] = {"op5_exact_topk": topk.ORACLE_SQL, "op7_pii": pii.ORACLE_SQL}

@@ -1,0 +1,51 @@
+import random
+
+from shelfspark.llm import passages as op
+from shelfspark.llm.queries import QUERIES
+from tests.llm.test_paragraph_dedup import text
+
+
+def wrapped(words, width):
+    return "\n".join(" ".join(words[i : i + width]) for i in range(0, len(words), width))
+
+
+def removed_words(spark, folder):
+    out = {}
+    for r in QUERIES["op10_paragraph_dedup"](spark, folder).where("removed").collect():
+        out.setdefault(r.doc_id, set()).update(range(r.from_word, r.from_word + r.words))
+    return out
+
+
+def test_passages_meet_however_they_are_wrapped(spark, docs_of, folder_of):
+    r = random.Random(4)
+    docs, alone, inside = [], {}, {}
+    for k in range(20):
+        passage, other = text(r, 60, 5000).split(), text(r, 60, 5000).split()
+        for j, width in enumerate((8, 13, 30, 60)):
+            before, after = text(r, r.randint(20, 60), 5000).split(), text(r, r.randint(20, 60), 5000).split()
+            i = 10 * k + j
+            # once as a paragraph of its own, once in the middle of wrapped text
+            docs.append((i, "\n\n".join([wrapped(before, width), wrapped(passage, width), wrapped(after, width)])))
+            docs.append((1000 + i, wrapped(before[::-1] + other + after[::-1], width)))
+            alone[i] = set(range(len(before), len(before) + 60))
+            inside[1000 + i] = set(range(len(before), len(before) + 60))
+    docs += [(5000 + k, wrapped(text(r, 300, 5000).split(), 13)) for k in range(20)]
+    docs += [(6000, None), (6001, ""), (6002, "\n\n")]
+    got = removed_words(spark, folder_of(documents=docs_of(docs)))
+    for i, words in alone.items():
+        # a piece over the passage's end can be similar as a whole, and then goes with its other words
+        near = set(range(min(words) - 16, max(words) + 17))
+        assert words <= got[i] <= near if i % 10 else i not in got
+    hit = [i for i, words in inside.items() if i % 10 and got.get(i)]
+    assert len(hit) >= 0.95 * 60 and all(len(got[i] - inside[i]) <= 32 for i in hit)
+    assert set(got) <= set(alone) | set(inside) and not any(got.get(i) for i in inside if i % 10 == 0)
+
+
+def test_spans_have_lines_blocks_and_pieces_once():
+    import numpy as np
+
+    hashes = np.arange(1, 101, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    starts, lengths = op.spans(hashes, np.array([60, 40]), np.array([30, 30, 10, 30]), np.array([60, 40]))
+    found = list(zip(starts.tolist(), lengths.tolist()))
+    assert {(0, 30), (30, 30), (70, 30), (0, 60), (60, 40)} <= set(found) and len(found) == len(set(found))
+    assert not any(s < 60 < s + n for s, n in found)
