@@ -1,6 +1,19 @@
 """Registered queries of the operators and the DuckDB statement each must equal, where SQL can say it."""
 
-from shelfspark.llm import chat, decontaminate, language_id, licenses, mixing, passages, pii, simhash_dedup, topk, url_filter
+from shelfspark.llm import (
+    chat,
+    codes,
+    decontaminate,
+    language_id,
+    licenses,
+    mixing,
+    near_vectors,
+    passages,
+    pii,
+    simhash_dedup,
+    topk,
+    url_filter,
+)
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -13,6 +26,13 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_paragraph_dedup": passages.op10_paragraph_dedup,
+    "op12_vector_codes": codes.op12_vector_codes,
+    "op13_near_vectors": near_vectors.op13_near_vectors,
 }
 
-ORACLE: dict[str, str] = {"op5_exact_topk": topk.ORACLE_SQL, "op7_pii": pii.ORACLE_SQL}
+ORACLE: dict[str, str] = {
+    "op5_exact_topk": topk.ORACLE_SQL,
+    "op7_pii": pii.ORACLE_SQL,
+    "op12_vector_codes": codes.ORACLE_SQL,
+    "op13_near_vectors": near_vectors.ORACLE_SQL,
+}
