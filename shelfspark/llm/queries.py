@@ -1,6 +1,7 @@
 """Registered queries of the operators and the DuckDB statement each must equal, where SQL can say it."""
 
 from shelfspark.llm import (
+    alignment,
     chat,
     codes,
     decontaminate,
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_paragraph_dedup": passages.op10_paragraph_dedup,
+    "op11_token_alignment": alignment.op11_token_alignment,
     "op12_vector_codes": codes.op12_vector_codes,
     "op13_near_vectors": near_vectors.op13_near_vectors,
 }
@@ -33,6 +35,7 @@ QUERIES = {
 ORACLE: dict[str, str] = {
     "op5_exact_topk": topk.ORACLE_SQL,
     "op7_pii": pii.ORACLE_SQL,
+    "op11_token_alignment": alignment.op11_token_alignment,
     "op12_vector_codes": codes.ORACLE_SQL,
     "op13_near_vectors": near_vectors.ORACLE_SQL,
 }
