@@ -1,6 +1,7 @@
 import random
 
 import corpus_pipeline
+from shelfspark.llm import jaccard
 from shelfspark.llm import near_copies as op
 
 
@@ -49,8 +50,10 @@ def test_stage_drops_copies_with_changed_words_and_keeps_what_is_under(spark, do
 
 
 def test_hot_buckets_lose_no_link(docs_of, monkeypatch):
-    """One text in hundreds of versions, and versions of a version: blocks, then parts and pairs of blocks."""
-    monkeypatch.setattr(op, "BUCKET", 8)
+    """One text in hundreds of versions, and versions of a version: blocks, then rounds with chosen members."""
+    monkeypatch.setattr(jaccard, "BUCKET", 8)
+    monkeypatch.setattr(jaccard, "MEMBERS", 20)
+    monkeypatch.setattr(jaccard, "CHOSEN", 5)
     r = random.Random(7)
     base = [f"w{r.randrange(3000)}" for _ in range(120)]
     docs = []
@@ -62,6 +65,45 @@ def test_hot_buckets_lose_no_link(docs_of, monkeypatch):
     assert {r.doc_id for r in op.keep_one(docs_of(docs)).collect()} == plain_kept(docs)
 
 
+def test_rows_grow_with_the_group(spark, docs_of, monkeypatch):
+    """Versions of one text, twice as many each time: what meets in tasks must not grow with their pairs."""
+    met = []
+    compared = jaccard._compared
+
+    def counted(rows, sets):
+        met[-1] += rows.count()
+        return compared(rows, sets)
+
+    monkeypatch.setattr(jaccard, "_compared", counted)
+    r = random.Random(11)
+    base = [f"w{r.randrange(3000)}" for _ in range(120)]
+    docs = [(i, changed(r, base, i % 4)) for i in range(1200)]
+    for n in (300, 600, 1200):
+        met.append(0)
+        assert {x.doc_id for x in op.keep_one(docs_of(docs[:n])).collect()} == plain_kept(docs[:n])
+    assert met[2] <= 2.6 * met[1] and met[1] <= 3.5 * met[0] and met[2] <= 60 * 1200
+
+
+def test_a_bucket_of_texts_that_are_not_similar(docs_of, monkeypatch):
+    """A shared half makes texts collide that are not linked, but for pairs among them."""
+    monkeypatch.setattr(jaccard, "BUCKET", 4)
+    r = random.Random(12)
+    half = [f"h{i}" for i in range(60)]
+    docs = []
+    for i in range(60):
+        own = [f"o{r.randrange(10**6)}" for _ in range(30)]
+        docs += [(2 * i, " ".join(half + own))] + ([(2 * i + 1, " ".join(half + own[:-1] + ["end"]))] if i % 3 == 0 else [])
+    kept = {x.doc_id for x in op.keep_one(docs_of(docs)).collect()}
+    assert kept == plain_kept(docs) and len(kept) == 60
+
+
+def test_a_very_long_text(docs_of):
+    r = random.Random(13)
+    base = [f"w{r.randrange(50000)}" for _ in range(200_000)]
+    docs = [(1, " ".join(base)), (2, changed(r, base, 2000)), (3, " ".join(base[:100_000])), (4, "short text of some words here")]
+    assert {x.doc_id for x in op.keep_one(docs_of(docs)).collect()} == {1, 3, 4}
+
+
 def test_ids_and_empty_tables(docs_of):
     docs = docs_of([(7, "same text here"), (7, "same text here"), (None, "same text here"), (None, None), (3, None)])
     assert sorted(r.doc_id for r in op.keep_one(docs).collect()) == [3, 7]
