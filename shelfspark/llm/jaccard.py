@@ -70,15 +70,16 @@ def shingle_hashes(hashes: np.ndarray) -> np.ndarray:
     return (shingle >> np.uint64(32)).astype(np.uint32)
 
 
-def band_keys(shingles: np.ndarray, begins: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """One row of keys per set, one column per band."""
+def band_keys(shingles: np.ndarray, begins: np.ndarray, bands: int, rows: int, at: np.ndarray | None = None) -> np.ndarray:
+    """One row of keys per set, one column per band. at: where the sets' shingles stand, if not one after the other."""
     wide = shingles.astype(np.uint64)
     keys = []
     for band in range(bands):
         key = np.full(len(begins), band + 1, np.uint64)
         for row in range(rows):
             seed = np.uint64((2 * (band * rows + row) + 1) * int(_GOLDEN) % 2**64)
-            key = mix(key + np.minimum.reduceat(mix(wide + seed), begins))
+            value = mix(wide + seed)
+            key = mix(key + np.minimum.reduceat(value if at is None else value[at], begins))
         keys.append(key)
     return np.stack(keys, axis=1)
 

@@ -1,23 +1,24 @@
-"""Repeated passages: MinHash banding over paragraphs, exact Jaccard, components.
-
-A paragraph is a line. Lines under `MIN_LINE` words are no passages. A line over `LONG_LINE` words is cut where its own
-words say so: before a word whose pair hash is the smallest within `REACH` words on either side, and after `MAX_PIECE`
-words at the latest. A passage inside a longer line so gives the same pieces in every document, but for those at its
-ends. Pieces under `MIN_PIECE` words are left out.
-
-Pieces are compared by their five-word shingles. Bands are tuned so that a pair at the least similarity collides with
-probability `RECALL` or more. Colliding pieces are compared exactly, Jaccard 0.8 or more links them, and components of
-links are the classes. Equal pieces share a 64-bit identity and are compared as one.
-
-A bucket of over `BUCKET` different pieces is dealt again by parts: the shingles are split into so many parts by their
-hash that two sets at the least similarity agree on one part whole, so no pair is lost. What still is too large is dealt
-by pairs of blocks of its pieces; a task never holds more than two blocks.
+"""Repeated passages: MinHash banding over paragraphs, lines and pieces of text, exact Jaccard, components.
+
+Three kinds of units are compared whole, by five-word shingles:
+- lines of `MIN_LINE` words or more;
+- paragraphs of as many words: the lines between blank lines, joined, so a wrapped paragraph equals an unwrapped one;
+- pieces of the document's whole word stream, cut where its own words say so: before a word whose pair hash is the smallest
+  within `REACH` words on either side, and after `MAX_PIECE` words at the latest. Line breaks have no part in it, so a passage
+  inside longer text meets its copy however either is wrapped, but for the pieces at its ends. Pieces have 17 words on
+  average; those under `MIN_PIECE` words are left out.
+Units of the same words of a document are one. Units overlap; what goes is the union of the removed ones. Each class keeps
+the unit of the lowest rank, so what is removed always has a copy of lower rank.
+
+Bands are tuned so that a pair at the least similarity collides with probability `RECALL` or more. Colliding units are
+compared exactly, Jaccard 0.8 or more links them (see `jaccard`), and components of links are the classes. Equal units
+share a 64-bit identity and are compared as one. Shingles are made again from the text for the units that collide; no
+table holds those of all units.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -26,292 +27,171 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfspark.llm.common import prepare, stored, table
-from shelfspark.llm.graph import Forest, components
+from shelfspark.llm.graph import components
+from shelfspark.llm.jaccard import SHINGLE, SIMILARITY, band_keys, colliding, identities, joined, linked, mix, shingle_hashes, spread, tuned
 
-SHINGLE = 5
-SIMILARITY = 0.8
 RECALL = 0.99
 MIN_LINE = 20
-LONG_LINE = 48
 MIN_PIECE = 9
 MAX_PIECE = 64
 REACH = 8
-BUCKET = 128
-#: Words handled at a time; longer texts go on at the next line.
-PIECE_WORDS = 1 << 19
-
-_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-
-
-def tuned(similarity: float, recall: float, rows: int = 2) -> tuple[int, int]:
-    """(bands, rows): the fewest bands of `rows` hashes that reach the recall at the similarity."""
-    bands = 1
-    while 1 - (1 - similarity**rows) ** bands < recall:
-        bands += 1
-    return bands, rows
+#: Words handled at a time, and at least one text.
+PIECE_WORDS = 1 << 18
+BANDS, ROWS = tuned(SIMILARITY, RECALL, 4)
 
 
-BANDS, ROWS = tuned(SIMILARITY, RECALL)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def pieces(hashes: np.ndarray, lines: np.ndarray, long_line: int = LONG_LINE) -> tuple[np.ndarray, np.ndarray]:
-    """(starts, lengths) of the pieces of consecutive lines; hashes: one per word, lines: words of each line, none 0."""
+def pieces(hashes: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, lengths) of the pieces of consecutive documents; hashes: one per word, docs: words of each, none 0."""
     n = len(hashes)
-    line = np.repeat(np.arange(len(lines)), lines)
-    first = np.cumsum(lines) - lines
-    follow = np.where(np.append(line[1:] == line[:-1], False), np.append(hashes[1:], np.uint64(0)), np.uint64(0))
-    pair = _mix(hashes * np.uint64(3) + follow)
-    cut = lines[line] > long_line
+    doc = np.repeat(np.arange(len(docs)), docs)
+    first = np.cumsum(docs) - docs
+    follow = np.where(np.append(doc[1:] == doc[:-1], False), np.append(hashes[1:], np.uint64(0)), np.uint64(0))
+    pair = mix(hashes * np.uint64(3) + follow)
+    cut = np.ones(n, bool)
     for d in range(1, min(REACH, n - 1) + 1):
-        same = line[d:] == line[:-d]
+        same = doc[d:] == doc[:-d]
         cut[d:] &= ~same | (pair[d:] <= pair[:-d])
         cut[:-d] &= ~same | (pair[:-d] <= pair[d:])
-    cut = _thinned(cut, line)
+    cut = _thinned(cut, doc)
     cut[first] = True
     starts = np.flatnonzero(cut)
     lengths = np.diff(np.append(starts, n))
     parts = -(-lengths // MAX_PIECE)
     starts = np.repeat(starts, parts) + MAX_PIECE * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
     lengths = np.diff(np.append(starts, n))
-    whole = lengths == lines[line[starts]]
-    good = lengths >= np.where(whole, MIN_LINE, MIN_PIECE)
+    good = lengths >= np.where(lengths == docs[doc[starts]], MIN_LINE, MIN_PIECE)
     return starts[good], lengths[good]
 
 
-def _thinned(cut: np.ndarray, line: np.ndarray) -> np.ndarray:
+def _thinned(cut: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """Cuts at equal hashes, as a repeated phrase has them, kept only where the last kept one is MIN_PIECE words away."""
     at = np.flatnonzero(cut)
-    if len(at) > 1 and (close := (np.diff(at) < MIN_PIECE) & (line[at[1:]] == line[at[:-1]])).any():
+    if len(at) > 1 and (close := (np.diff(at) < MIN_PIECE) & (doc[at[1:]] == doc[at[:-1]])).any():
         kept, of = -MIN_PIECE, -1
         for i in np.flatnonzero(np.append(close, False) | np.append(False, close)):
             x = at[i]
-            if line[x] == of and x - kept < MIN_PIECE:
+            if doc[x] == of and x - kept < MIN_PIECE:
                 cut[x] = False
             else:
-                kept, of = x, line[x]
+                kept, of = x, doc[x]
     return cut
 
 
-def _spread(starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All indices of the runs, and where each run begins among them."""
-    begins = np.cumsum(counts) - counts
-    return np.arange(counts.sum()) - np.repeat(begins - starts, counts), begins
+def spans(hashes: np.ndarray, docs: np.ndarray, lines: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, lengths) of all units of consecutive documents; docs, lines and blocks: words of each, none 0."""
+    starts, lengths = pieces(hashes, docs)
+    for whole in (lines, blocks):
+        long = whole >= MIN_LINE
+        starts = np.append(starts, (np.cumsum(whole) - whole)[long])
+        lengths = np.append(lengths, whole[long])
+    _, first = np.unique(np.stack([starts, lengths]), axis=1, return_index=True)
+    return starts[first], lengths[first]
 
 
-def _describe(hashes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(identity, shingle hashes, where each piece's shingles begin)."""
-    words, begins = _spread(starts, lengths)
-    place = (np.arange(len(words)) - np.repeat(begins, lengths)).astype(np.uint64)
-    identity = _mix(np.add.reduceat(_mix(hashes[words] + place * _GOLDEN), begins) + lengths.astype(np.uint64))
-    at, begins = _spread(starts, lengths - (SHINGLE - 1))
-    shingle = np.zeros(len(at), np.uint64)
-    for i in range(SHINGLE):
-        shingle = _mix(shingle + hashes[at + i] + _GOLDEN)
-    return identity, (shingle >> np.uint64(32)).astype(np.uint32), begins
+def word_hashes(text: str | None) -> tuple[np.ndarray, list[int], list[int]]:
+    """(hashes of the words, words of each line, words of each paragraph); empty ones are left out."""
+    words, lines, blocks, block = [], [], [], 0
+    for line in (text or "").lower().splitlines():
+        found = line.split()
+        if found:
+            lines.append(len(found))
+            block += len(found)
+            words += found
+        elif block:
+            blocks.append(block)
+            block = 0
+    if block:
+        blocks.append(block)
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)), lines, blocks
 
 
-_UNIT = "doc_id long, rid long, from_word long, words int, uid long, shingles array<int>"
+_UNIT = "doc_id long, rid long, text_hash long, from_word long, words int, uid long, keys array<long>"
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pieces of every text. Input: doc_id, rid, text."""
-    digest = xxhash.xxh64_intdigest
-
-    def flush(words, lines, owners, offsets):
-        hashes = np.fromiter(map(digest, words), np.uint64, len(words))
-        lines = np.array(lines, np.int64)
-        starts, lengths = pieces(hashes, lines)
-        if not len(starts):
-            return
-        of = np.searchsorted(np.cumsum(lines), starts, "right")
-        identity, shingles, begins = _describe(hashes, starts, lengths)
-        lists = pa.ListArray.from_arrays(pa.array(np.append(begins, len(shingles)).astype(np.int32)), pa.array(shingles.view(np.int32)))
-        within = starts - (np.cumsum(lines) - lines)[of] + np.array(offsets, np.int64)[of]
-        ids = [pa.array([owners[i][k] for i in of], pa.int64()) for k in (0, 1)]
-        columns = [*ids, pa.array(within), pa.array(lengths.astype(np.int32)), pa.array(identity.view(np.int64)), lists]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "rid", "from_word", "words", "uid", "shingles"])
-
-    for batch in batches:
-        words, lines, owners, offsets = [], [], [], []
-        for doc, rid, text in zip(*(c.to_pylist() for c in batch.columns)):
-            seen = 0
-            for line in (text or "").lower().splitlines():
-                if found := line.split():
-                    words += found
-                    lines.append(len(found))
-                    owners.append((doc, rid))
-                    offsets.append(seen)
-                    seen += len(found)
-                    if len(words) >= PIECE_WORDS:
-                        yield from flush(words, lines, owners, offsets)
-                        words, lines, owners, offsets = [], [], [], []
-        if words:
-            yield from flush(words, lines, owners, offsets)
-
-
-def band_keys(shingles: np.ndarray, begins: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
-    """One row of keys per piece, one column per band."""
-    keys = []
-    for band in range(bands):
-        key = np.full(len(begins), band + 1, np.uint64)
-        for row in range(rows):
-            seed = np.uint64((2 * (band * rows + row) + 1) * int(_GOLDEN) % 2**64)
-            key = _mix(key + np.minimum.reduceat(_mix(shingles.astype(np.uint64) + seed), begins))
-        keys.append(key)
-    return np.stack(keys, axis=1)
-
-
-def _list_column(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Values and begins of a list column without empty lists."""
-    offsets = column.offsets.to_numpy()
-    return column.values.to_numpy()[offsets[0] : offsets[-1]].view(np.uint32), offsets[:-1] - offsets[0]
-
-
-def _keyed(keys: np.ndarray, uids: np.ndarray) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(keys.view(np.int64)), pa.array(uids)], names=["key", "uid"])
-
-
-def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, uid) for every band; a piece that the task has seen is left out. Input: uid, shingles."""
+    """The units of every text. Input: doc_id, rid, text_hash, text. Band keys come with the first of equal units of a task."""
     seen: set[int] = set()
-    for batch in batches:
-        fresh = []
-        for i, uid in enumerate(batch.column(0).to_pylist()):
-            if uid not in seen:
-                seen.add(uid)
-                fresh.append(i)
-        if fresh:
-            batch = batch.take(pa.array(fresh, pa.int64()))
-            values, begins = _list_column(batch.column(1))
-            yield _keyed(band_keys(values, begins).ravel(), np.repeat(batch.column(0).to_numpy(), BANDS))
 
-
-def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, uid) for every part. Input: key, most (shingles of the bucket's largest piece), uid, shingles.
-
-    Sets of a and b shingles at the similarity s differ in (a + b)(1 - s) / (1 + s) shingles at most.
-    """
-    for batch in batches:
-        keys, uids = [], []
-        for key, most, uid, shingles in zip(*(c.to_pylist() for c in batch.columns)):
-            count = int(2 * most * (1 - SIMILARITY) / (1 + SIMILARITY) + 1e-9) + 1
-            own = np.unique(np.array(shingles, np.int32).view(np.uint32)).astype(np.uint64)
-            part = (_mix(own + _GOLDEN) % np.uint64(count)).astype(np.int64)
-            sums = np.zeros(count, np.uint64)
-            np.add.at(sums, part, _mix(own))
-            with np.errstate(over="ignore"):
-                keys.append(_mix(_mix(sums + np.uint64(key & (2**64 - 1))) + np.arange(count, dtype=np.uint64) * _GOLDEN))
-            uids.append(np.full(count, uid, np.int64))
-        if keys:
-            yield _keyed(np.concatenate(keys), np.concatenate(uids))
-
-
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of sorted (key, uid), each once, those whose key has several uids. One row is held back."""
-    last, open_ = None, False  # the last row, and whether it has been given out
+    def flush(hashes, docs, lines, blocks, owners):
+        hashes, docs = np.concatenate(hashes), np.array(docs, np.int64)
+        starts, lengths = spans(hashes, docs, np.array(lines, np.int64), np.array(blocks, np.int64))
+        ends = np.cumsum(docs)
+        shingles = shingle_hashes(hashes) if len(hashes) >= SHINGLE else np.zeros(0, np.uint32)
+        # units go out in groups of bounded size
+        group = np.cumsum(lengths) // PIECE_WORDS
+        for g in np.unique(group):
+            own, size = starts[group == g], lengths[group == g]
+            of = np.searchsorted(ends, own, "right")
+            uids = identities(hashes, own, size)
+            fresh = np.zeros(len(uids), bool)
+            for i, uid in enumerate(uids.tolist()):
+                if uid not in seen:
+                    seen.add(uid)
+                    fresh[i] = True
+            at, begins = spread(own[fresh], size[fresh] - (SHINGLE - 1))
+            keys = band_keys(shingles, begins, BANDS, ROWS, at).ravel().view(np.int64) if fresh.any() else np.zeros(0, np.int64)
+            offsets = np.append(0, np.cumsum(fresh * BANDS)).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys), mask=pa.array(~fresh))
+            ids = [pa.array([owners[i][k] for i in of], pa.int64()) for k in range(3)]
+            columns = [*ids, pa.array(own - (ends - docs)[of]), pa.array(size.astype(np.int32)), pa.array(uids.view(np.int64)), lists]
+            yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _UNIT.split(", ")])
 
     for batch in batches:
-        key, uid = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        if not len(key):
-            continue
-        held = last is not None
-        if held:
-            key, uid = np.append(last[0], key), np.append(last[1], uid)
-        new = np.append(True, (key[1:] != key[:-1]) | (uid[1:] != uid[:-1]))
-        key, uid = key[new], uid[new]
-        like_before = np.append(False, key[1:] == key[:-1])
-        like_after = np.append(key[1:] == key[:-1], False)
-        give = like_before | like_after
-        last, now_open = (key[-1], uid[-1]), bool(give[-1])
-        if held and open_:
-            give[0] = False  # given out with the batch before
-            now_open = now_open or len(key) == 1
-        open_ = now_open
-        yield _keyed(key[give], uid[give])
-
-
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(u, v) that connect what is similar among the pieces of a key. Input, sorted by key: key, uid, shingles."""
-    held, at = [], None
-
-    def done():
-        sets = sorted({u: s for u, s in held}.items(), key=lambda x: len(x[1]))
-        forest, out = Forest(), []
-        for (u, a), (v, b) in combinations(sets, 2):
-            if len(a) >= SIMILARITY * len(b) and forest.root(u) != forest.root(v):
-                both = len(a & b)
-                if both >= SIMILARITY * (len(a) + len(b) - both):
-                    forest.join(u, v)
-                    out.append((u, v))
-        return out
-
-    def batch_of(out):
-        return pa.record_batch([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], names=["u", "v"])
-
+        hashes, docs, lines, blocks, owners = [], [], [], [], []
+        for doc, rid, name, text in zip(*(c.to_pylist() for c in batch.columns)):
+            found, own_lines, own_blocks = word_hashes(text)
+            if len(found):
+                hashes.append(found)
+                docs.append(len(found))
+                lines += own_lines
+                blocks += own_blocks
+                owners.append((doc, rid, name))
+            if sum(docs) >= PIECE_WORDS:
+                yield from flush(hashes, docs, lines, blocks, owners)
+                hashes, docs, lines, blocks, owners = [], [], [], [], []
+        if docs:
+            yield from flush(hashes, docs, lines, blocks, owners)
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(uid, shingles) of the wanted units. Input: wanted (from_word, words, uid), text."""
     for batch in batches:
-        out = []
-        for key, uid, shingles in zip(*(c.to_pylist() for c in batch.columns)):
-            if key != at:
-                out += done()
-                held, at = [], key
-            held.append((uid, frozenset(shingles)))
-        yield batch_of(out)
-    yield batch_of(done())
-
-
-def _colliding(rows: DataFrame) -> DataFrame:
-    """(key, uid, n): the rows of keys that several pieces share; n is their number."""
-    dealt = rows.repartition("key").sortWithinPartitions("key", "uid")
-    shared = stored(dealt.mapInArrow(_shared, "key long, uid long"), "buckets")
-    # a written side leaves the join free to split a hot key
-    return shared.join(stored(shared.groupBy("key").agg(F.count("*").alias("n")), "sizes"), "key")
-
-
-def piece_links(units: DataFrame) -> DataFrame:
-    """(u, v): links between pieces (pid, uid, shingles), enough to connect all that collide and are similar.
-
-    pid tells the rows apart. Each piece that collides is fetched once, however often it occurs.
-    """
-    found = _colliding(units.select("uid", "shingles").mapInArrow(_bands, "key long, uid long"))
-    once = units.groupBy("uid").agg(F.min("pid").alias("pid")).join(found.select("uid").distinct(), "uid")
-    sets = stored(units.join(once.select("pid"), "pid").select("uid", "shingles"), "sets")
-    hot = found.where(F.col("n") > BUCKET).select("key", "uid")
-    described = hot.join(sets, "uid")
-    most = stored(described.groupBy("key").agg(F.max(F.size("shingles")).alias("most")), "largest")
-    parts = described.join(most, "key").select("key", "most", "uid", "shingles")
-    again = _colliding(parts.mapInArrow(_parts, "key long, uid long"))
-    # pairs of blocks: a piece goes to every pair that its block is in
-    count = F.ceil(F.col("n") / BUCKET).cast("long")
-    block = F.pmod(F.xxhash64("uid"), count)
-    other = F.explode(F.sequence(F.lit(0).cast("long"), count - 1)).alias("other")
-    blocks = again.where(F.col("n") > BUCKET).select("key", "uid", block.alias("block"), other)
-    blocks = blocks.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("key"), "uid")
-    small = found.where(F.col("n") <= BUCKET).select("key", "uid").union(again.where(F.col("n") <= BUCKET).select("key", "uid")).union(blocks)
-    pairs = small.hint("merge").join(sets, "uid").select("key", "uid", "shingles")
-    return pairs.repartition("key").sortWithinPartitions("key", "uid").mapInArrow(_links, "u long, v long")
-
-
-def repeated_passages(docs: DataFrame, cut=_units, linked=piece_links) -> DataFrame:
-    """(doc_id, from_word, words, component_id, removed): every piece whose class occurs in several documents.
-
-    cut: makes the pieces of (doc_id, rid, text) batches; linked: the links between them.
+        for wanted, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            shingles = shingle_hashes(word_hashes(text)[0])
+            sets = [np.unique(shingles[w["from_word"] : w["from_word"] + w["words"] - SHINGLE + 1]) for w in wanted]
+            values, ends = joined(sets)
+            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values.view(np.int32)))
+            yield pa.RecordBatch.from_arrays([pa.array([w["uid"] for w in wanted], pa.int64()), lists], names=["uid", "shingles"])
+
+
+def unit_links(units: DataFrame, docs: DataFrame) -> DataFrame:
+    """(u, v): links between units, enough to connect all that collide and are similar. docs: doc_id, text_hash, text."""
+    found = colliding(units.where("keys is not null").select(F.explode("keys").alias("key"), "uid"))
+    # each unit that collides is fetched once, from the first document that has it
+    place = F.struct("text_hash", "doc_id", "from_word", "words")
+    once = units.join(found.select("uid").distinct(), "uid", "left_semi").groupBy("uid").agg(F.min(place).alias("place"))
+    wanted = once.groupBy("place.doc_id", "place.text_hash").agg(F.collect_list(F.struct("place.from_word", "place.words", "uid")).alias("wanted"))
+    wanted = stored(wanted.withColumnRenamed("doc_id", "_id").withColumnRenamed("text_hash", "_hash"), "wanted")
+    # rows that repeat an id and a text would each give its units
+    texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["_id"]) & (docs["text_hash"] == wanted["_hash"])).select("wanted", "text")
+    sets = stored(texts.mapInArrow(_sets, "uid long, shingles array<int>"), "fetched")
+    return linked(found, stored(sets.dropDuplicates(["uid"]), "sets"))
+
+
+def repeated_passages(docs: DataFrame) -> DataFrame:
+    """(doc_id, from_word, words, component_id, removed): every unit whose class occurs in several documents.
 
     from_word counts the document's white-space separated words from 0. component_id is the smallest doc_id of the class
-    (null if none has one). One piece of each class stays: that of the smallest doc_id, nulls last, then the first row and
+    (null if none has one). One unit of each class stays: that of the smallest doc_id, nulls last, then the first row and
     word; all others are removed. Rows that repeat a document are documents of their own, so all but one lose their
-    passages. Null and empty texts have no pieces; repeats inside one document alone don't count.
+    passages. Null and empty texts have no units; repeats inside one document alone don't count.
     """
     prepare(docs.sparkSession)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("rid"), "text")
-    units = stored(texts.mapInArrow(cut, _UNIT).withColumn("pid", F.monotonically_increasing_id()), "units")
-    classes = components(linked(units)).withColumnRenamed("node", "uid")
-    classed = units.drop("shingles", "pid").join(classes, "uid", "left").withColumn("class", F.coalesce("root", "uid"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    numbered = texts.select("doc_id", F.monotonically_increasing_id().alias("rid"), "text_hash", "text")
+    units = stored(numbered.mapInArrow(_units, _UNIT), "units")
+    classes = components(unit_links(units, texts)).withColumnRenamed("node", "uid")
+    classed = units.drop("keys", "text_hash").join(classes, "uid", "left").withColumn("class", F.coalesce("root", "uid"))
     several = classed.groupBy("class").agg(F.min("rid").alias("a"), F.max("rid").alias("b")).where("a < b").select("class")
     several = stored(several, "several")
     repeated = stored(classed.join(several, "class").select("doc_id", "rid", "from_word", "words", "class"), "repeated")
@@ -319,3 +199,7 @@ def repeated_passages(docs: DataFrame, cut=_units, linked=piece_links) -> DataFr
     firsts = stored(repeated.groupBy("class").agg(F.min(rank).alias("first")), "firsts")
     stays = (F.col("rid") == F.col("first.rid")) & (F.col("from_word") == F.col("first.from_word")) & (F.col("words") == F.col("first.words"))
     return repeated.join(firsts, "class").select("doc_id", "from_word", "words", F.col("first.doc_id").alias("component_id"), (~stays).alias("removed"))
+
+
+def op10_paragraph_dedup(spark, sf_dir):
+    return repeated_passages(table(spark, sf_dir, "documents"))

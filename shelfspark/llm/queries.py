@@ -9,7 +9,7 @@ from shelfspark.llm import (
     licenses,
     mixing,
     near_vectors,
-    passages,
+    paragraph_dedup,
     pii,
     simhash_dedup,
     topk,
@@ -26,7 +26,7 @@ QUERIES = {
     "op7_pii": pii.op7_pii,
     "op8_mixing": mixing.op8_mixing,
     "op9_decontamination": decontaminate.op9_decontamination,
-    "op10_paragraph_dedup": passages.op10_paragraph_dedup,
+    "op10_paragraph_dedup": paragraph_dedup.op10_paragraph_dedup,
     "op11_token_alignment": alignment.op11_token_alignment,
     "op12_vector_codes": codes.op12_vector_codes,
     "op13_near_vectors": near_vectors.op13_near_vectors,
