@@ -4,10 +4,11 @@ A page's url becomes a set of tokens (scheme, host and its parents, leading path
 labelled pages' token sets, each with its label as one more token, go through Spark's FP-growth; rules whose consequence
 is a label and that reach the least support, confidence and lift remain, but for those that a rule one token shorter
 makes needless. Tokens that occur on exactly the same labelled pages are one item, named by the smallest: no itemset is
-lost by it, and a long url that is repeated doesn't give all subsets of its tokens.
+lost by it, and a long url that is repeated doesn't give all subsets of its tokens. A url has an item if it has any of
+its tokens, since each of them alone would have made the same rule.
 
-Rules are looked up in an inverted index under their rarest token, so a url meets only rules that hold one of its tokens,
-and each at most once. Distinct urls are judged; pages then take their url's verdict.
+Rules are looked up in an inverted index under every token of their rarest item, so a url meets only rules that hold one of
+its tokens. Distinct urls are judged; pages then take their url's verdict.
 """
 
 from __future__ import annotations
@@ -77,21 +78,27 @@ def tokens(url: Column) -> Column:
 
 
 def mine(labelled: DataFrame, support: float = MIN_SUPPORT, confidence: float = MIN_CONFIDENCE, lift: float = MIN_LIFT) -> DataFrame:
-    """(antecedent, verdict, confidence, support, anchor) from (url, blocked); anchor is the antecedent's rarest token."""
+    """(antecedent, verdict, confidence, support, anchor, members, anchors) from (url, blocked).
+
+    antecedent has the names of the items, members the tokens of each in the same order; anchor is the rarest item and
+    anchors are its tokens.
+    """
     rows = labelled.where(F.col("blocked").isNotNull() & F.col("url").isNotNull())
     rows = stored(rows.select(F.monotonically_increasing_id().alias("rid"), tokens(F.col("url")).alias("tokens"), "blocked"), "labelled")
     support = max(support, MIN_ROWS / max(rows.count(), MIN_ROWS))
     each = rows.select("rid", F.explode("tokens").alias("token"))
     counts = each.groupBy("token").agg(F.count("*").alias("n"), F.sum(F.xxhash64("rid").cast("decimal(20,0)")).alias("where"))
     least = support * rows.count()
-    items = stored(counts.where(F.col("n") >= least).groupBy("n", "where").agg(F.min("token").alias("token")), "items")
+    # the tokens of an item stand on the same pages, so they are no more than a url has
+    items = counts.where(F.col("n") >= least).groupBy("n", "where").agg(F.min("token").alias("token"), F.array_sort(F.collect_list("token")).alias("tokens"))
+    items = stored(items.select("token", "n", "tokens"), "items")
     sets = each.join(items.select("token"), "token").groupBy("rid").agg(F.collect_list("token").alias("tokens"))
     label = F.when(F.col("blocked"), "=" + BLOCK).otherwise("=" + ALLOW)
     sets = rows.select("rid", label.alias("label")).join(sets, "rid", "left")
     sets = stored(sets.select(F.concat(F.coalesce("tokens", F.array().cast("array<string>")), F.array("label")).alias("items")), "sets")
     spark = rows.sparkSession
     if sets.isEmpty():
-        return spark.createDataFrame([], "antecedent array<string>, verdict string, confidence double, support double, anchor string")
+        return spark.createDataFrame([], "antecedent array<string>, verdict string, confidence double, support double, anchor string, members array<array<string>>, anchors array<string>")
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(sets)
     found = model.associationRules.where(F.col("consequent")[0].startswith("=") & (F.col("lift") >= lift))
     found = stored(found.select(F.array_sort("antecedent").alias("antecedent"), F.substring(F.col("consequent")[0], 2, 9).alias("verdict"), "confidence", "support"), "rules")
@@ -101,16 +108,20 @@ def mine(labelled: DataFrame, support: float = MIN_SUPPORT, confidence: float =
     ).withColumn("antecedent", F.array_remove("whole", F.col("without")))
     needless = shorter.join(found, ["antecedent", "verdict"]).where("confidence >= sure").select(F.col("whole").alias("antecedent"), "verdict").distinct()
     kept = found.join(needless, ["antecedent", "verdict"], "left_anti")
-    rarest = kept.select("antecedent", "verdict", F.explode("antecedent").alias("token")).join(items, "token")
-    rarest = rarest.groupBy("antecedent", "verdict").agg(F.min(F.struct("n", "token"))["token"].alias("anchor"))
-    return kept.join(rarest, ["antecedent", "verdict"])
+    held = kept.select("antecedent", "verdict", F.explode("antecedent").alias("token")).join(items, "token")
+    held = held.groupBy("antecedent", "verdict").agg(
+        F.min(F.struct("n", "token", "tokens")).alias("rarest"), F.array_sort(F.collect_list(F.struct("token", "tokens"))).alias("members")
+    )
+    named = held.select("antecedent", "verdict", F.col("rarest.token").alias("anchor"), F.col("members.tokens").alias("members"), F.col("rarest.tokens").alias("anchors"))
+    return kept.join(named, ["antecedent", "verdict"])
 
 
 def matches(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """(url, verdict, confidence, because) of the distinct urls that a rule fits: the surest rule, then the best supported,
     then a block, then the first in order of its tokens."""
-    spread = urls.select("url", tokens(F.col("url")).alias("tokens")).select("url", "tokens", F.explode("tokens").alias("anchor"))
-    fits = spread.join(rules, "anchor").where(F.size(F.array_except("antecedent", "tokens")) == 0)
+    spread = urls.select("url", tokens(F.col("url")).alias("tokens")).select("url", "tokens", F.explode("tokens").alias("token"))
+    # a url that has several tokens of a rule's anchor meets the rule as often; the best one stays the same
+    fits = spread.join(rules.withColumn("token", F.explode("anchors")), "token").where(F.forall("members", lambda m: F.arrays_overlap(m, F.col("tokens"))))
     because = F.array_join("antecedent", " ")
     rank = F.struct("confidence", "support", F.col("verdict"), because.alias("because"))
     best = fits.groupBy("url").agg(F.max(rank).alias("best"))

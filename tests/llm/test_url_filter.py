@@ -73,7 +73,9 @@ def test_rules_equal_all_itemsets(spark):
         if not any(found.get((a - {t}, v), (0,))[0] >= x[0] for t in a):
             want[a, v] = (round(x[0], 9), round(x[1], 9))
     assert {k: v for k, v in got.items() if len(k[0]) <= 4} == want and want
-    assert all(r.anchor in r.antecedent for r in op.mine(frame).collect())
+    for r in op.mine(frame).collect():
+        assert r.anchor in r.antecedent and r.anchors == r.members[r.antecedent.index(r.anchor)]
+        assert [m[0] for m in r.members] == r.antecedent and all(same[t] == a for a, m in zip(r.antecedent, r.members) for t in m)
 
 
 def test_verdicts_follow_the_combination(spark):
@@ -84,6 +86,29 @@ def test_verdicts_follow_the_combination(spark):
         assert (got[i].verdict == "block") == (url.startswith("http://") and "/win/" in url), url
 
 
+def test_every_token_of_an_item_stands_for_it(spark):
+    """Labels know one host of a site; the site's other hosts go with it, whatever their letters."""
+    data = [(i, f"http://a.spam.com/{'x' * (i % 5)}") for i in range(40)] + [(100 + i, f"http://h{i}.net/") for i in range(40)]
+    labels = [(i, i < 100) for i, _ in data]
+    more = [(200, "http://b.spam.com/z"), (201, "http://a.spam.com/z"), (202, "http://zz.spam.com/"), (203, "http://spam.com/q"), (204, "http://good.org/z"), (205, "http://h3.net/z")]
+    found = op.judge(pages_of(spark, data + more), spark.createDataFrame(labels, "page_id long, blocked boolean"), lists=()).collect()
+    got = {r.page_id: r.verdict for r in found}
+    assert [got[i] for i, _ in more] == ["block"] * 4 + ["allow"] * 2 and len(found) == len(data + more)
+
+
+def test_matching_equals_all_rules_on_all_urls(spark):
+    data, labels = labelled(spark)
+    urls = dict(data)
+    frame = spark.createDataFrame([(urls[i], b) for i, b in labels], "url string, blocked boolean")
+    rules = op.mine(frame)
+    fresh = spark.createDataFrame([(f"{s}://{h}.site.net/{p}/q{e}",) for s in ("http", "ftp") for h in "abz" for p in ("win", "news", "old") for e in (".html", "", "?ref=1")], "url string")
+    found = {r.url: (r.verdict, r.confidence) for r in op.matches(fresh, rules).collect()}
+    held = rules.collect()
+    for r in fresh.select("url", op.tokens(fresh.url).alias("tokens")).collect():
+        fits = [(x.confidence, x.support, x.verdict) for x in held if all(set(m) & set(r.tokens) for m in x.members)]
+        assert found.get(r.url) == ((max(fits)[2], max(fits)[0]) if fits else None)
+
+
 def test_a_long_url_that_repeats_doesnt_multiply(spark):
     url = "http://deep.site.net/" + "/".join(f"s{c}" for c in "abcdefghijklmnopqrstuvwxyz") + "?" + "&".join(f"k{i}=1" for i in range(40))
     frame = spark.createDataFrame([(url, True)] * 50 + [(f"http://h{i}.net/", False) for i in range(50)], "url string, blocked boolean")
