@@ -9,9 +9,10 @@ Nor need a window start elsewhere than at a shared shingle: moved on to its firs
 what it doesn't, and so its similarity doesn't fall (at the end of the document it gets shorter, which raises it). So the
 windows start at the document's shingles that occur in an item of that size, which one hash join finds.
 
-Fingerprints are 64-bit SimHashes of the windows' words, each with its number of occurrences as weight. Windows and items
-of the same size that differ in RADIUS bits or fewer agree on at least one of RADIUS + 1 blocks of bits; a join on
-(size, block, value) finds all of them. Five-word similarity of 0.8 leaves room for few changed words (one inside 49
+Fingerprints are 64-bit SimHashes of the windows' words, each with its number of occurrences as weight. A window and an
+item of the same size that differ in RADIUS bits or fewer agree on at least one of RADIUS + 1 blocks of bits. A window is
+looked up only for items that have its first shingle, by the reasoning above; a join on (size, shingle, block, value)
+finds all of them, and unrelated pairs don't meet. Five-word similarity of 0.8 leaves room for few changed words (one inside 49
 words, three at the edges of 35), which move about 4 to 9 of 64 bits; RADIUS lies over two deviations above that.
 
 DataFrame functions only. The driver sees the number of the items' shingles and the shingle lengths.
@@ -82,6 +83,29 @@ def _blocks(fp: Column) -> Column:
     return F.array(*(F.struct(F.lit(j).alias("block"), F.shiftrightunsigned(fp, j * BLOCK_BITS).bitwiseAND(F.lit(2**BLOCK_BITS - 1)).alias("value")) for j in range(64 // BLOCK_BITS)))
 
 
+def _windows(docs: DataFrame, grams: DataFrame, sizes: list[int]) -> DataFrame:
+    """(doc_id, text_hash, start, n, gram, words): the windows of n words that begin with a shingle of an item of n words."""
+    texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), word_array("text").alias("doc_words"))
+    starts = []
+    for q in sizes:
+        shared = grams.where(F.col("q") == q).select("n", "gram").distinct()
+        if shared.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+            shared = F.broadcast(shared)
+        spread = texts.select("doc_id", "text_hash", "doc_words", F.posexplode(_grams(F.col("doc_words"), q)).alias("start", "gram"))
+        hits = spread.join(shared, "gram")
+        starts.append(hits.select("doc_id", "text_hash", "start", "n", "gram", F.slice("doc_words", F.col("start") + 1, F.col("n")).alias("words")))
+    return reduce(DataFrame.union, starts)
+
+
+def _met(windows: DataFrame, items: DataFrame, grams: DataFrame) -> DataFrame:
+    """(key, fp, item, item_fp, block): windows and items that have the window's first shingle and agree on a block."""
+    marked = with_simhash(windows.select("key", "words"), "key").join(windows.select("key", "n", "gram"), "key")
+    marked = marked.select("key", "n", "gram", "fp", F.inline(_blocks(F.col("fp"))))
+    known = with_simhash(items.select("key", "words"), "key").join(grams.select("key", "n", "gram"), "key")
+    known = stored(known.select(F.col("key").alias("item"), "n", "gram", F.col("fp").alias("item_fp"), F.inline(_blocks(F.col("fp")))), "item-blocks")
+    return marked.join(known, ["n", "gram", "block", "value"]).select("key", "fp", "item", "item_fp", "block")
+
+
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, text_hash, item_id, similarity, hamming, start, words): the best window of each document for each item.
 
@@ -93,29 +117,18 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     items = items.select("item_id", word_array("text").alias("words")).where(F.size("words") > 0).distinct()
     items = items.withColumn("n", F.size("words")).withColumn("q", F.least("n", F.lit(SHINGLE)))
     items = stored(items.withColumn("key", F.monotonically_increasing_id()), "items")
-    sizes = [r.q for r in items.select("q").distinct().collect()]  # at most SHINGLE values
-
-    texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), word_array("text").alias("doc_words"))
-    starts = []
-    for q in sorted(sizes):
-        shared = items.where(F.col("q") == q).select("n", F.explode(_grams(F.col("words"), q)).alias("gram")).distinct()
-        if shared.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-            shared = F.broadcast(shared)
-        grams = texts.select("doc_id", "text_hash", "doc_words", F.posexplode(_grams(F.col("doc_words"), q)).alias("start", "gram"))
-        hits = grams.join(shared, "gram")
-        starts.append(hits.select("doc_id", "text_hash", "start", "n", F.slice("doc_words", F.col("start") + 1, F.col("n")).alias("words")))
-    if not starts:
+    sizes = sorted(r.q for r in items.select("q").distinct().collect())  # at most SHINGLE values
+    if not sizes:
         item_id = F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id")
         nothing = (F.lit(0).alias(x) for x in ("hamming", "start", "words"))
-        return texts.where("false").select("doc_id", "text_hash", item_id, F.lit(0.0).alias("similarity"), *nothing)
-    windows = stored(reduce(DataFrame.union, starts).withColumn("key", F.monotonically_increasing_id()), "windows")
+        return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), item_id, F.lit(0.0).alias("similarity"), *nothing).where("false")
+    each = [items.where(F.col("q") == q).select("key", "n", "q", F.explode(F.array_distinct(_grams(F.col("words"), q))).alias("gram")) for q in sizes]
+    grams = stored(reduce(DataFrame.union, each), "item-shingles")
+    windows = stored(_windows(docs, grams, sizes).withColumn("key", F.monotonically_increasing_id()), "windows")
 
-    marked = with_simhash(windows.select("key", "words"), "key").join(windows.select("key", "n"), "key")
-    marked = marked.select("key", "n", "fp", F.inline(_blocks(F.col("fp"))))
-    known = with_simhash(items.select("key", "words"), "key").join(items.select("key", "n"), "key")
-    known = stored(known.select(F.col("key").alias("item"), "n", F.col("fp").alias("item_fp"), F.inline(_blocks(F.col("fp")))), "item-blocks")
+    met = _met(windows, items, grams)
     apart = F.col("fp").bitwiseXOR(F.col("item_fp"))
-    near = marked.join(known, ["n", "block", "value"]).withColumn("hamming", F.bit_count(apart)).where(F.col("hamming") <= RADIUS)
+    near = met.withColumn("hamming", F.bit_count(apart)).where(F.col("hamming") <= RADIUS)
     # a pair that agrees on several blocks is kept at the first of them
     equal = reduce(lambda rest, j: F.when(F.shiftrightunsigned(apart, j * BLOCK_BITS).bitwiseAND(F.lit(2**BLOCK_BITS - 1)) == 0, j).otherwise(rest), reversed(range(64 // BLOCK_BITS)), F.lit(-1))
     near = near.where(F.col("block") == equal).select("key", "item", "hamming")
@@ -132,9 +145,11 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents in which no item was found; all columns stay."""
-    found = leaks(docs, items).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left_anti")
+    """The documents in which no item was found; all columns stay, whatever their names."""
+    found = leaks(docs, items).select("doc_id", "text_hash").distinct()
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    leaked = whole["row.doc_id"].eqNullSafe(found["doc_id"]) & (F.xxhash64("row.text") == found["text_hash"])
+    return whole.join(found, leaked, "left_anti").select("row.*")
 
 
 def op9_decontamination(spark, sf_dir):

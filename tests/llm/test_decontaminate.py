@@ -68,6 +68,23 @@ def test_finds_what_brute_force_finds(docs_of, spark):
     assert all(abs(got[k].similarity - want[k]) < 1e-9 and got[k].hamming <= op.RADIUS for k in got)
 
 
+def test_only_pairs_that_share_a_shingle_meet(docs_of, spark, monkeypatch):
+    docs, items = sample()
+    met = []
+    plain_met = op._met
+
+    def counted(windows, known, grams):
+        pairs = windows.select("key", "n", "gram").join(grams.select("n", "gram", grams["key"].alias("item")), ["n", "gram"]).count()
+        found = plain_met(windows, known, grams)
+        met.append((found.select("key", "item").distinct().count(), pairs, windows.count() * known.count()))
+        return found
+
+    monkeypatch.setattr(op, "_met", counted)
+    op.leaks(docs_of(docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    [(found, sharing, all_pairs)] = met
+    assert 0 < found <= sharing < 0.2 * all_pairs
+
+
 def test_a_window_starts_where_it_says(docs_of, spark):
     item = "alpha beta gamma delta epsilon zeta eta theta"
     got = op.leaks(docs_of([(1, "one two " + item + " three"), (1, "one two " + item + " three"), (None, item)]), spark.createDataFrame([(9, item)], "item_id long, text string"))
@@ -77,6 +94,8 @@ def test_a_window_starts_where_it_says(docs_of, spark):
 def test_contaminated_documents_go(docs_of, spark):
     items = spark.createDataFrame([(9, "alpha beta gamma delta epsilon zeta")], "item_id long, text string")
     docs = docs_of([(1, "x alpha beta gamma delta epsilon zeta y"), (2, "clean"), (None, "alpha beta gamma delta epsilon zeta"), (3, None), (2, "clean")])
+    for name in ("_id", "_hash", "text_hash", "item_id"):
+        docs = docs.withColumn(name, docs["doc_id"])
     kept = op.without_leaks(docs, items)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [2, 2, 3]
 
