@@ -41,7 +41,7 @@ FOLDER = "/opt/tokenizers"
 #: B ids are dealt by their remainder; fewer counted pairs for each, and more contributions of each document.
 RADIX = 16
 #: Records of a run, over all radixes.
-RECORDS = 1 << 22
+RECORDS = 1 << 21
 #: Entries of a compressed block.
 BLOCK = 1 << 16
 #: Runs merged at a time.
@@ -86,6 +86,9 @@ class Tokenizers:
         self._b = sentencepiece.SentencePieceProcessor(model_proto=b)
         pieces = [self._b.id_to_piece(i) for i in range(self._b.get_piece_size())]
         self.b_bytes = [bytes([int(p[1:-1], 16)]) if self._b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        # each id as it stands inside and at the end of a group
+        ids_a, ids_b = range(len(self.a_bytes)), range(len(self.b_bytes))
+        self.words = [x for i in ids_a for x in (b"%d," % i, b"%d|" % i)] + [x for i in ids_b for x in (b"%d," % i, b"%d;" % i)]
         # A's pattern begins a token at a space that stands alone, and no piece of B goes on over a space
         self.cuts = self._fast is not None and all("▁" not in p.lstrip("▁") for p in pieces)
 
@@ -152,11 +155,10 @@ class Units:
         starts = np.flatnonzero(new)
         self.pair, self.links = pair[starts], np.diff(np.append(starts, len(pair)))
         self.first = np.searchsorted(of[starts], np.arange(len(texts) + 1))
-        self.text = self._written(a, b, cut_a, cut_b, len(tokenizers.a_bytes), len(tokenizers.b_bytes))
+        self.text = self._written(a, b, cut_a, cut_b, tokenizers.words, len(tokenizers.a_bytes))
 
-    def _written(self, a, b, cut_a, cut_b, count_a: int, count_b: int) -> list[bytes]:
+    def _written(self, a, b, cut_a, cut_b, words: list[bytes], count_a: int) -> list[bytes]:
         """The groups of each unit as `a1,a2|b1;...;`."""
-        words = [x for i in range(count_a) for x in (b"%d," % i, b"%d|" % i)] + [x for i in range(count_b) for x in (b"%d," % i, b"%d;" % i)]
         last_a, last_b = np.append(-1, np.flatnonzero(cut_a)), np.append(-1, np.flatnonzero(cut_b))
         line = np.zeros(len(a) + len(b), np.int64)
         # before a token of A stand the B tokens of earlier groups, before one of B the A tokens of its own group too
