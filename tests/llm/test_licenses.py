@@ -29,6 +29,44 @@ CASES = {
 }
 
 
+def wrapped(text, columns):
+    lines = [""]
+    for word in text.split():
+        if len(lines[-1]) + len(word) + 1 > columns and lines[-1]:
+            lines.append("")
+        lines[-1] += " " * bool(lines[-1]) + word
+    return lines
+
+
+def test_wrapped_notices_of_all_families(corpus, docs_of):
+    _, model = corpus
+    noise = "the road went on past the houses and down to the water where boats lay in rows under a low grey sky"
+    rows, want = [], {}
+    for family, templates in op.TEMPLATES.items():
+        for t in templates:
+            for columns in (60, 80):
+                for mark in ("", "# ", " * "):
+                    lines = [mark + x for x in wrapped(t, columns)]
+                    want[len(rows)] = family
+                    rows.append((len(rows), "\n".join([noise, "", *lines, "", noise])))
+    got = {r.doc_id: r.licences for r in op.scan(docs_of(rows), model).collect()}
+    wrong = {rows[i][1][len(noise) :][:90]: (got[i], f) for i, f in want.items() if got[i] != f}
+    assert not wrong, wrong
+
+
+def test_lines_with_two_licences_give_both(corpus, docs_of):
+    _, model = corpus
+    pairs = [
+        ("Licensed under the MIT license. Licensed under the Apache License, Version 2.0.", "Apache,MIT"),
+        ("Released under the MIT License. Released under the BSD License.", "BSD,MIT"),
+        ("Licensed under CC BY 4.0. Licensed under the Mozilla Public License, version 2.0.", "CC-BY,MPL"),
+        ("Licensed under CC BY-SA 4.0. Licensed under CC BY-NC 4.0.", "CC-BY-NC,CC-BY-SA"),
+        ("Released under the GNU General Public License v2. Licensed under the GNU Lesser General Public License, version 2.1.", "GPL,LGPL"),
+    ]
+    got = {r.doc_id: r.licences for r in op.scan(docs_of([(i, t) for i, (t, _) in enumerate(pairs)]), model).collect()}
+    assert got == {i: w for i, (_, w) in enumerate(pairs)}
+
+
 def test_variants_edge_cases_and_long_texts(corpus, docs_of):
     _, model = corpus
     noise = "one two three four five six seven eight nine ten " * 2000
