@@ -99,6 +99,10 @@ def list_column(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def similar(sets: list[np.ndarray], first: int) -> np.ndarray:
     """Whether each of the first sets is similar to each of all; the values of a set are distinct."""
     sizes = np.array([len(s) for s in sets])
+    if len(sets) == 2:
+        both = len(np.intersect1d(*sets, assume_unique=True))
+        apart = both >= SIMILARITY * (sizes.sum() - both)
+        return np.array([[True, apart], [apart, True]])[:first]
     owner = np.repeat(np.arange(len(sets)), sizes)
     _, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     shared = count[place] > 1
@@ -106,8 +110,9 @@ def similar(sets: list[np.ndarray], first: int) -> np.ndarray:
     order = np.argsort(place, kind="stable")
     owner, place = owner[order], place[order]
     both = np.zeros((first, len(sets)), np.float32)
-    width = max(CELLS // len(sets), 1)
-    for c in range(0, int((count > 1).sum()), width):
+    total = int((count > 1).sum())
+    width = min(max(CELLS // len(sets), 1), max(total, 1))
+    for c in range(0, total, width):
         a, b = np.searchsorted(place, [c, c + width])
         held = np.zeros((len(sets), width), np.float32)
         held[owner[a:b], place[a:b] - c] = 1
@@ -137,8 +142,11 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def done():
         if first and len(sets) > 1:
-            nodes = np.array(uids)
-            label = grouped(similar(sets, first), nodes)
+            near, nodes = similar(sets, first), np.array(uids)
+            if len(sets) == 2:  # most groups
+                label = np.full(2, nodes.min()) if near[0, 1] else nodes
+            else:
+                label = grouped(near, nodes)
             out.append((nodes[label != nodes], label[label != nodes]))
 
     def batch_of():
