@@ -19,6 +19,7 @@ table holds those of all units.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,9 @@ REACH = 8
 #: Words handled at a time, and at least one text.
 PIECE_WORDS = 1 << 18
 BANDS, ROWS = tuned(SIMILARITY, RECALL, 4)
+#: Bands that are dealt out at a time: the shuffle of all would be the largest thing on disk.
+AT_ONCE = 3
+DEALS = -(-BANDS // AT_ONCE)
 
 
 def pieces(hashes: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -105,7 +109,8 @@ def word_hashes(text: str | None) -> tuple[np.ndarray, list[int], list[int]]:
     return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)), lines, blocks
 
 
-_UNIT = "doc_id long, rid long, text_hash long, from_word long, words int, uid long, keys array<long>"
+_KEYS = [f"keys{i}" for i in range(DEALS)]
+_UNIT = ", ".join(["doc_id long, rid long, text_hash long, from_word long, words int, uid long", *(f"{k} array<long>" for k in _KEYS)])
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,11 +134,13 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     seen.add(uid)
                     fresh[i] = True
             at, begins = spread(own[fresh], size[fresh] - (SHINGLE - 1))
-            keys = band_keys(shingles, begins, BANDS, ROWS, at).ravel().view(np.int64) if fresh.any() else np.zeros(0, np.int64)
-            offsets = np.append(0, np.cumsum(fresh * BANDS)).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys), mask=pa.array(~fresh))
+            keys = band_keys(shingles, begins, BANDS, ROWS, at).view(np.int64) if fresh.any() else np.zeros((0, BANDS), np.int64)
+            lists = []
+            for part in np.array_split(keys, range(AT_ONCE, BANDS, AT_ONCE), axis=1):
+                offsets = np.append(0, np.cumsum(fresh * part.shape[1])).astype(np.int32)
+                lists.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(part.ravel()), mask=pa.array(~fresh)))
             ids = [pa.array([owners[i][k] for i in of], pa.int64()) for k in range(3)]
-            columns = [*ids, pa.array(own - (ends - docs)[of]), pa.array(size.astype(np.int32)), pa.array(uids.view(np.int64)), lists]
+            columns = [*ids, pa.array(own - (ends - docs)[of]), pa.array(size.astype(np.int32)), pa.array(uids.view(np.int64)), *lists]
             yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _UNIT.split(", ")])
 
     for batch in batches:
@@ -166,7 +173,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def unit_links(units: DataFrame, docs: DataFrame) -> DataFrame:
     """(u, v): links between units, enough to connect all that collide and are similar. docs: doc_id, text_hash, text."""
-    found = colliding(units.where("keys is not null").select(F.explode("keys").alias("key"), "uid"))
+    # a band's keys differ from those of all others
+    found = reduce(DataFrame.union, [colliding(units.where(F.col(k).isNotNull()).select(F.explode(k).alias("key"), "uid")) for k in _KEYS])
     # each unit that collides is fetched once, from the first document that has it
     place = F.struct("text_hash", "doc_id", "from_word", "words")
     once = units.join(found.select("uid").distinct(), "uid", "left_semi").groupBy("uid").agg(F.min(place).alias("place"))
@@ -191,7 +199,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     numbered = texts.select("doc_id", F.monotonically_increasing_id().alias("rid"), "text_hash", "text")
     units = stored(numbered.mapInArrow(_units, _UNIT), "units")
     classes = components(unit_links(units, texts)).withColumnRenamed("node", "uid")
-    classed = units.drop("keys", "text_hash").join(classes, "uid", "left").withColumn("class", F.coalesce("root", "uid"))
+    classed = units.drop(*_KEYS, "text_hash").join(classes, "uid", "left").withColumn("class", F.coalesce("root", "uid"))
     several = classed.groupBy("class").agg(F.min("rid").alias("a"), F.max("rid").alias("b")).where("a < b").select("class")
     several = stored(several, "several")
     repeated = stored(classed.join(several, "class").select("doc_id", "rid", "from_word", "words", "class"), "repeated")
