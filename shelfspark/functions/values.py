@@ -146,6 +146,18 @@ def _leaf(prefix: Column, text: Column) -> Column:
     return F.array(F.struct(prefix.alias("key"), text.alias("value"))).cast(_LEAF)
 
 
+def is_branch(v: Column) -> Column:
+    """An object, or a list that holds an object, a list or a null."""
+    mixed = F.exists(as_list(v), lambda m: kind(m).isin("OBJECT", "ARRAY", "VOID"))
+    return F.coalesce(F.when(kind(v) == "OBJECT", True).otherwise(mixed), F.lit(False))
+
+
+def leaf_text(v: Column) -> Column:
+    """Text of a scalar, '' for none; a list of scalars joins its texts, and gives null if there are none."""
+    joined = F.array_join(F.filter(F.transform(as_list(v), _flat_text), lambda t: t != ""), ", ")
+    return F.when(kind(v) == "ARRAY", F.nullif(joined, F.lit(""))).otherwise(F.coalesce(_scalar_text(v), F.lit("")))
+
+
 def _leaves(v: Column, prefix: Column, depth: int) -> Column:
     """(key, text) leaves below one named value; objects and mixed arrays share one descent."""
     empty = F.array().cast(_LEAF)

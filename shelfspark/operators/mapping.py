@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shelfspark.functions.text import clean_array, or_empty, short_hash, split_clean, trim_all
-from shelfspark.functions.values import as_list, at, flatten, kind, let, parse, texts, to_text
+from shelfspark.functions.values import as_list, at, flatten, is_branch, kind, leaf_text, let, parse, texts, to_text
 from shelfspark.operators.merge import upsert_imported, upsert_source
 from shelfspark.session import cut_lineage
 from shelfspark.sources.records import quarantine_rows
@@ -267,3 +267,30 @@ def suggest_mapping(fields: DataFrame, targets: Sequence[str], loose: bool = Fal
 def flatten_records(df: DataFrame, data: str = "data", depth: int = 3) -> DataFrame:
     """Record data as map<dotted key, text>."""
     return df.withColumn("flat", flatten(parse(data), depth))
+
+
+def flatten_rows(df: DataFrame, node: str, keys: Sequence[str], depth: int = 3) -> DataFrame:
+    """(keys..., path, text, place): one row per leaf of a VARIANT column, what `flatten` puts into a map.
+
+    Each level is one lateral `variant_explode_outer`: an object or a list that holds objects is replaced by its members,
+    any other value passes as it is. A branch below `depth` stays as JSON text. place holds the positions on the way,
+    so it orders the leaves; of equal paths the one with the smallest place counts.
+    """
+    spark = df.sparkSession
+    empty = F.array().cast("array<int>")
+    level = df.select(*keys, F.col(node).alias("_node"), F.lit("").alias("path"), empty.alias("place"))
+    for _ in range(depth):
+        level = level.withColumn("_branch", is_branch(F.col("_node")))
+        members = spark.tvf.variant_explode_outer(F.when(F.col("_branch"), F.col("_node")).outer())
+        below = level.lateralJoin(members)
+        name = F.coalesce(trim_all("key"), F.col("pos").cast("string"))
+        within = F.when(F.col("path") == "", name).otherwise(F.concat("path", F.lit("."), name))
+        # a branch without members gives one row of nulls, and a blank key hides what is below it
+        level = below.where(~F.col("_branch") | (name != "")).select(
+            *keys,
+            F.when(F.col("_branch"), F.col("value")).otherwise(F.col("_node")).alias("_node"),
+            F.when(F.col("_branch"), within).otherwise(F.col("path")).alias("path"),
+            F.when(F.col("_branch"), F.concat("place", F.array("pos"))).otherwise(F.col("place")).alias("place"),
+        )
+    text = F.when(is_branch(F.col("_node")), F.to_json("_node")).otherwise(leaf_text(F.col("_node")))
+    return level.where("path <> ''").select(*keys, "path", text.alias("text"), "place").where(F.col("text").isNotNull())

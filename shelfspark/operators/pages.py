@@ -437,7 +437,14 @@ def embedded_list_record(html: Column | str, url: Column) -> Column:
 
 
 def scan_pages(pages: DataFrame) -> DataFrame:
-    """Pages with their element lists; the only Python step of the page job."""
+    """Pages with their element lists; the only Python step of the page job.
+
+    A page costs far more to scan than to move: where the input has fewer partitions than there are cores, as a single
+    file has, the pages are dealt out first. A large input stays where it is.
+    """
+    cores = pages.sparkSession.sparkContext.defaultParallelism
+    if pages.rdd.getNumPartitions() < cores:
+        pages = pages.repartition(cores)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pages.schema.fields)
     return pages.mapInPandas(scan_batches, f"{schema}, {SCAN_SCHEMA}")
 
@@ -744,6 +751,78 @@ def extract_products(pages: DataFrame) -> DataFrame:
     return picked.select("page_id", "url", get(F.col("record"), "extraction").alias("extraction"), "record")
 
 
+# Address tokens of product pages in the second order of extraction, and what is no product.
+ADDRESS_TOKENS = ["/product/", "/products/", "/item/", "/book/", "/books/details/", "/isbn/", "/dp/", "/p/", "/goods/"]
+NUMBERED_SLUG = "/[a-z0-9][a-z0-9-]{3,}-[0-9]{4,}/?$"
+NUMBERED_SECTION = "/catalog/(books|knigi)-[0-9]+/?$"
+
+
+def product_address(url: Column) -> Column:
+    return let(F.lower(url), lambda u: ~u.rlike(NUMBERED_SECTION) & (any_token(u, ADDRESS_TOKENS) | u.rlike(NUMBERED_SLUG)))
+
+
+def all_json_ld(html: Column | str, url: Column) -> Column:
+    """Fields of all objects that look like products, the first value of each kept; none gives null."""
+    found = F.filter(F.transform(F.filter(json_ld_items(html), is_product_like), lambda v: json_ld_record(v, url)), lambda r: r.isNotNull())
+    none = F.create_map().cast("map<string,string>")
+    return let(found, lambda rs: F.when(F.size(rs) > 0, F.aggregate(rs, none, lambda kept, r: _kept(kept, r))))
+
+
+def _kept(first: Column, then: Column) -> Column:
+    """Fields of both; of two values the first that is not blank."""
+    return F.map_zip_with(first, F.coalesce(then, F.create_map().cast("map<string,string>")), lambda _, x, y: F.coalesce(non_blank(x), y))
+
+
+def first_value_gate(record: Column, url: Column) -> Column:
+    """Whether a record of the second order is a product: two of type, price, identifier, availability and address, or a full page."""
+
+    def body(address: Column) -> Column:
+        price = get(record, "price").try_cast("double") > 0
+        priced = F.coalesce(price, F.lit(False))
+        known = F.concat(*[get(record, k) for k in ("isbn", "gtin", "sku", "product_id")]) != ""
+        stocked, pictured = get(record, "availability") != "", get(record, "image") != ""
+        typed = F.lower(F.concat_ws(" ", get(record, "meta.og:type"), get(record, "@type"))).rlike("product|book")
+        told = F.length(get(record, "description")) >= 40
+        sure = (
+            (typed & (priced | known | stocked | address))
+            | (priced & (known | stocked | address))
+            | (known & (priced | stocked | address | pictured))
+            | (address & pictured & told)
+        )
+        return sure & (F.length(get(record, "title")) >= 2)
+
+    return let(product_address(url), body)
+
+
+def first_value_products(pages: DataFrame) -> DataFrame:
+    """One record per product page in the second order of extraction: (page_id, url, extraction, record).
+
+    Application state comes before JSON-LD, meta tags, microdata and visible markup, and the first value of each field is
+    kept, so a record can mix them. `extraction` names the best kind of source that gave anything, JSON-LD first. A
+    projection for each step of the ladder; no exchange.
+    """
+    url = F.col("url")
+    staged = scan_pages(pages.select("page_id", "url", "html")).withColumn("meta", meta_map("html"))
+    staged = staged.select(
+        "page_id", "url", "meta",
+        in_place(next_data_record("html", url)).alias("next"),
+        in_place(all_json_ld("html", url)).alias("ld"),
+        in_place(open_graph_record(F.col("meta"), url)).alias("graph"),
+        in_place(microdata_record(url)).alias("micro"),
+        in_place(html_record(F.col("meta"), "html", url)).alias("visible"),
+    )
+    none = F.create_map().cast("map<string,string>")
+    whole = F.coalesce("next", none)
+    for step in ("ld", "graph", "micro", "visible"):
+        whole = _kept(whole, F.col(step))
+    named = F.array(*(F.when(F.col(c).isNotNull() & (F.size(c) > 0), F.lit(n)) for c, n in (("ld", "jsonld"), ("next", "next_data"), ("graph", "opengraph"), ("micro", "microdata"), ("meta", "meta"))))
+    merged = staged.select("page_id", "url", "meta", in_place(whole).alias("record"), F.coalesce(F.get(F.array_compact(named), F.lit(0)), F.lit("html")).alias("extraction"))
+    own = F.create_map(F.lit("source_url"), url, F.lit("extraction"), F.col("extraction"))
+    rest = F.map_filter(with_meta(F.col("record"), F.col("meta")), lambda k, _: ~k.isin("source_url", "extraction"))
+    decided = merged.select("page_id", "url", "extraction", in_place(F.map_concat(rest, own)).alias("record"))
+    return decided.where(first_value_gate(F.col("record"), url)).withColumn("record", clean_record(F.col("record")))
+
+
 def page_links(pages: DataFrame) -> DataFrame:
     """Distinct (src, dst) links of a page to its own host."""
     tags = F.regexp_extract_all("html", F.lit(r"(?is)<a\s[^>]*>"), F.lit(0))

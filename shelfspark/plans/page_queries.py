@@ -117,6 +117,26 @@ def p3(t: Tables):
     return record.select("page_id", *shown(F.col("record"), "title", "isbn", "barcode", "price", "sku", "author_names", "image", "availability", "year"))
 
 
+# A page whose parts disagree: application state, then an untyped and a typed JSON-LD object, then meta tags.
+MIXED = f"concat(CASE WHEN p_partkey % 2 = 0 THEN {NEXT} ELSE '' END, CASE WHEN p_partkey % 3 < 2 THEN {MARKS} ELSE '' END, CASE WHEN p_partkey % 5 < 3 THEN {GRAPH} ELSE '' END)"
+
+
+@query(
+    "p3_first_value_kept",
+    f"SELECT p_partkey AS page_id, CASE WHEN p_partkey % 3 < 2 THEN 'jsonld' WHEN p_partkey % 2 = 0 THEN 'next_data' ELSE 'opengraph' END AS extraction, p_name AS title,"
+    f" CASE WHEN p_partkey % 2 = 0 THEN {ISBN} END AS isbn, CASE WHEN p_partkey % 2 = 0 THEN 'id' || p_partkey END AS sku,"
+    " CASE WHEN p_partkey % 2 = 0 THEN '' || p_size WHEN p_partkey % 3 < 2 AND p_size % 6 = 0 THEN '1' WHEN p_partkey % 5 < 3 THEN p_size || '.25' END AS price,"
+    " CASE WHEN p_partkey % 2 = 0 THEN 'https://shop.example/product/img/' || p_partkey || '.png' WHEN p_partkey % 5 < 3 THEN '/og.png' END AS image,"
+    " CASE WHEN p_partkey % 5 < 3 THEN 'On ' || p_name END AS description FROM part"
+    " WHERE p_partkey % 2 = 0 OR p_partkey % 3 < 2 OR p_partkey % 5 < 3",
+)
+def p3_first(t: Tables):
+    """Each field comes from the first part that has it, application state before JSON-LD before meta tags."""
+    pages = t.part.selectExpr("p_partkey AS page_id", f"{PAGE_URL} AS url", f"{MIXED} AS html")
+    found = P.first_value_products(pages)
+    return found.select("page_id", "extraction", *shown(F.col("record"), "title", "isbn", "sku", "price", "image", "description"))
+
+
 @query(
     "p4_html_fields",
     f"SELECT p_partkey AS page_id, p_name AS title, p_brand AS author_names, 'Long & rich text on ' || p_name AS description, '/pic.png' AS image, {ISBN} AS isbn, '' || p_size AS pages, p_type AS format, 'in_stock' AS availability FROM part",

@@ -543,3 +543,20 @@ def m6(t: Tables):
     rows = G.flatten_records(t.events.select(F.col("event_id").alias("id"), body.alias("data")))
     at = lambda k: F.element_at("flat", F.lit(k)).alias(k)
     return rows.select("id", at("a.b.c"), at("list"), at("objs.0.n"), at("props.k"), at("a.b.deep"), F.size("flat").alias("leaves"))
+
+
+NESTED = (
+    "concat('{\"a\": {\"b\": {\"c\": ', CAST(CAST(floor(value) AS BIGINT) AS STRING), '.0, \"deep\": {\"too\": {\"far\": 1}}}}, \"list\": [\"', event_type, '\", \"x\"], \"objs\": [{\"n\": \"', event_type,"
+    " '\"}, 5, null], \"none\": [], \"bare\": {}, \" flag \": true, \" \": 1, \"nil\": null}')"
+)
+
+
+@query(
+    "m6_flatten_rows",
+    "SELECT event_id AS id, unnest(['a.b.c', 'a.b.deep', 'list', 'objs.0.n', 'objs.1', 'objs.2', 'flag', 'nil']) AS path,"
+    " unnest(['' || CAST(floor(value) AS BIGINT), '{\"too\":{\"far\":1}}', event_type || ', x', event_type, '5', '', 'true', '']) AS text FROM events",
+)
+def m6_rows(t: Tables):
+    """One row per leaf, level by level through lateral explodes."""
+    docs = t.events.select(F.col("event_id").alias("id"), F.try_parse_json(F.expr(NESTED)).alias("doc"))
+    return G.flatten_rows(docs, "doc", ["id"]).select("id", "path", "text")
