@@ -141,27 +141,47 @@ def copy_to_main(
     return upsert_main(main, chosen, order, as_of, category)
 
 
-def _with_substrings(df: DataFrame, c: str, others: DataFrame, other: str) -> DataFrame:
-    """A row of `other` per distinct substring of `c` that is as long as some text of the other side, which alone can equal it."""
-    lengths = others.agg(F.collect_set(F.length(other))).scalar()
-    size = F.length(F.col(c))
-    fitting = F.filter("_lengths", lambda n: n <= size)
-    parts = F.flatten(F.transform(fitting, lambda n: F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.substring(F.col(c), i, n))))
-    return df.withColumn("_lengths", lengths).withColumn(other, F.explode(F.array_distinct(parts))).drop("_lengths")
+#: Length of the pieces that texts are looked up by.
+GRAM = 3
+
+
+def _grams(c: Column, n: Column | int) -> Column:
+    """Distinct pieces of n letters; none if the text is shorter."""
+    starts = F.sequence(F.lit(1), F.length(c) - n + 1)
+    return F.when(F.length(c) >= n, F.array_distinct(F.transform(starts, lambda i: F.substring(c, i, n))))
+
+
+def anchored(needles: DataFrame, needle: str, hays: DataFrame, hay: str) -> DataFrame:
+    """(needle, hay) candidates: every hay that has the needle's rarest piece.
+
+    A hay that contains the needle has all its pieces, so it is among those of any one of them. Needles shorter than a
+    piece are pieces themselves; hays are cut to such lengths only where a needle has them.
+    """
+    sizes = needles.agg(F.collect_set(F.least(F.length(needle), F.lit(GRAM)))).scalar()
+    cut = F.flatten(F.array_compact(F.transform("_sizes", lambda n: _grams(F.col(hay), n))))
+    postings = hays.select(hay, sizes.alias("_sizes")).select(hay, F.explode(cut).alias("_gram"))
+    counts = postings.groupBy("_gram").agg(F.count(F.lit(1)).alias("_count"))
+    own = needles.select(needle, F.explode(_grams(F.col(needle), F.least(F.length(needle), F.lit(GRAM)))).alias("_gram"))
+    weighed = own.join(counts, "_gram", "left").groupBy(needle).agg(F.min(F.struct(F.coalesce("_count", F.lit(0)).alias("count"), "_gram")).alias("_rarest"))
+    # a piece that no hay has rules the needle out
+    anchors = weighed.where(F.col("_rarest.count") > 0).select(needle, F.col("_rarest._gram").alias("_gram"))
+    return anchors.join(postings, "_gram").select(needle, hay)
+
+
+def contained(needles: DataFrame, needle: str, hays: DataFrame, hay: str) -> DataFrame:
+    """(needle, hay) of all distinct non-empty needles that a distinct hay contains."""
+    return anchored(needles, needle, hays, hay).where(F.contains(F.col(hay), F.col(needle)))
 
 
 def partial_matches(terms: DataFrame, names: DataFrame) -> DataFrame:
     """Best category name inside a term, or around it: the longest, then by name, then by id.
 
-    "Contains" becomes equality on substrings of the lengths that occur on the
-    other side, so both directions are plain hash joins over distinct terms and
-    names and no pair is formed that does not match.
+    "Contains" is looked up in an inverted index of three-letter pieces, in both directions, so pairs meet only on the
+    rarest piece of the shorter text.
     """
-    inside = _with_substrings(terms.select("term"), "term", names, "name").join(names, "name")
-    around = _with_substrings(names.select("name", "category_id"), "name", terms, "term")
-    around = around.join(terms, "term", "left_semi")
-    hits = inside.select("term", "name", "category_id").unionByName(around.select("term", "name", "category_id"))
-    best = hits.groupBy("term").agg(F.min(F.struct((-F.length("name")).alias("size"), "name", "category_id")).alias("best"))
+    plain = names.select("name")
+    hits = contained(plain, "name", terms, "term").select("term", "name").union(contained(terms.select("term"), "term", plain, "name").select("term", "name"))
+    best = hits.join(names, "name").groupBy("term").agg(F.min(F.struct((-F.length("name")).alias("size"), "name", "category_id")).alias("best"))
     return best.select("term", F.col("best.category_id").alias("partial_id"))
 
 
@@ -184,9 +204,9 @@ def link_categories(products: DataFrame, closure: DataFrame) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("rows"))
     )
     # distinct terms are read several times below; the products are scanned for them once
-    terms, names = written(terms, "terms"), written(names, "names")
+    terms = written(terms, "terms")
     exact = terms.join(names.withColumnRenamed("name", "term"), "term", "left").withColumnRenamed("category_id", "exact_id")
-    unmatched = written(exact.where(F.col("exact_id").isNull()).select("term"), "unmatched")
+    unmatched = exact.where(F.col("exact_id").isNull()).select("term")
     decided = exact.join(partial_matches(unmatched, names), "term", "left").select(
         "term", "rows", F.coalesce("exact_id", "partial_id").alias("id"), F.col("exact_id").isNotNull().alias("exact")
     )
