@@ -26,6 +26,23 @@ def x1(t: Tables):
     return X.last_snapshot(t.spark, root, run)
 
 
+@query(
+    "x1_stream_upsert_counters",
+    with_shapes(
+        UPSERTED + " SELECT 0::BIGINT AS batch_id, count(*) FILTER (action = 'inserted') AS inserted, count(*) FILTER (action = 'updated') AS updated, count(*) FILTER (action = 'kept') AS kept FROM merged",
+        "source_catalog",
+    ),
+)
+def x1_counters(t: Tables):
+    """Counters of the feed's batch; a second start finds nothing new and counts nothing."""
+    items = X.read_events(t.spark, t.folder, "lineitem").selectExpr(*listed(incoming_columns(Spark)), *ORDER)
+    target = source_catalog(t).select("id", "guid_nom", "guid", "nomcode", "isbn", "name", "annotation", "in_main", "updated_at")
+    root = fresh_path(t.spark, "upsert")
+    for _ in range(2):
+        X.stream_upsert(items, root, target, ORDER).awaitTermination()
+    return X.upsert_progress(t.spark, root)
+
+
 @query(
     "x2_stream_stock_sync",
     with_shapes(
@@ -44,16 +61,19 @@ def x2(t: Tables):
     return X.last_snapshot(t.spark, root, run).select("id", "quantity", "price")
 
 
+CART_EVENT = [
+    "user_id",
+    "user_id * 3 + CAST(floor(value) AS BIGINT) % 3 AS product_id",
+    "CASE event_type WHEN 'click' THEN 'add' WHEN 'view' THEN 'add' WHEN 'purchase' THEN 'set' WHEN 'signup' THEN 'remove'"
+    " ELSE CASE CAST(floor(value) AS BIGINT) % 4 WHEN 0 THEN 'clear' ELSE 'set' END END AS action",
+    "CAST(floor(value) AS BIGINT) % 7 + 1 AS quantity",
+    "event_id AS seq",
+]
+
+
 @query("x3_stream_cart_state", FOLDED_CARTS)
 def x3(t: Tables):
-    events = X.read_events(t.spark, t.folder, "events").selectExpr(
-        "user_id",
-        "user_id * 3 + CAST(floor(value) AS BIGINT) % 3 AS product_id",
-        "CASE event_type WHEN 'click' THEN 'add' WHEN 'view' THEN 'add' WHEN 'purchase' THEN 'set' WHEN 'signup' THEN 'remove'"
-        " ELSE CASE CAST(floor(value) AS BIGINT) % 4 WHEN 0 THEN 'clear' ELSE 'set' END END AS action",
-        "CAST(floor(value) AS BIGINT) % 7 + 1 AS quantity",
-        "event_id AS seq",
-    )
+    events = X.read_events(t.spark, t.folder, "events").selectExpr(*CART_EVENT)
     empty = t.spark.createDataFrame([], "user_id bigint, product_id bigint, quantity bigint")
     root = fresh_path(t.spark, "carts")
     run = X.stream_carts(events, root, empty)
@@ -61,6 +81,30 @@ def x3(t: Tables):
     return X.last_snapshot(t.spark, root, run)
 
 
+@query("x3_stream_carts_any_order", FOLDED_CARTS)
+def x3_any_order(t: Tables):
+    """Four files in no order of time, a stop in the middle, and keyed state that doesn't need an order."""
+    path, root = fresh_path(t.spark, "events"), fresh_path(t.spark, "carts")
+    for part in range(2):
+        half = t.events.where(F.pmod(F.xxhash64("event_id"), F.lit(2)) == part)
+        half.repartition(2, F.xxhash64(F.col("event_id"), F.lit(7))).write.mode("append").parquet(path)
+        stream = t.spark.readStream.schema(t.events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        X.stream_cart_state(stream.selectExpr(*CART_EVENT), root).awaitTermination()
+    return X.current_carts(t.spark, root)
+
+
+@query("s9_resumed_pull", "SELECT event_id, user_id, event_type FROM events")
+def s9_resumed(t: Tables):
+    """Pages arrive while pulls stop and start again; every row is stored once."""
+    path, root = fresh_path(t.spark, "pages"), fresh_path(t.spark, "pulled")
+    for part in range(3):
+        t.events.where(F.col("event_id") % 3 == part).repartition(2, "event_id").write.mode("append").parquet(path)
+        pages = t.spark.readStream.schema(t.events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        for _ in range(2):  # a run without anything new stores nothing
+            X.pull_stream(pages, root).awaitTermination()
+    return X.partials(t.spark, root).select("event_id", "user_id", "event_type")
+
+
 def shuffled_events(t: Tables):
     """The events as a stream of four files in no order of time, one file per batch."""
     path = fresh_path(t.spark, "events")
@@ -81,6 +125,21 @@ def x4(t: Tables):
     return X.ratings(X.partials(t.spark, root))
 
 
+@query(
+    "x4_stream_repeats_within_watermark",
+    "SELECT CAST(count(*) AS BIGINT) AS stored, CAST(count(DISTINCT review_id) AS BIGINT) AS reviews FROM (SELECT DISTINCT event_id AS review_id FROM events)",
+)
+def x4_repeats(t: Tables):
+    """Every file comes twice; inside the watermark the second copy never reaches storage."""
+    path, root = fresh_path(t.spark, "events"), fresh_path(t.spark, "ratings")
+    for _ in range(2):
+        t.events.repartition(2, F.xxhash64("event_id")).write.mode("append").parquet(path)
+    reviews = t.spark.readStream.schema(t.events.schema).option("maxFilesPerTrigger", 1).parquet(path).selectExpr("user_id", "event_id AS review_id", "ts")
+    once = X.within_watermark(reviews, ["review_id"], "ts", "36500 days")
+    X.pull_stream(once, root).awaitTermination()
+    return X.partials(t.spark, root).agg(F.count(F.lit(1)).alias("stored"), F.countDistinct("review_id").alias("reviews"))
+
+
 def view_parts(t: Tables):
     views = shuffled_events(t).where("event_type = 'view'").selectExpr("ts", "user_id AS post_id")
     root = fresh_path(t.spark, "views")

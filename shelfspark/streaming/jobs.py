@@ -4,18 +4,21 @@ Table-maintaining jobs use foreachBatch and write a new snapshot per batch
 under its batch id, so a batch that runs twice leaves the same snapshot.
 Counts, sums and firsts are written as partial aggregates per batch and
 combined when read; run progress is a stateful aggregation in update mode.
+Carts are keyed state; repeats inside a watermark can be kept from storage.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from shelfspark.functions.text import short_hash
 from shelfspark.operators.commerce import CARRIED_OVER, fold_carts
 from shelfspark.operators.joins import match_stock, stock_by_barcode
 from shelfspark.operators.merge import apply_stock, upsert_source
+from shelfspark.streaming.carts import cart_changes
 
 Fold = Callable[[DataFrame, DataFrame], DataFrame]
 
@@ -72,13 +75,46 @@ def last_snapshot(spark: SparkSession, root: str, query: StreamingQuery) -> Data
     return spark.read.parquet(snapshot(root, batch_id))
 
 
+ACTIONS = ("inserted", "updated", "kept")
+
+
+def _with_ids(table: DataFrame) -> DataFrame:
+    """Rows that a batch inserted without an id get one from their identifiers, so that the next batch finds them."""
+    named = F.concat_ws("\u001f", F.lit("new"), *(F.coalesce(c, F.lit("")) for c in ("guid_nom", "guid", "nomcode")))
+    return table.withColumn("id", F.coalesce("id", short_hash(named).cast(table.schema["id"].dataType)))
+
+
 def stream_upsert(stream: DataFrame, root: str, target: DataFrame, order: Sequence[str], interval: str | None = None) -> StreamingQuery:
-    """Publisher items into the catalog, batch by batch."""
+    """Publisher items into the catalog, batch by batch, with a row of counters for each.
 
-    def fold(before: DataFrame, batch: DataFrame) -> DataFrame:
-        return upsert_source(before, batch, order).drop("_action")
+    The counters are observed while the snapshot is written and stored under the batch id, so a batch that runs twice counts
+    once. A batch that was lost between its snapshot and its counters is folded again, and only counted.
+    """
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        counters, path = f"{root}/counters/batch-{batch_id}", snapshot(root, batch_id)
+        if _exists(spark, counters):
+            return
+        before = _with_ids(spark.read.parquet(snapshot(root, batch_id - 1))) if batch_id > 0 else target
+        seen = Observation(f"batch-{batch_id}")
+        merged = upsert_source(before, batch, order).observe(seen, *(F.count_if(F.col("_action") == a).alias(a) for a in ACTIONS))
+        if _exists(spark, path):
+            merged.write.format("noop").mode("overwrite").save()
+        else:
+            merged.drop("_action").write.mode("overwrite").parquet(path)
+        row = [(batch_id, *(seen.get[a] for a in ACTIONS))]
+        spark.createDataFrame(row, "batch_id bigint, inserted bigint, updated bigint, kept bigint").coalesce(1).write.mode("overwrite").parquet(counters)
+        # the one before stays: a repeated batch starts from it
+        _delete(spark, snapshot(root, batch_id - 2))
+
+    writer = stream.writeStream.foreachBatch(apply).option("checkpointLocation", f"{root}/checkpoint")
+    return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
 
-    return fold_stream(stream, root, target, fold, interval)
+
+def upsert_progress(spark: SparkSession, root: str) -> DataFrame:
+    """(batch_id, inserted, updated, kept) of every finished batch."""
+    return spark.read.option("recursiveFileLookup", True).parquet(f"{root}/counters")
 
 
 def stream_stock(feed: DataFrame, root: str, catalog: DataFrame, shop: str, as_of: Column, interval: str | None = "1 hour") -> StreamingQuery:
@@ -102,6 +138,42 @@ def stream_carts(events: DataFrame, root: str, empty: DataFrame, interval: str |
     return fold_stream(events, root, empty, fold, interval)
 
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def stream_cart_state(events: DataFrame, root: str, idle_ms: int | None = None) -> StreamingQuery:
+    """Cart events, in whatever order they come, to changed items per batch; `current_carts` has what they add up to."""
+    events.sparkSession.conf.set(STATE_STORE, ROCKS_DB)
+    return update_stream(cart_changes(events, idle_ms), root)
+
+
+def current_carts(spark: SparkSession, root: str) -> DataFrame:
+    return latest(spark, root, ["user_id", "product_id"]).where("quantity IS NOT NULL")
+
+
+def within_watermark(stream: DataFrame, keys: Sequence[str], ts: str, delay: str) -> DataFrame:
+    """The stream without repeats of a key that come within `delay` of event time; state is dropped behind the watermark.
+
+    The column that carries the watermark takes the name _ts. Rows later than the watermark are dropped too, so this stands only
+    before jobs for which a row that late no longer counts.
+    """
+    return stream.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", delay).dropDuplicatesWithinWatermark(list(keys)).drop("_ts")
+
+
+def pull_stream(pages: DataFrame, root: str) -> StreamingQuery:
+    """Source pages to storage, resumed where the last run stopped: the checkpoint is the cursor.
+
+    Takes what has arrived and ends. A page is one file of the source folder; a batch that runs twice replaces its folder, so
+    no page is lost and none is stored twice.
+    """
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{root}/out/batch-{batch_id}")
+
+    return pages.writeStream.foreachBatch(sink).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+
+
 def update_stream(aggregated: DataFrame, root: str, mode: str = "update") -> StreamingQuery:
     """Changed rows of a stateful query, one folder per batch; a repeated batch replaces its folder."""
 
