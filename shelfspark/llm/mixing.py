@@ -161,6 +161,31 @@ def mixed(rows: DataFrame, sources: DataFrame) -> DataFrame:
     )
 
 
+def mix_text(docs: DataFrame) -> DataFrame:
+    """(shard, src, pass, place, words, text): the mix itself, a row for each slot; a shard's text is its slots in order.
+
+    Documents are cut at the same block borders as the slots take, so a text that many slots take from travels block by
+    block. Words are joined by single spaces. Slots of a source come in the order of (pass, place) within a shard.
+    """
+    prepare(docs.sparkSession)
+    rows, sources = packed(docs, ["text"])
+    first, last = F.floor(F.col("at") / BLOCK), F.floor((F.col("at") + F.col("size") - 1) / BLOCK)
+
+    def part(words: Column, block: Column) -> Column:
+        low = F.greatest(F.col("at") - block * BLOCK, F.lit(0))
+        start = (block * BLOCK + low - F.col("at")).cast("int")
+        return F.struct(block.alias("block"), low.alias("low"), F.slice(words, start + 1, (BLOCK - low).cast("int")).alias("own"))
+
+    # the words are found once, not once for each block
+    found = F.array(F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), ""))
+    parts = F.flatten(F.transform(found, lambda words: F.transform(F.sequence(first, last), lambda block: part(words, block))))
+    pieces = rows.where("size > 0").select("src", "start", F.explode(parts).alias("part")).select("src", "start", "part.*")
+    taken = pieces.join(slots(slot_plan(sources)), ["src", "block"]).where("low < words")
+    own = F.slice("own", F.lit(1), (F.col("words") - F.col("low")).cast("int"))
+    slot = taken.groupBy("shard", "src", "pass", "place").agg(F.max("words").alias("words"), F.array_sort(F.collect_list(F.struct("start", own.alias("own")))).alias("shares"))
+    return slot.select("shard", "src", "pass", "place", "words", F.array_join(F.flatten(F.col("shares.own")), " ").alias("text"))
+
+
 def mix(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """`keep`, doc_id, source, size, source_size, target and taken of every row.
 

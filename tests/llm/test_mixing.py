@@ -78,6 +78,31 @@ def test_slots_cover_blocks_as_often_as_planned(docs_of, monkeypatch):
     assert shards == {h: min(64, total - 64 * h) for h in range(-(-total // 64))}
 
 
+def test_the_text_of_the_mix(docs_of, monkeypatch):
+    monkeypatch.setattr(op, "SLOTS", 64)
+    # every word names its document and its place in it
+    data = [(i, " \n".join(f"{i}.{k}" for k in range(n)), None, s) for i, (n, s) in enumerate([(700, "a"), (3, "a"), (0, "a"), (1, "b"), (128, "b"), (260, "c"), (5, None), (40, "b")])]
+    data += [(90, None, None, "a"), (7, data[7][1], None, "b")]
+    docs = docs_of(data)
+    got = op.mix_text(docs).collect()
+    plan = {(s.shard, s.src, getattr(s, "pass"), s.place): s.words for s in op.slots(op.slot_plan(op.packed(docs, [])[1])).collect()}
+    assert {(r.shard, r.src, getattr(r, "pass"), r.place): r.words for r in got} == plan
+    counts = defaultdict(int)
+    for r in got:
+        words = r.text.split(" ")
+        assert len(words) == r.words
+        for a, b in zip(words, words[1:]):
+            (i, k), (j, m) = (map(int, x.split(".")) for x in (a, b))
+            assert (i, k + 1) == (j, m) or m == 0  # the next word, or the next document's first one
+        for w in words:
+            counts[int(w.split(".")[0])] += 1
+    taken = defaultdict(int)
+    for r in op.mix(docs).collect():
+        taken[r.doc_id] += r.taken
+    assert counts == {i: n for i, n in taken.items() if n}
+    assert op.mix_text(docs_of([])).collect() == []
+
+
 def test_permutation_is_a_bijection(spark):
     for n in (1, 2, 3, 17, 256):
         got = spark.range(n).select(op.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(3), F.lit(0)).alias("x")).collect()
