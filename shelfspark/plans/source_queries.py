@@ -247,6 +247,19 @@ def s4_mixed(t: Tables):
     return CSV.read_catalog_csv(t.spark, path, multi_line=False).select("name", "isbn", "price")
 
 
+@query(
+    "s4_split_inside_files",
+    with_shapes("SELECT trim(name) AS name, coalesce(trim(isbn), '') AS isbn, 'two' || chr(10) || chr(10) || 'lines, \"' || trim(name) || '\"' AS annotation, price FROM main_catalog", "main_catalog"),
+)
+def s4_split(t: Tables):
+    """Cells with line breaks, quotes and delimiters, read by lines."""
+    path = fresh_path(t.spark, "csv")
+    told = F.concat(F.lit("two\n\nlines, \""), F.trim("name"), F.lit('"'))
+    rows = CSV.catalog_csv_rows(main_catalog(t)).select("name", told.alias("annotation"), "price", "isbn")
+    rows.write.option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    return CSV.read_catalog_csv_split(t.spark, path).select("name", "isbn", "annotation", "price")
+
+
 @query("s5_write_catalog_csv", with_shapes(CSV_SQL, "main_catalog"))
 def s5(t: Tables):
     path = fresh_path(t.spark, "csv")

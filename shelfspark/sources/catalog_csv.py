@@ -19,6 +19,8 @@ from shelfspark.functions.text import (
     split_path,
     trim_all,
 )
+from shelfspark.session import written
+from shelfspark.sources.quoted import read_quoted_records
 
 # Column order of a catalog file.
 COLUMNS = [
@@ -149,6 +151,36 @@ def read_catalog_csv(spark: SparkSession, path: str, delimiter: str | None = Non
     return reduce(DataFrame.unionByName, parts)
 
 
+def read_catalog_csv_split(spark: SparkSession, path: str, delimiter: str | None = None) -> DataFrame:
+    """The same rows, with large files split inside, line breaks in cells included.
+
+    Headings are the first records of the files; only the different ones, a few layouts, come to the driver.
+    """
+    records = written(read_quoted_records(spark, path), "csv-records")
+    heads = records.where("record = 0").select("file", F.col("text").alias("_head"))
+    parts = []
+    for (head,) in sorted(map(tuple, heads.select("_head").distinct().collect())):
+        sep, cells = headings(head, delimiter)
+        own = heads.where(F.col("_head") == head).select("file")
+        schema = ", ".join(f"_c{i} string" for i in range(len(cells)))
+        options = {"sep": sep, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "true", "mode": "PERMISSIVE", "maxCharsPerColumn": "-1"}
+        rows = records.where("record > 0").join(own, "file", "left_semi").select(F.from_csv("text", schema, options).alias("row")).select("row.*")
+        parts.append(shape_rows(rows, _places(cells)))
+    return reduce(DataFrame.unionByName, parts) if parts else shape_rows(spark.createDataFrame([], "_c0 string"), {})
+
+
+def _places(cells: tuple[str, ...]) -> dict[str, str]:
+    """The raw cell of each column that a heading names."""
+    places: dict[str, str] = {}
+    for i, text in enumerate(cells):
+        name = BY_HEADING.get(heading_key(text))
+        if name:
+            places[name] = f"_c{i}"
+        if heading_key(text) == "author":
+            places["author_cover"] = f"_c{i}"
+    return places
+
+
 def _read_files(spark: SparkSession, paths: list[str], sep: str, cells: tuple[str, ...], multi_line: bool) -> DataFrame:
     raw = [f"_c{i}" for i in range(len(cells))]
     rows = (
@@ -163,14 +195,7 @@ def _read_files(spark: SparkSession, paths: list[str], sep: str, cells: tuple[st
         .schema(", ".join(f"{c} string" for c in raw))
         .csv(paths)
     )
-    places: dict[str, str] = {}
-    for c, text in zip(raw, cells):
-        name = BY_HEADING.get(heading_key(text))
-        if name:
-            places[name] = c
-        if heading_key(text) == "author":
-            places["author_cover"] = c
-    return shape_rows(rows, places)
+    return shape_rows(rows, _places(cells))
 
 
 def shape_rows(cells: DataFrame, places: dict[str, str]) -> DataFrame:
