@@ -155,6 +155,20 @@ def x5(t: Tables):
     return X.view_counts(view_parts(t)).withColumn("window_start", F.unix_timestamp("window_start"))
 
 
+@query(
+    "x5_stream_closed_windows",
+    "SELECT epoch_us(date_trunc('hour', ts)) // 1000000 AS window_start, user_id AS post_id, CAST(count(*) AS BIGINT) AS views, true AS closed_once FROM events WHERE event_type = 'view' GROUP BY ALL",
+)
+def x5_closed(t: Tables):
+    """Files in no order of time: windows that close once, corrections and open windows together have every view."""
+    views = shuffled_events(t).where("event_type = 'view'").selectExpr("ts", "user_id AS post_id")
+    root = fresh_path(t.spark, "windows")
+    run = X.stream_windows(views, root)
+    run.awaitTermination()
+    found = X.windows(t.spark, root, run).groupBy("window_start", "post_id")
+    return found.agg(F.sum("views").alias("views"), (F.count_if(F.col("state") == "closed") <= 1).alias("closed_once"))
+
+
 @query("x5_stream_view_totals", "SELECT user_id AS post_id, CAST(count(*) AS BIGINT) AS views FROM events WHERE event_type = 'view' GROUP BY user_id")
 def x5_totals(t: Tables):
     return X.view_counts(view_parts(t), ["post_id"])

@@ -247,6 +247,57 @@ def stream_views(events: DataFrame, root: str, width: str = "1 hour") -> Streami
     return partial_stream(events, root, part)
 
 
+WINDOW_KEYS = ["window_start", "post_id"]
+
+
+def stream_windows(events: DataFrame, root: str, width: int = 3600, delay: int = 86400) -> StreamingQuery:
+    """Views (ts, post_id) per window of `width` seconds: a window comes out once, when event time is `delay` seconds past it.
+
+    Each batch leaves its open windows as a table, which is all that the next one reads; closed windows and the counts of
+    rows that came for a window already closed, the corrections, go to tables of their own. Event time after a batch is
+    the latest time seen so far, so it, and what is late, depends on the batches before alone, and a repeated batch
+    writes the same. The open windows are written last: with them a batch is done.
+    """
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        if _exists(spark, f"{root}/open-{batch_id}"):
+            return
+        seconds = F.unix_timestamp(F.col("ts").cast("timestamp"))
+        rows = batch.select(seconds.alias("_ts"), (seconds - F.pmod(seconds, F.lit(width))).alias("window_start"), "post_id").where("_ts IS NOT NULL")
+        counted = rows.groupBy(*WINDOW_KEYS).agg(F.count(F.lit(1)).alias("views"), F.max("_ts").alias("_ts"))
+        counted.write.mode("overwrite").parquet(f"{root}/counted")
+        counted = spark.read.schema(counted.schema).parquet(f"{root}/counted")
+        past = spark.read.parquet(f"{root}/time-{batch_id - 1}").first().latest if batch_id > 0 else None
+        latest = max((x for x in (past, counted.agg(F.max("_ts")).first()[0]) if x is not None), default=None)
+        end = F.col("window_start") + width
+        late = (end <= F.lit(past).cast("bigint") - delay) if past is not None else F.lit(False)
+        on_time = counted.where(~late).select(*WINDOW_KEYS, "views")
+        if batch_id > 0:
+            on_time = on_time.unionByName(spark.read.parquet(f"{root}/open-{batch_id - 1}"))
+        summed = on_time.groupBy(*WINDOW_KEYS).agg(F.sum("views").alias("views"))
+        done = (end <= F.lit(latest).cast("bigint") - delay) if latest is not None else F.lit(False)
+        counted.where(late).select(*WINDOW_KEYS, "views").write.mode("overwrite").parquet(f"{root}/corrections/batch-{batch_id}")
+        summed.where(done).write.mode("overwrite").parquet(f"{root}/closed/batch-{batch_id}")
+        spark.createDataFrame([(latest,)], "latest bigint").coalesce(1).write.mode("overwrite").parquet(f"{root}/time-{batch_id}")
+        summed.where(~done).write.mode("overwrite").parquet(f"{root}/open-{batch_id}")
+        # the one before stays: a repeated batch starts from it
+        for name in ("open", "time"):
+            _delete(spark, f"{root}/{name}-{batch_id - 2}")
+
+    return events.writeStream.foreachBatch(apply).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+
+
+def windows(spark: SparkSession, root: str, query: StreamingQuery) -> DataFrame:
+    """(window_start, post_id, views, state) of a stopped query; state is closed, correction or open."""
+    last = query.lastProgress["batchId"] if query.lastProgress else 0
+    while last > 0 and not _exists(spark, f"{root}/open-{last}"):
+        last -= 1
+    folders = {"closed": f"{root}/closed", "correction": f"{root}/corrections", "open": f"{root}/open-{last}"}
+    parts = [spark.read.option("recursiveFileLookup", True).parquet(path).select(*WINDOW_KEYS, "views", F.lit(name).alias("state")) for name, path in folders.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def view_counts(parts: DataFrame, keys: Sequence[str] = ("window_start", "post_id")) -> DataFrame:
     """Views per window and post, or per post alone."""
     return parts.groupBy(*keys).agg(F.sum("views").alias("views"))

@@ -54,3 +54,29 @@ def test_a_batch_that_lost_its_counters_is_counted_once(spark):
     X._delete(spark, f"{root}/checkpoint/commits/1")
     assert run([]) == [(0, 1, 1, 1), (1, 0, 1, 2)]
     assert spark.read.parquet(X.snapshot(root, 1)).count() == 3
+
+
+def test_windows_close_once_and_late_rows_correct_them(spark):
+    r = random.Random(8)
+    schema = "ts timestamp, post_id long"
+    source, root = fresh_path(spark, "views"), fresh_path(spark, "windows")
+    whole, seen = {}, []
+    for batch in range(4):
+        rows = [(batch * 10_000 + r.randrange(-8_000, 10_000), r.randrange(3)) for _ in range(150)]
+        for ts, post in rows:
+            key = (ts // 600 * 600 + 1_000_200, post)
+            whole[key] = whole.get(key, 0) + 1
+        made = spark.createDataFrame([(1_000_200 + ts, post) for ts, post in rows], "s long, post_id long")
+        made.selectExpr("timestamp_seconds(s) AS ts", "post_id").coalesce(1).write.mode("append").parquet(source)
+        run = X.stream_windows(spark.readStream.schema(schema).parquet(source), root, 600, 3_000)
+        run.awaitTermination()
+        seen.append(spark.read.option("recursiveFileLookup", True).parquet(f"{root}/open-{batch}").count())
+    rows = X.windows(spark, root, run).collect()
+    total = {}
+    for x in rows:
+        total[x.window_start, x.post_id] = total.get((x.window_start, x.post_id), 0) + x.views
+    assert total == whole
+    closed = [(x.window_start, x.post_id) for x in rows if x.state == "closed"]
+    assert len(closed) == len(set(closed)) > 50 and any(x.state == "correction" for x in rows)
+    # open windows reach back by the delay alone, so their number doesn't grow with the stream
+    assert max(seen) <= 3 * (3_000 + 600) // 600 + 3
