@@ -4,7 +4,8 @@ Sets are linked if their Jaccard similarity is `SIMILARITY` or more. Sets that a
 Comparing is one matrix product over the shingles that several sets of a group share.
 
 A bucket of over `BUCKET` sets is dealt into blocks, and every block also gets the bucket's `PIVOTS`: rows grow with the bucket,
-not with its pairs, and versions of one text are connected through block mates and pivots. What is then outside the
+not with its pairs, and versions of one text are connected through block mates and pivots. Of buckets that hold the same sets one is
+compared. What is then outside the
 bucket's largest component still lacks comparisons. Rounds follow in which some of these, four times as many each round,
 are compared with the whole bucket; after that nothing is left to find for them. A bucket is closed when none are left,
 so no colliding pair is lost, and a round's rows are those of the bucket and its pivots, by blocks.
@@ -221,11 +222,22 @@ def _all(count):
     return F.explode(F.sequence(F.lit(0).cast("long"), count - 1))
 
 
+def _different(found: DataFrame) -> DataFrame:
+    """The rows of one key for each set of uids that share a key: similar sets share many keys, and are compared once.
+
+    Sets of uids are told apart by their size and two xors of 64-bit hashes.
+    """
+    held = found.groupBy("key").agg(F.max("n").alias("n"), F.bit_xor(F.xxhash64("uid")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "uid")).alias("y"))
+    kept = stored(held.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key"), "kept")
+    return stored(found.join(kept, "key", "left_semi"), "different")
+
+
 def linked(found: DataFrame, sets: DataFrame) -> DataFrame:
     """(u, v): links that connect all that share a key of (key, uid, n) and are similar by their sets (uid, shingles).
 
     Both are written tables; shingles are distinct, and no set is empty.
     """
+    found = _different(found)
     plain = F.lit(False).alias("member")
     small = found.where(F.col("n") <= BUCKET).select("key", plain, "uid")
     hot = found.where(F.col("n") > BUCKET)
