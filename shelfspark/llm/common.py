@@ -33,6 +33,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the folder of a written table that no later step reads."""
+    spark = df.sparkSession
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ordered_totals(df: DataFrame, order: list[Column], amount: Column, name: str) -> DataFrame:
     """Add `name`: the sum of `amount` over all rows that precede in `order` (exclusive), at any size.
 

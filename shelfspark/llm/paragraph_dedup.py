@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.llm.common import prepare, stored, table
+from shelfspark.llm.common import discard, prepare, stored, table
 from shelfspark.llm.graph import components
 from shelfspark.llm.jaccard import SHINGLE, SIMILARITY, band_keys, colliding, identities, joined, linked, mix, shingle_hashes, spread, tuned
 
@@ -171,10 +171,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([w["uid"] for w in wanted], pa.int64()), lists], names=["uid", "shingles"])
 
 
-def unit_links(units: DataFrame, docs: DataFrame) -> DataFrame:
-    """(u, v): links between units, enough to connect all that collide and are similar. docs: doc_id, text_hash, text."""
-    # a band's keys differ from those of all others
-    found = reduce(DataFrame.union, [colliding(units.where(F.col(k).isNotNull()).select(F.explode(k).alias("key"), "uid")) for k in _KEYS])
+def unit_links(units: DataFrame, found: DataFrame, docs: DataFrame) -> DataFrame:
+    """(u, v): links between units, enough to connect all that collide (key, uid, n) and are similar. docs: doc_id, text_hash, text."""
     # each unit that collides is fetched once, from the first document that has it
     place = F.struct("text_hash", "doc_id", "from_word", "words")
     once = units.join(found.select("uid").distinct(), "uid", "left_semi").groupBy("uid").agg(F.min(place).alias("place"))
@@ -182,8 +180,10 @@ def unit_links(units: DataFrame, docs: DataFrame) -> DataFrame:
     wanted = stored(wanted.withColumnRenamed("doc_id", "_id").withColumnRenamed("text_hash", "_hash"), "wanted")
     # rows that repeat an id and a text would each give its units
     texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["_id"]) & (docs["text_hash"] == wanted["_hash"])).select("wanted", "text")
-    sets = stored(texts.mapInArrow(_sets, "uid long, shingles array<int>"), "fetched")
-    return linked(found, stored(sets.dropDuplicates(["uid"]), "sets"))
+    fetched = stored(texts.mapInArrow(_sets, "uid long, shingles array<int>"), "fetched")
+    sets = stored(fetched.dropDuplicates(["uid"]), "sets")
+    discard(fetched)
+    return linked(found, sets)
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
@@ -197,9 +197,14 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     prepare(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     numbered = texts.select("doc_id", F.monotonically_increasing_id().alias("rid"), "text_hash", "text")
-    units = stored(numbered.mapInArrow(_units, _UNIT), "units")
-    classes = components(unit_links(units, texts)).withColumnRenamed("node", "uid")
-    classed = units.drop(*_KEYS, "text_hash").join(classes, "uid", "left").withColumn("class", F.coalesce("root", "uid"))
+    keyed = stored(numbered.mapInArrow(_units, _UNIT), "keyed-units")
+    # a band's keys differ from those of all others
+    found = reduce(DataFrame.union, [colliding(keyed.where(F.col(k).isNotNull()).select(F.explode(k).alias("key"), "uid")) for k in _KEYS])
+    # the keys are most of the table, and have told what collides
+    units = stored(keyed.drop(*_KEYS), "units")
+    discard(keyed)
+    classes = components(unit_links(units, found, texts)).withColumnRenamed("node", "uid")
+    classed = units.drop("text_hash").join(classes, "uid", "left").withColumn("class", F.coalesce("root", "uid"))
     several = classed.groupBy("class").agg(F.min("rid").alias("a"), F.max("rid").alias("b")).where("a < b").select("class")
     several = stored(several, "several")
     repeated = stored(classed.join(several, "class").select("doc_id", "rid", "from_word", "words", "class"), "repeated")
