@@ -63,6 +63,7 @@ ROOT_PAGES = [
     "collections", "search", "shop", "cart", "checkout", "profile", "login", "account", "privacy", "terms", "authors",
     "author", "company", "press", "faq", "delivery", "payment", "posters", "discount", "favorites", "orders",
 ]
+# Tokens of the discovery score.
 DISCOVERY_GOOD = ["catalog", "books", "book", "product", "shop", "store"]
 DISCOVERY_BAD = ["login", "account", "basket", "cart", "wishlist", "compare", "faq", "help", "privacy", "terms"]
 DISCOVERY_WORSE = ["article", "articles", "/news/", "/blog/", "/author/", "/authors/"]
@@ -238,6 +239,7 @@ def is_likely_product(c: Column | str) -> Column:
 
 def product_score(c: Column | str) -> Column:
     url, path = F.lower(col(c)), score_path(c)
+    # The weight of each mark.
     return total(
         points(url.rlike(P_PRODUCT_WORD), 3),
         points(url.contains("/catalog/product/"), 18),
@@ -292,6 +294,7 @@ def is_non_product_page(url: Column, title: Column) -> Column:
 
 def parse_score(c: Column | str) -> Column:
     url = F.lower(trim_all(c))
+    # The weight of each mark.
     return total(
         product_score(c),
         points(is_likely_product(c), 20),
@@ -303,6 +306,7 @@ def parse_score(c: Column | str) -> Column:
 
 def discovery_score(c: Column | str, depth: Column | str) -> Column:
     url, hops = F.lower(col(c)), col(depth)
+    # The weight of each mark.
     return total(
         product_score(c),
         *[points(url.contains(t), 2) for t in DISCOVERY_GOOD],
