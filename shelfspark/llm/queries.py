@@ -35,7 +35,6 @@ QUERIES = {
 ORACLE: dict[str, str] = {
     "op5_exact_topk": topk.ORACLE_SQL,
     "op7_pii": pii.ORACLE_SQL,
-    "op11_token_alignment": alignment.op11_token_alignment,
     "op12_vector_codes": codes.ORACLE_SQL,
     "op13_near_vectors": near_vectors.ORACLE_SQL,
 }
