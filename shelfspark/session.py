@@ -69,6 +69,8 @@ def local_session(cores: str = "8", app: str = "shelfspark") -> SparkSession:
         .appName(app)
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.ui.enabled", "false")
+        # else every Column call also sends its place in the Python source to the JVM, and large expressions take seconds more
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", os.environ.get("SHELFSPARK_DRIVER_MEMORY", "8g"))
     )
     spark = tune(builder.getOrCreate())
