@@ -121,3 +121,9 @@ def test_nulls_repeats_and_empty_tables(spark):
     assert [t.action for t in got[1]] == ["keep", "merge"]
     assert legal([m for m, _ in messages("".join(t.rendered for t in got[2]))])
     assert op.repaired(table(spark, [])).collect() == []
+
+
+def test_a_very_long_turn(spark):
+    text = "long " * 400_000
+    got = by_conversation(op.repaired(table(spark, [(1, 0, "user", text), (1, 1, "user", "more"), (1, 2, "assistant", "ok")])))
+    assert messages("".join(t.rendered for t in got[1])) == [("user", f"{text}\n\nmore"), ("assistant", "ok")]
