@@ -248,7 +248,7 @@ def linked(found: DataFrame, sets: DataFrame) -> DataFrame:
     dealt = hot.select("key", "uid", _block(F.col("uid"), count).alias("block")).union(pivots)
     links = _compared(small.union(dealt.select(F.xxhash64("key", "block").alias("key"), plain, "uid")), sets)
 
-    done, size = None, BUCKET
+    done, size = None, CHOSEN
     while not hot.isEmpty():
         roots = stored(components(links).withColumnRenamed("node", "uid"), "roots")
         rooted = stored(hot.join(roots, "uid", "left").select("key", "uid", "n", F.coalesce("root", "uid").alias("root")), "rooted")
